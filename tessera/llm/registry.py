@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import bpe, mixing, sharding
 
-MODULES = (sharding, mixing)
+MODULES = (bpe, sharding, mixing)
 
 
 def queries() -> dict:
