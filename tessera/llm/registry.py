@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding
+from . import bpe, mixing, sharding, token_counts
 
-MODULES = (bpe, sharding, mixing)
+MODULES = (bpe, token_counts, sharding, mixing)
 
 
 def queries() -> dict:

@@ -20,8 +20,8 @@ from .common import Batches, small_batches, table, texts
 
 #: Token limit of the registered query.
 TOKEN_LIMIT = 4096
-#: Distinct units (words with the blanks before them) a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Entries of a worker's tables of pairs and of units' prefix counts, and of units' totals; a full table starts anew.
+REMEMBERED, REMEMBERED_TOTALS = 200_000, 1_200_000
 #: Longer units are counted, not remembered.
 LONGEST_REMEMBERED = 32
 
@@ -37,38 +37,59 @@ class PrefixCounter:
         import sentencepiece as spm
 
         sp = spm.SentencePieceProcessor(model_file=path)
-        self.rank = {sp.id_to_piece(i).replace("▁", " "): -sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-        if any(UNITS(p) != [p] or (p[:2] == "  " and p.strip(" ")) for p in self.rank):
+        scores = {sp.id_to_piece(i).replace("▁", " "): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+        if any(UNITS(p) != [p] or (p[:2] == "  " and p.strip(" ")) for p in scores):
             raise ValueError("a piece of this model crosses units")
+        #: characters first, then merged pieces in the order of their merges
+        self.rank = {p: i for i, p in enumerate(sorted(scores, key=lambda p: (len(p) > 1, -scores[p], p)))}
         self.longest = max(map(len, self.rank))
+        self.halves: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.units: dict[str, list[int]] = {}
         self.totals: dict[str, int] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Plain BPE of a short text: merge the best pair, the leftmost of equals, until none is a piece."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = min((rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == np.inf:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def split_of(self, token: str) -> tuple[str, str] | None:
+        """The two parts whose merge makes the token; itself twice for a character; None if plain BPE never makes it."""
+        if token not in self.halves:
+            parts, rank = list(token), self.rank
+            while len(parts) > 2:
+                best, at = min((rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if best == np.inf:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.halves[token] = (token, token) if len(parts) == 1 else tuple(parts) if len(parts) == 2 else None
+        return self.halves[token]
 
     def stays(self, a: str, b: str) -> bool:
-        """Whether the text of token a and token b is encoded as these two (a empty: b alone as itself)."""
+        """Whether the text of token a and token b is encoded as these two (a empty: b alone as itself).
+
+        Merges are undone from the last one back; no earlier state may hold, at the border, two parts that merge
+        before the one just undone.
+        """
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            found = self.pairs[a, b] = self.split_of(b) is not None and (not a or self.border_holds(a, b))
         return found
 
-    def unit(self, u: str) -> list[int]:
+    def border_holds(self, a: str, b: str) -> bool:
+        rank, limit = self.rank, np.inf
+        while True:
+            if rank.get(a + b, np.inf) < limit:
+                return False
+            for first in (rank[a] > rank[b], rank[a] <= rank[b]):  # undo the later merge; else the other one
+                if first and len(a) > 1:
+                    limit, a = rank[a], self.split_of(a)[1]
+                    break
+                if not first and len(b) > 1:
+                    limit, b = rank[b] + 1, self.split_of(b)[0]
+                    break
+            else:
+                return True
+
+    def counted(self, u: str) -> list[int]:
         """Tokens of u[:1], u[:2], ..., u."""
-        found = self.units.get(u)
-        if found is not None:
-            return found
         rank, longest, stays = self.rank, self.longest, self.stays
         last, count = [""], [0]
         for i in range(1, len(u) + 1):
@@ -82,19 +103,32 @@ class PrefixCounter:
                 last.append("")
                 count.append(count[i - 1] + len(u[i - 1].encode("utf-8", "surrogatepass")))
         del count[0]
+        return count
+
+    def unit(self, u: str) -> list[int]:
+        found = self.units.get(u)
+        if found is None:
+            found = self.counted(u)
+            if len(u) <= LONGEST_REMEMBERED:
+                if len(self.units) > REMEMBERED:
+                    self.units.clear()
+                self.units[u] = found
+        return found
+
+    def unit_total(self, u: str) -> int:
+        found = self.counted(u)[-1]
         if len(u) <= LONGEST_REMEMBERED:
-            if len(self.units) > REMEMBERED:
-                self.units.clear()
+            if len(self.totals) > REMEMBERED_TOTALS:
                 self.totals.clear()
-            self.units[u], self.totals[u] = count, count[-1]
-        return count
+            self.totals[u] = found
+        return found
 
     def split(self, text: str) -> list[str]:
         return UNITS(" " + text.replace("▁", " ")) if text else []
 
     def total(self, text: str) -> int:
         known = self.totals.get
-        return sum([known(u) or self.unit(u)[-1] for u in self.split(text)])
+        return sum([known(u) or self.unit_total(u) for u in self.split(text)])
 
     def prefixes(self, text: str) -> np.ndarray:
         """Token count of text[:0], text[:1], ..., text."""
