@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, sharding, token_counts
+from . import bpe, fingerprints, mixing, sharding, token_counts, warc
 
-MODULES = (fingerprints, bpe, token_counts, sharding, mixing)
+MODULES = (fingerprints, bpe, token_counts, sharding, warc, mixing)
 
 
 def queries() -> dict:
