@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, sharding, token_counts, warc
+from . import bpe, fingerprints, jaccard_join, mixing, sharding, token_counts, toxicity, warc
 
-MODULES = (fingerprints, bpe, token_counts, sharding, warc, mixing)
+MODULES = (fingerprints, bpe, token_counts, sharding, toxicity, jaccard_join, warc, mixing)
 
 
 def queries() -> dict:

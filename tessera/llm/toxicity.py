@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Batches, small_batches, table
@@ -23,7 +24,7 @@ from .common import Batches, small_batches, table
 #: Hashed features; labelled documents that training gets at most (half of them toxic, if there are so many), and the
 #: characters of text that these may have together. The sample is a documented bound; scoring covers every document.
 FEATURES, SAMPLE_DOCS, SAMPLE_CHARS = 1 << 18, 6000, 40_000_000
-ROUNDS, RATE, DECAY, SEED = 12, 0.15, 1e-6, 5
+ROUNDS, RATE, DECAY, SEED, LEAST_DOCS = 12, 0.4, 1e-4, 5, 5
 #: Words that a worker remembers the weight of; then it starts anew.
 REMEMBERED = 500_000
 #: Sentences of more words are cut, so that one long line isn't one instance.
@@ -79,35 +80,54 @@ class Model:
         return noisy_or(self.logits(text))
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a text and the sentence that each belongs to."""
+    own = sentences(text)
+    flat, at = [], []
+    for k, s in enumerate(own):
+        for w in s:
+            found = features(w)
+            flat += found
+            at += [k] * len(found)
+    return np.array(flat, np.int32), np.array(at, np.int32)
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
-    """Adagrad on the log loss of the noisy-or, a document a step, in a fixed random order."""
-    docs = []
-    for t in texts:
-        own = sentences(t)
-        flat = [f for s in own for f in (i for w in s for i in features(w))]
-        sizes = [sum(len(features(w)) for w in s) for s in own]
-        docs.append((np.array(flat, np.int64), np.repeat(np.arange(len(own)), sizes)))
-    w, g2 = np.zeros(FEATURES), np.full(FEATURES, 1e-2)
-    bias, bias2 = -4.0, 1e-2
+    """Adagrad on the log loss of the noisy-or, a document a step, in a fixed random order.
+
+    Weights stay at 0 or above, so that harmless words around an offending one can't make up for it.
+    Features in fewer than LEAST_DOCS documents keep weight 0: by them the labels could be learned by heart.
+    """
+    docs = [bag(t) for t in texts]
+    seen = np.zeros(FEATURES, np.int32)
+    for flat, _ in docs:
+        seen[np.unique(flat)] += 1
+    kept = []
+    for flat, at in docs:
+        n = int(at[-1]) + 1 if len(at) else 0
+        ok = seen[flat] >= LEAST_DOCS
+        used, place = np.unique(flat[ok], return_inverse=True)
+        kept.append((used, place.astype(np.int32), at[ok], n))
+    del docs
+    w, g2 = np.zeros(FEATURES), np.full(FEATURES, 1e-1)
+    bias, bias2 = -4.0, 1e-1
     order = np.random.default_rng(SEED)
     for _ in range(ROUNDS):
-        for k in order.permutation(len(docs)):
-            flat, at = docs[k]
-            if not len(flat):
+        for k in order.permutation(len(kept)):
+            used, place, at, n = kept[k]
+            if not n:
                 continue
-            x = np.bincount(at, w[flat]) + bias
+            x = np.bincount(at, w[used][place], minlength=n) + bias
             s = 1 / (1 + np.exp(-np.clip(x, -40, 40)))
             p = min(max(noisy_or(x), 1e-9), 1 - 1e-9)
             # d loss / d x_i = s_i * (1 - y / p): a clean document pushes every sentence, a toxic one its likeliest
             d = s * (1 - toxic[k] / p)
-            grad = np.bincount(flat, d[at], minlength=0)
-            used = np.flatnonzero(grad)
-            g = grad[used] + DECAY * w[used]
+            g = np.bincount(place, d[at], minlength=len(used)) + DECAY * w[used]
             g2[used] += g * g
-            w[used] -= RATE * g / np.sqrt(g2[used])
+            w[used] = np.maximum(w[used] - RATE * g / np.sqrt(g2[used]), 0)
             b = d.sum()
             bias2 += b * b
-            bias -= 0.1 * RATE * b / np.sqrt(bias2)
+            bias -= 0.3 * RATE * b / np.sqrt(bias2)
     return Model(w, bias)
 
 
@@ -125,10 +145,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     order = F.xxhash64("doc_id", F.lit(SEED))
     parts = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(SAMPLE_DOCS // 2) for y in (1, 0)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most SAMPLE_DOCS rows of two numbers
-    most = SAMPLE_CHARS // SAMPLE_DOCS
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id")
-    # long texts are trained on in windows of so many characters: a clean one's are clean, a toxic one's first is taken
-    rows = rows.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 4 * most).alias("text"), "toxic").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    # whole texts in order of the hash as long as they fit; at most SAMPLE_DOCS rows of two numbers are summed
+    sizes = rows.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    fits = sizes.withColumn("upto", F.sum("n").over(W.orderBy(order, "doc_id"))).where(F.col("upto") <= SAMPLE_CHARS).select("doc_id")
+    rows = rows.join(F.broadcast(fits), "doc_id").collect()
     rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.text))}.values(), key=lambda r: r.doc_id)
     return [r.text for r in rows], [r.toxic for r in rows]
 
