@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard_join, mixing, sharding, token_counts, toxicity, warc
+from . import bpe, fingerprints, jaccard_join, mixing, sharding, suffix_dedup, token_counts, toxicity, warc
 
-MODULES = (fingerprints, bpe, token_counts, sharding, toxicity, jaccard_join, warc, mixing)
+MODULES = (fingerprints, bpe, token_counts, sharding, toxicity, jaccard_join, suffix_dedup, warc, mixing)
 
 
 def queries() -> dict:
