@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from ..operators import learning, psychometrics
+
+MODULES = (learning, psychometrics)
 
 
 def queries() -> dict:
