@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Batches, Scratch, partitions, small_batches, table, texts
 
 #: Characters of text in a flush; a longer document is a flush of its own.
-FLUSH_CHARS = 24_000_000
+FLUSH_CHARS = 32_000_000
 
 #: Fixed value: the split of byte-level BPE tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,11 +100,13 @@ def flushes(path: str, ranges: int) -> Callable[[Batches], Batches]:
         flush, names = uuid.uuid4().hex, list(words)
         flat = np.concatenate([*arrays, np.zeros(0, np.uint32)])
         part = word_range(names, ranges)
-        # words by range, the frequent first: small numbers, and a range's words lie together
-        order = np.lexsort((-np.bincount(flat, minlength=len(names)), part))
-        by_freq = np.argsort(-np.bincount(flat, minlength=len(names)), kind="stable")
+        # numbers by frequency, range and spelling: small numbers are frequent, and a range's rare words have
+        # neighbouring numbers and spellings
+        spelled = np.empty(len(names), np.int64)
+        spelled[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        order = np.lexsort((spelled, part, -np.bincount(flat, minlength=len(names))))
         rank = np.empty(len(names), np.uint32)
-        rank[by_freq] = np.arange(len(names), dtype=np.uint32)
+        rank[order] = np.arange(len(names), dtype=np.uint32)
         flat = rank[flat]
         low = np.minimum(flat, 255).astype(np.uint8)
         far = flat[low == 255]
@@ -112,10 +114,11 @@ def flushes(path: str, ranges: int) -> Callable[[Batches], Batches]:
         at = np.array([len(a) for a in arrays], np.uint32)
         nulls = np.array([i is None for i in ids], np.uint8)
         yield flush, -1, pack(np.array([i or 0 for i in ids], "<i8"), nulls, at, low, far)
+        order = order[np.argsort(part[order], kind="stable")]
         cuts = np.flatnonzero(np.diff(part[order])) + 1
         for own in np.split(order, cuts) if len(names) else []:
             text = "\0".join(names[i].replace("\1", "\1\1").replace("\0", "\1\2") for i in own).encode("utf-8", "surrogatepass")
-            yield flush, int(part[own[0]]), pack(rank[own], np.frombuffer(text, np.uint8))
+            yield flush, int(part[own[0]]), pack(np.diff(rank[own], prepend=np.uint32(0)), np.frombuffer(text, np.uint8))
 
     def run(batches: Batches) -> Batches:
         split = splitter(path)
@@ -140,9 +143,14 @@ def flushes(path: str, ranges: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def id_kind(path: str) -> str:
+    """The smallest number that holds every id."""
+    return "<u2" if max(pieces(path)) < 1 << 16 else "<u4"
+
+
 def listed(data: bytes) -> tuple[np.ndarray, list[str]]:
-    rank, raw = unpack(data, "<u4", "u1")
-    return rank, [w.replace("\1\2", "\0").replace("\1\1", "\1") if "\1" in w else w for w in raw.tobytes().decode("utf-8", "surrogatepass").split("\0")]
+    gaps, raw = unpack(data, "<u4", "u1")
+    return gaps, [w.replace("\1\2", "\0").replace("\1\1", "\1") if "\1" in w else w for w in raw.tobytes().decode("utf-8", "surrogatepass").split("\0")]
 
 
 def encoded(path: str) -> Callable[[Batches], Batches]:
@@ -150,16 +158,17 @@ def encoded(path: str) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         tok, current, known = tokenizer(path), None, {}
+        kind = id_kind(path)
         for batch in batches:
             rows = []
             for flush, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != current:
                     current, known = part, {}
-                rank, words = listed(data)
+                gaps, words = listed(data)
                 if new := [w for w in words if w not in known]:
-                    known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True))
+                    known.update((w, np.array(e.ids, kind)) for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True))
                 got = [known[w] for w in words]
-                rows.append((flush, part, pack(rank, np.array([len(g) for g in got], np.uint32), np.concatenate(got))))
+                rows.append((flush, part, pack(gaps, np.array([len(g) for g in got], np.uint16), np.concatenate(got))))
             if rows:
                 a, b, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["flush", "part", "data"])
@@ -189,29 +198,29 @@ def joined(make: Callable, schema: pa.Schema) -> Callable[[Batches], Batches]:
     return run
 
 
-def documents(docs: bytes, words: list[bytes]) -> tuple[list, list[np.ndarray], dict[int, np.ndarray] | list]:
+def documents(docs: bytes, words: list[bytes], kind: str) -> tuple[list, list[np.ndarray], list[list[int]]]:
     """ids of a flush's documents, their word numbers, and the words' token ids by number."""
     ids, nulls, at, low, far = unpack(docs, "<i8", "u1", "<u4", "u1", "u1")
     numbers = low.astype(np.uint32)
     far = far.reshape(4, -1).astype(np.uint32)
     numbers[low == 255] = far[0] | far[1] << 8 | far[2] << 16 | far[3] << 24
-    total = sum(len(unpack(w, "<u4", "<u4", "<u4")[0]) for w in words)
-    tokens: list = [None] * total
-    for w in words:
-        rank, counts, flat = unpack(w, "<u4", "<u4", "<u4")
-        for r, part in zip(rank.tolist(), np.split(flat, np.cumsum(counts)[:-1]), strict=True):
-            tokens[r] = part
+    lists = [unpack(w, "<u4", "<u2", kind) for w in words]
+    tokens: list = [None] * sum(len(x[0]) for x in lists)
+    for gaps, counts, flat in lists:
+        ends, flat, start = np.cumsum(counts, dtype=np.int64).tolist(), flat.tolist(), 0
+        for r, end in zip(np.cumsum(gaps, dtype=np.int64).tolist(), ends, strict=True):
+            tokens[r] = flat[start:end]
+            start = end
     return [None if z else int(i) for i, z in zip(ids, nulls, strict=True)], np.split(numbers, np.cumsum(at)[:-1]) if len(at) else [], tokens
 
 
 def digests(path: str) -> Callable:
     def make(docs: bytes, words: list[bytes], schema: pa.Schema):
         piece = pieces(path)
-        ids, numbers, tokens = documents(docs, words)
+        ids, numbers, tokens = documents(docs, words, id_kind(path))
         counts = np.array([len(t) for t in tokens], np.int64)
-        lists = [t.tolist() for t in tokens]
-        decimal = [",".join(map(str, t)) for t in lists]
-        raw = [b"".join([piece[i] for i in t]) for t in lists]  # decoding: each id of a word joined with its piece
+        decimal = [",".join(map(str, t)) for t in tokens]
+        raw = [b"".join([piece[i] for i in t]) for t in tokens]  # decoding: each id of a word joined with its piece
         rows = []
         for i, n in zip(ids, numbers, strict=True):
             n = n.tolist()
@@ -222,18 +231,21 @@ def digests(path: str) -> Callable:
     return make
 
 
-def token_ids(docs: bytes, words: list[bytes], schema: pa.Schema):
-    ids, numbers, tokens = documents(docs, words)
-    for i, n in zip(ids, numbers, strict=True):
-        flat = np.concatenate([tokens[k] for k in n.tolist()]) if len(n) else np.zeros(0, np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([flat.astype(np.int32)], pa.list_(pa.int32()))], schema=schema)
+def token_ids(path: str) -> Callable:
+    def make(docs: bytes, words: list[bytes], schema: pa.Schema):
+        ids, numbers, tokens = documents(docs, words, id_kind(path))
+        for i, n in zip(ids, numbers, strict=True):
+            flat = [t for k in n.tolist() for t in tokens[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([flat], pa.list_(pa.int32()))], schema=schema)
+
+    return make
 
 
 def _encode(docs: DataFrame, path: str, make: Callable, schema: str, arrow: pa.Schema) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     scratch, n = Scratch(spark), partitions(spark)
-    flushed = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(flushes(path, 4 * n), FLUSH_SCHEMA), "flushes")
+    flushed = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(flushes(path, n), FLUSH_SCHEMA), "flushes")
     words = flushed.where("part >= 0").repartition(n, "part").sortWithinPartitions("part").mapInArrow(encoded(path), FLUSH_SCHEMA)
     both = flushed.where("part < 0").unionByName(words)
     return both.repartition(n, "flush").sortWithinPartitions("flush", "part").mapInArrow(joined(make, arrow), schema)
@@ -245,7 +257,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids; repeated rows and null ids stay, one result a row; other columns are ignored.
     """
     arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return _encode(docs, path, token_ids, "doc_id long, ids array<int>", arrow)
+    return _encode(docs, path, token_ids(path), "doc_id long, ids array<int>", arrow)
 
 
 def decode(encoded_docs: DataFrame, path: str) -> DataFrame:
