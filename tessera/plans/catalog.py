@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import learning, psychometrics
+from ..operators import curation, learning, psychometrics, quality
 
-MODULES = (learning, psychometrics)
+MODULES = (learning, psychometrics, curation, quality)
 
 
 def queries() -> dict:
