@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import curation, learning, psychometrics, quality
+from ..operators import curation, learning, psychometrics, quality, retrieval
 
-MODULES = (learning, psychometrics, curation, quality)
+MODULES = (learning, psychometrics, curation, quality, retrieval)
 
 
 def queries() -> dict:
