@@ -2,7 +2,7 @@
 
 A payload is a run of rows (record, chunk number, bytes) of bounded size; what does not fit one WARC record goes on
 in continuation records (the format's segmentation), so no step holds a whole oversized payload. Digests are carried
-from chunk to chunk. Archives are plain WARC 1.1 files made by Spark's text writer, one record a row: each record
+from chunk to chunk. Archives are gzipped WARC 1.1 files made by Spark's text writer, one record a row: each record
 starts with its version line and the archive's WARC-Warcinfo-ID, which makes a delimiter that readers can split at.
 """
 
@@ -23,8 +23,8 @@ from .common import Batches, Scratch, partitions, shared_dir, small_batches, tab
 CHUNK_BYTES = 1 << 18
 #: Equal payloads of at least so many bytes are stored once.
 LEAST_REVISIT_BYTES = 0
-#: Records of an archive file.
-FILE_RECORDS = 50_000
+#: Records of an archive file; a gzipped file is read by one task, so files stay small.
+FILE_RECORDS = 5_000
 
 CHUNKS = "page_id long, row string, url string, chunk int, offset long, data string, last boolean, payload_bytes long, payload_digest string"
 CHUNKS_ARROW = pa.schema([("page_id", pa.int64()), ("row", pa.string()), ("url", pa.string()), ("chunk", pa.int32()), ("offset", pa.int64()), ("data", pa.string()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, least: int = L
     rows = chunks.drop("payload_bytes", "payload_digest").join(found, "row").withColumns({"payload_bytes": F.col("size"), "payload_digest": F.col("digest")})
     # of a revisit only its first row is a record
     rows = rows.where(~F.col("revisit") | (F.col("chunk") == 0)).withColumn("last", F.col("last") | F.col("revisit"))
-    rows.select(record_text(archive).alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(record_text(archive).alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
     scratch.drop("chunks")
     return archive
 
