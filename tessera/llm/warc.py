@@ -130,8 +130,11 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, least: int = L
     return archive
 
 
-def parsed(batches: Batches) -> Batches:
-    """Record texts to (row, chunk, data, headers)."""
+def parsed(batches: Batches, keep: bool = True) -> Batches:
+    """Record texts to (row, chunk, data, headers).
+
+    keep=False: a payload in one piece is checked against its digest here and left out; only segments go on.
+    """
     for batch in batches:
         rows = []
         for value in batch.column(0).to_pylist():
@@ -145,7 +148,12 @@ def parsed(batches: Batches) -> Batches:
             if data[n:].rstrip(b"\r\n") or len(data) < n:
                 raise ValueError(f"record {fields['WARC-Record-ID']}: {len(data)} bytes where {n} are told")
             refers = fields.get("WARC-Refers-To", "<urn:page:none>")[len("<urn:page:") : -1]
-            rows.append((row, int(chunk), None if page == "none" else int(page), fields["WARC-Type"], data[:n], fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), int(fields.get("X-Payload-Length", -1)), None if refers == "none" else int(refers), int(fields.get("WARC-Segment-Total-Length", -1))))
+            digest, told, data = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), int(fields.get("X-Payload-Length", -1)), data[:n]
+            if fields["WARC-Type"] == "response" and "WARC-Segment-Number" not in fields and not keep:
+                if base32(hashlib.sha1(data)) != digest:
+                    raise ValueError(f"record {fields['WARC-Record-ID']}: the payload read back has another digest")
+                told, data = n, None
+            rows.append((row, int(chunk), None if page == "none" else int(page), fields["WARC-Type"], data, digest, told, None if refers == "none" else int(refers), int(fields.get("WARC-Segment-Total-Length", -1))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PARSED_ARROW, strict=True)], schema=PARSED_ARROW)
 
@@ -154,11 +162,11 @@ PARSED = "row string, chunk int, page_id long, kind string, data binary, digest
 PARSED_ARROW = pa.schema([("row", pa.string()), ("chunk", pa.int32()), ("page_id", pa.int64()), ("kind", pa.string()), ("data", pa.binary()), ("digest", pa.string()), ("told_bytes", pa.int64()), ("refers_to", pa.int64()), ("total", pa.int64())])
 
 
-def read_records(spark: SparkSession, path: str, archive: str) -> DataFrame:
-    """The chunked record table of the archives at path: (row, chunk, page_id, kind, data, ...)."""
+def read_records(spark: SparkSession, path: str, archive: str, keep: bool = True) -> DataFrame:
+    """The chunked record table of the archives at path: (row, chunk, page_id, kind, data, ...); see parsed()."""
     small_batches(spark, 64)
     delimiter = f"WARC/1.1\r\nWARC-Warcinfo-ID: <urn:uuid:{archive}>\r\n"
-    return spark.read.option("lineSep", delimiter).text(path).mapInArrow(parsed, PARSED)
+    return spark.read.option("lineSep", delimiter).text(path).mapInArrow(lambda batches: parsed(batches, keep), PARSED)
 
 
 def folded(batches: Batches) -> Batches:
@@ -167,7 +175,7 @@ def folded(batches: Batches) -> Batches:
 
     def closed() -> tuple:
         row, chunk, page, kind, digest, told, refers, total, sha, size = state
-        if kind == "revisit":
+        if kind == "revisit" or told >= 0:  # told: a payload that parsed() has checked
             return page, told, digest, kind, refers
         if base32(sha) != digest or total not in (-1, size):
             raise ValueError(f"record {row}: the payload read back has another digest or length")
@@ -184,8 +192,8 @@ def folded(batches: Batches) -> Batches:
                 if state:
                     rows.append(closed())
                 state[:] = [row, chunk, page, kind, digest, told, refers, total, hashlib.sha1(), 0]
-            state[8].update(data)
-            state[9] += len(data)
+            state[8].update(data or b"")
+            state[9] += len(data or b"")
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), BACK_ARROW, strict=True)], schema=BACK_ARROW)
     if state:
@@ -195,9 +203,10 @@ def folded(batches: Batches) -> Batches:
 def read_archives(spark: SparkSession, path: str, archive: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record, its payload checked against its digest.
 
-    A record's segments are brought together in order and folded chunk by chunk, whatever the payload's size.
+    A payload in one piece is checked where it is read. The segments of others are brought together in order and folded
+    chunk by chunk, whatever the payload's size.
     """
-    records = read_records(spark, path, archive)
+    records = read_records(spark, path, archive, keep=False)
     n = partitions(spark)
     return records.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInArrow(folded, BACK)
 
