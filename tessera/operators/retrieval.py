@@ -210,12 +210,12 @@ def evidence_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("term", F.coalesce("e", "n", "v").alias("item"), tier.alias("tier"), confidence.alias("confidence"))
 
 
-@query("""with t as (select p_name label, p_partkey id from part), s as (select id, label, case when label = 'part' then 1.0 when starts_with(label, 'part') then 0.92 when contains(label, 'part') then 0.78 end score from (select id, lower(label) label from t))
-select id, label, score::double score from s where starts_with(label, 'part') order by score desc, label, id limit 8""")
+@query("""with t as (select p_name label, p_partkey id from part), s as (select id, label, case when label = 'small' then 1.0 when starts_with(label, 'small') then 0.92 when contains(label, 'small') then 0.78 end score from (select id, lower(label) label from t))
+select id, label, score::double score from s where starts_with(label, 'small') order by score desc, label, id limit 8""")
 def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight labels that start with what was typed, the best first."""
-    s = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label")).where(F.startswith("label", F.lit("part")))
-    return s.withColumn("score", T.text_score(F.lit("part"), F.col("label"))).orderBy(F.desc("score"), "label", "id").limit(8)
+    s = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("label")).where(F.startswith("label", F.lit("small")))
+    return s.withColumn("score", T.text_score(F.lit("small"), F.col("label"))).orderBy(F.desc("score"), "label", "id").limit(8)
 
 
 @query("""select label facet, count(*) n, min(vec_id) first_id from embeddings group by label""")
@@ -266,7 +266,7 @@ def fuse_boxes(page: pd.DataFrame, least: float = 0.55) -> pd.DataFrame:
 
 def fused_layout(boxes: DataFrame) -> DataFrame:
     """Pages' boxes fused; a page is one group, as greedy clustering is sequential within it."""
-    return boxes.groupBy("page").applyInPandas(fuse_boxes, "page long, label string, x1 double, y1 double, x2 double, y2 double, layout_confidence double, boxes int")
+    return boxes.groupBy("page").applyInPandas(lambda page: fuse_boxes(page), "page long, label string, x1 double, y1 double, x2 double, y2 double, layout_confidence double, boxes int")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
