@@ -27,7 +27,7 @@ from .common import Batches, Scratch, partitions, small_batches, table
 LENGTH, ANCHOR = 50, 16
 SPAN = LENGTH - ANCHOR + 1
 #: Text bytes that a task looks at together before it sends what it found, and about how many a range gets.
-FLUSH_BYTES, RANGE_BYTES = 12_000_000, 4_000_000
+FLUSH_BYTES, RANGE_BYTES = 12_000_000, 1_000_000
 
 PRIME = 0x9E3779B97F4A7C15
 NO_ID = np.int64(np.iinfo(np.int64).max)
@@ -289,7 +289,7 @@ def strings_of(ranges: int) -> Callable[[Batches], Batches]:
                 for hash_, a, end in zip(h[ok].tolist(), first[ok].tolist(), ends[ok].tolist(), strict=True):
                     merged.add(hash_, data[a : end + LENGTH - 1], i, key, a)
                     held += end - a + LENGTH + 200
-                if held > 4 * FLUSH_BYTES:
+                if held > 2 * FLUSH_BYTES:
                     if (found := out()) is not None:
                         yield found
                     merged, held = Merged(), 0
