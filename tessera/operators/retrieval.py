@@ -86,14 +86,15 @@ def similarity_edges(vectors: DataFrame, least: float) -> DataFrame:
         i, j = key
         x = np.stack(part["v"].to_numpy()) if len(part) else np.zeros((0, 1))
         norm = np.sqrt((x * x).sum(1))
-        x = x / np.where(norm == 0, 1, norm)[:, None]
+        raw, norm = x, np.where(norm == 0, 1, norm)
+        x = x / norm[:, None]
         ids, side = part["vec_id"].to_numpy(), part["own"].to_numpy()
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        found = np.argwhere(x[a] @ x[b].T >= least - 1e-9)
+        found = np.argwhere(x[a] @ x[b].T >= least - 1e-4)  # weights are rounded below
         s, d = a[found[:, 0]], b[found[:, 1]]
         ok = (ids[s] < ids[d]) if i == j else np.ones(len(s), bool)
         s, d = s[ok], d[ok]
-        weight = np.round((x[s] * x[d]).sum(1), 4)
+        weight = np.round((raw[s] * raw[d]).sum(1) / (norm[s] * norm[d]), 4)
         keep = weight >= least
         lo, hi = np.minimum(ids[s], ids[d])[keep], np.maximum(ids[s], ids[d])[keep]
         return pd.DataFrame({"src": lo, "dst": hi, "weight": weight[keep]})
