@@ -308,6 +308,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     scratch, n = Scratch(spark), partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sets = scratch.write(docs.mapInArrow(summarised, SETS), "sets")
+    rows = scratch.write(sets.select("doc_id", "n", "sig"), "rows")
     classes = scratch.write(sets.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k")), "classes")
 
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -320,7 +321,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     asked = sought.select("bucket", "n", "sig", "sought", none("binary").alias("hashes"), none("binary").alias("counts"))
     both = told.unionByName(asked).repartition(n, "bucket").sortWithinPartitions("bucket", F.col("n").isNotNull())
     prefixes = scratch.write(both.mapInArrow(rare_prefixes, PREFIX), "prefixes")
-    scratch.drop("counts")
+    scratch.drop("counts", "sets")
 
     hubs = prefixes.groupBy("h").agg(F.min("k").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     near = prefixes.join(hubs, "h").where("k != hub").select(F.col("k").alias("a"), F.col("hub").alias("b"))
@@ -333,7 +334,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = scratch.write(links, "links")
     found = connected(links, scratch, "links_")
     roots = scratch.write(classes.join(found, classes.rep == found.node, "left").select("sig", F.coalesce("component", "rep").alias("root")), "roots")
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(roots, "sig", "left")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(roots, "sig", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
