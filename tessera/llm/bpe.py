@@ -27,6 +27,9 @@ from .common import Batches, Scratch, partitions, small_batches, table, texts
 #: Characters of text in a flush; a longer document is a flush of its own.
 FLUSH_CHARS = 32_000_000
 
+#: A word's number of tokens is kept in two bytes; from this one on, the exact number is listed apart.
+MOST_U2 = 65535
+
 #: Fixed value: the split of byte-level BPE tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -168,7 +171,8 @@ def encoded(path: str) -> Callable[[Batches], Batches]:
                 if new := [w for w in words if w not in known]:
                     known.update((w, np.array(e.ids, kind)) for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True))
                 got = [known[w] for w in words]
-                rows.append((flush, part, pack(gaps, np.array([len(g) for g in got], np.uint16), np.concatenate(got))))
+                counts = np.array([len(g) for g in got], np.int64)
+                rows.append((flush, part, pack(gaps, np.minimum(counts, MOST_U2).astype("<u2"), counts[counts >= MOST_U2], np.concatenate(got))))
             if rows:
                 a, b, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["flush", "part", "data"])
@@ -204,10 +208,12 @@ def documents(docs: bytes, words: list[bytes], kind: str) -> tuple[list, list[np
     numbers = low.astype(np.uint32)
     far = far.reshape(4, -1).astype(np.uint32)
     numbers[low == 255] = far[0] | far[1] << 8 | far[2] << 16 | far[3] << 24
-    lists = [unpack(w, "<u4", "<u2", kind) for w in words]
+    lists = [unpack(w, "<u4", "<u2", "<i8", kind) for w in words]
     tokens: list = [None] * sum(len(x[0]) for x in lists)
-    for gaps, counts, flat in lists:
-        ends, flat, start = np.cumsum(counts, dtype=np.int64).tolist(), flat.tolist(), 0
+    for gaps, short, long, flat in lists:
+        counts = short.astype(np.int64)
+        counts[short == MOST_U2] = long
+        ends, flat, start = np.cumsum(counts).tolist(), flat.tolist(), 0
         for r, end in zip(np.cumsum(gaps, dtype=np.int64).tolist(), ends, strict=True):
             tokens[r] = flat[start:end]
             start = end

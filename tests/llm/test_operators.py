@@ -81,6 +81,17 @@ def test_bpe_round_trip_of_edge_rows(edge):
     assert bpe.encode_digests(edge.limit(0), path).count() == 0
 
 
+def test_bpe_of_a_word_of_many_tokens(spark):
+    path = bpe.default_path()
+    rows = [(1, "\u1681" * 30000), (2, "a word " + "\u1681" * 21845), (3, "\u1681" * 21846 + " and more"), (4, "a word")]
+    want = {i: bpe.tokenizer(path).encode(t, add_special_tokens=False).ids for i, t in rows}
+    assert len(want[1]) > 65535
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    assert {r.doc_id: r.ids for r in got.collect()} == want
+    said = by_id(bpe.encode_digests(spark.createDataFrame(rows, "doc_id long, text string"), path))
+    assert all(said[i][0] == len(want[i]) and said[i][2] == sha(t) for i, t in rows)
+
+
 def test_ann_recall(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
