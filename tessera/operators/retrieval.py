@@ -145,17 +145,20 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(n.withColumnRenamed("vec_id", "src"), "src", "left_semi").join(n.withColumnRenamed("vec_id", "dst"), "dst", "left_semi").select("src", "dst", "weight")
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): the longest way from a node without prerequisites (edges before -> node); cyclic nodes have none.
 
-    A round settles the nodes whose prerequisites are all settled (Kahn); most bounds the rounds.
+    A round settles the nodes whose prerequisites are all settled (Kahn), until a round settles nothing.
     """
     need = edges.groupBy("node").agg(F.count("*").alias("need"))
-    settled = nodes.join(need, "node", "left_anti").select("node", F.lit(0).alias("level"))
-    for level in range(1, most + 1):
+    settled = checkpointed(nodes.join(need, "node", "left_anti").select("node", F.lit(0).alias("level")))
+    level, before, now = 0, 0, settled.count()
+    while now > before:
+        level, before = level + 1, now
         met = edges.join(settled.select(F.col("node").alias("before")), "before").groupBy("node").agg(F.count("*").alias("met"))
         fresh = met.join(need, "node").where("met = need").select("node").join(settled, "node", "left_anti").select("node", F.lit(level).alias("level"))
         settled = checkpointed(settled.unionByName(fresh))
+        now = settled.count()
     return settled
 
 
@@ -166,7 +169,7 @@ def curriculum_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "part").where("p_partkey between 1 and 63").select(F.col("p_partkey").alias("node")).distinct()
     half = n.where("node > 1").select(F.expr("node div 2").alias("before"), "node")
     third = n.where("node >= 3").select(F.expr("node div 3").alias("before"), "node")
-    return topological_levels(n, half.union(third).distinct(), 6)
+    return topological_levels(n, half.union(third).distinct())
 
 
 @query("""with n as (select p_partkey node from part where p_partkey between 1 and 63), e as (select node // 2 before, node from n where node > 1 union select node // 3, node from n where node >= 3),

@@ -144,3 +144,10 @@ def test_circuit_cools_down(spark):
     calls = [("a", t, False, False), ("a", t + dt.timedelta(seconds=1), False, False), ("b", t, False, True), ("b", t + dt.timedelta(seconds=1), True, False)]
     got = {r.target: r.cooldown_seconds for r in flows.circuit_states(spark.createDataFrame(calls, "target string, ts timestamp, ok boolean, fatal boolean")).collect()}
     assert got == {"a": 300, "b": 0}
+
+
+def test_topological_levels_of_a_long_chain(spark):
+    nodes = spark.range(12).select(F.col("id").alias("node"))
+    edges = spark.createDataFrame([*((k, k + 1) for k in range(8)), (0, 8), (10, 11), (11, 10)], "before long, node long")
+    got = {r.node: r.level for r in retrieval.topological_levels(nodes, edges).collect()}
+    assert got == {**{k: k for k in range(9)}, 9: 0}  # 10 and 11 need each other
