@@ -24,6 +24,8 @@ PERCENT = 80
 LOW = np.uint64(int(0.3 * 2**64))
 #: Sets of a tile side, and the most bits of a bitmap.
 TILE, MOST_BITS = 512, 1 << 15
+#: Columns of a matrix of sets that are multiplied at a time.
+COLUMNS = 4096
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -219,72 +221,128 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
-def tile_links(sets: list[np.ndarray], second: np.ndarray, cross: bool) -> list[tuple[int, int]]:
-    """Links that join what isn't joined yet, of sets sorted by size; cross: only between the tile's two sides."""
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets: one by one, or by products of 0-1 matrices where that is less work."""
     n = np.array([len(s) for s in sets], np.int64)
-    bits, label, out = bitmaps(sets), np.arange(len(sets)), []
+    one_by_one = 2e-5 * len(x) + 5e-8 * (n[x] + n[y]).sum()
+    used = np.unique(np.concatenate([x, y]))
+    _, column, count = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
+    left, right = np.unique(x), np.unique(y)
+    wide = int((count > 1).sum())
+    if one_by_one <= 1e-10 * wide * len(left) * len(right):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    row = np.repeat(used, n[used])
+    shared = count[column] > 1
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2 ** 24 are exact
+    for first in range(0, wide, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, wide - first)), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        both += part[left] @ part[right].T
+    return both[np.searchsorted(left, x), np.searchsorted(right, y)].astype(np.int64)
+
+
+def tile_links(sets: list[np.ndarray], second: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All links (x, y), in order of x, of sets sorted by size; cross: only between the tile's two sides."""
+    n = np.array([len(s) for s in sets], np.int64)
+    bits, left, right = bitmaps(sets), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for x in range(len(sets)):
         end = int(np.searchsorted(n, 100 * n[x] // PERCENT, "right"))  # larger ones can't link
         y = np.arange(x + 1, end)
-        y = y[label[y] != label[x]]
         if cross:
             y = y[second[y] != second[x]]
         if not len(y):
             continue
         b = bits[y]
         most = np.minimum(n[x] - np.bitwise_count(bits[x] & ~b).sum(1, dtype=np.int64), n[y] - np.bitwise_count(b & ~bits[x]).sum(1, dtype=np.int64))
-        for k in y[linked(n[x], n[y], most)].tolist():
-            if label[k] != label[x] and linked(n[x], n[k], len(np.intersect1d(sets[x], sets[k], assume_unique=True))):
-                label[label == label[k]] = label[x]
-                out.append((x, k))
+        y = y[linked(n[x], n[y], most)]
+        left.append(np.full(len(y), x))
+        right.append(y)
+    x, y = np.concatenate(left), np.concatenate(right)
+    if len(x):
+        ok = linked(n[x], n[y], overlaps(sets, x, y))
+        x, y = x[ok], y[ok]
+    return x, y
+
+
+def forest(size: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what isn't joined yet: they have the components of all."""
+    label, out = np.arange(size), []
+    cuts = np.flatnonzero(np.diff(x)) + 1
+    for a, own in zip(x[np.r_[0, cuts]].tolist() if len(x) else [], np.split(y, cuts), strict=len(x) > 0):
+        names, at = np.unique(label[own], return_index=True)
+        new = names != label[a]
+        out += [(a, int(b)) for b in own[at[new]]]
+        if new.any():
+            label[np.isin(label, names[new])] = label[a]
     return out
 
 
-TILES = "tile long, comp long, i int, j int, side int, n long, rep long, hashes binary"
-TILES_ARROW = pa.schema([("tile", pa.int64()), ("comp", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("n", pa.int64()), ("rep", pa.int64()), ("hashes", pa.binary())])
-EDGES_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+TILES = "tile long, comp long, i int, j int, side int, n long, rep long, k long, copies long, hashes binary"
+TILES_ARROW = pa.schema([("tile", pa.int64()), ("comp", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("n", pa.int64()), ("rep", pa.int64()), ("k", pa.int64()), ("copies", pa.int64()), ("hashes", pa.binary())])
+#: Links that tell the components (k null), or how many links to other sets each text of a class k has in some tiles.
+EDGES = "a long, b long, k long, n long"
+EDGES_ARROW = pa.schema([(c, pa.int64()) for c in ("a", "b", "k", "n")])
 
 
 def placed(batches: Batches) -> Batches:
-    """(rep, text, sig, tiles) to a row a tile with the text's whole set; texts of another set under one id go."""
+    """(rep, text, sig, k, copies, tiles) to a row a tile with the text's whole set; texts of another set under one id go."""
     make = Shingles()
     for batch in batches:
         rows = []
-        for rep, text, sig, tiles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for rep, text, sig, k, copies, tiles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             h = make(text or "")
             if xxhash.xxh3_128_digest(h.tobytes()) == sig:
-                rows += [(t["tile"], t["comp"], t["i"], t["j"], t["side"], len(h), rep, h.tobytes()) for t in tiles]
+                rows += [(t["tile"], t["comp"], t["i"], t["j"], t["side"], len(h), rep, k, copies, h.tobytes()) for t in tiles]
         if rows:
             yield _batch(rows, TILES_ARROW)
 
 
 def tile_edges(batches: Batches) -> Batches:
-    """Rows sorted by (tile, comp, i, j, n, rep) to the links found in each tile."""
-    key, sets, sides, reps = None, [], [], []
-
-    def found() -> list[tuple[int, int]]:
-        return [(reps[x], reps[y]) for x, y in tile_links(sets, np.array(sides), key[2] != key[3])] if len(sets) > 1 else []
+    """Rows sorted by (tile, comp, i, j, n, rep, k) to the links found in each tile: a forest of them, and their number
+    by class, each link counted as often as the other class has texts."""
+    key, sets, rows, number = None, [], [], {}
+
+    def found() -> list[tuple]:
+        if len(sets) < 2:
+            return []
+        reps, names, copies, sides = zip(*rows, strict=True)
+        x, y = tile_links(sets, np.array(sides), key[2] != key[3])
+        copies = np.array(copies, float)
+        total = np.bincount(x, copies[y], len(sets)) + np.bincount(y, copies[x], len(sets))
+        for k in np.flatnonzero(total).tolist():
+            number[names[k]] = number.get(names[k], 0) + int(total[k])
+        return [(reps[a], reps[b], None, None) for a, b in forest(len(sets), x, y)]
+
+    def counted() -> list[tuple]:
+        out = [(None, None, k, n) for k, n in number.items()]
+        number.clear()
+        return out
 
     for batch in batches:
         out = []
-        for tile, comp, i, j, side, _, rep, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for tile, comp, i, j, side, _, rep, k, copies, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (tile, comp, i, j) != key:
                 out += found() if key else []
-                key, sets, sides, reps = (tile, comp, i, j), [], [], []
-            if not reps or reps[-1] != rep:
+                key, sets, rows = (tile, comp, i, j), [], []
+            if not rows or rows[-1][:2] != (rep, k):
                 sets.append(np.frombuffer(hashes, np.uint64))
-                sides.append(side)
-                reps.append(rep)
+                rows.append((rep, k, copies, side))
+        if len(number) > 200_000:
+            out += counted()
         if out:
             yield _batch(out, EDGES_ARROW)
-    if key and (out := found()):
+    if out := (found() if key else []) + counted():
         yield _batch(out, EDGES_ARROW)
 
 
 def tiling(members: DataFrame) -> DataFrame:
-    """(rep, sig, tiles): members (comp, rep, n, sig) by size within comp, in blocks of TILE; a tile is two blocks whose
+    """(rep, sig, k, copies, tiles): members (comp, rep, n, sig, k, copies) by size within comp, in blocks of TILE; a tile is two blocks whose
     sizes can link, or one with itself."""
-    order = W.partitionBy("comp").orderBy("n", "rep")
+    order = W.partitionBy("comp").orderBy("n", "rep", "k")
     blocks = members.withColumn("block", ((F.row_number().over(order) - 1) / TILE).cast("int"))
     span = blocks.groupBy("comp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     left = span.select("comp", F.col("block").alias("i"), "most")
@@ -292,14 +350,14 @@ def tiling(members: DataFrame) -> DataFrame:
     pairs = left.join(right, "comp").where((F.col("i") <= F.col("j")) & (100 * F.col("most") >= PERCENT * F.col("least"))).select("comp", "i", "j")
     sides = pairs.select("comp", "i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).unionByName(pairs.where("i != j").select("comp", "i", "j", F.lit(1).alias("side"), F.col("j").alias("block")))
     tile = F.struct(F.xxhash64("comp", "i", "j").alias("tile"), "comp", "i", "j", "side")
-    return blocks.join(sides, ["comp", "block"]).groupBy("rep", "sig").agg(F.collect_list(tile).alias("tiles"))
+    return blocks.join(sides, ["comp", "block"]).groupBy("rep", "sig", "k", "copies").agg(F.collect_list(tile).alias("tiles"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row of docs (doc_id, text).
 
-    component_id is the smallest doc_id reachable over links. Null and empty texts, and texts without words, have no
-    shingles and their own id; rows with a null id take no part and have a null component. Ids
+    n_links counts the other rows with an id whose sets link with this one's, copies among them. component_id is the smallest doc_id reachable over links. Null and empty texts, and texts without words, have no
+    shingles, no links and their own id; rows with a null id take no part and have nulls there. Ids
     should be distinct: of different texts under one id, each has its own class's component, and classes whose smallest
     id is the same are one. Other columns are ignored.
     """
@@ -309,7 +367,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sets = scratch.write(docs.mapInArrow(summarised, SETS), "sets")
     rows = scratch.write(sets.select("doc_id", "n", "sig"), "rows")
-    classes = scratch.write(sets.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k")), "classes")
+    classes = scratch.write(sets.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k"), F.count("*").alias("copies")), "classes")
 
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = ranges = max(2 * n, total // 5_000_000)
@@ -326,17 +384,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     hubs = prefixes.groupBy("h").agg(F.min("k").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     near = prefixes.join(hubs, "h").where("k != hub").select(F.col("k").alias("a"), F.col("hub").alias("b"))
     comps = connected(near, scratch, "near")
-    members = scratch.write(classes.join(comps, classes.k == comps.node).select(F.col("component").alias("comp"), "rep", "n", "sig"), "members")
+    members = scratch.write(classes.join(comps, classes.k == comps.node).select(F.col("component").alias("comp"), "rep", "n", "sig", "k", "copies"), "members")
     scratch.drop("prefixes")
 
-    tiles = docs.join(tiling(members), docs.doc_id == F.col("rep")).select("rep", "text", "sig", "tiles").mapInArrow(placed, TILES)
-    links = tiles.repartition(n, "tile").sortWithinPartitions("tile", "comp", "i", "j", "n", "rep").mapInArrow(tile_edges, "a long, b long")
+    tiles = docs.join(tiling(members), docs.doc_id == F.col("rep")).select("rep", "text", "sig", "k", "copies", "tiles").mapInArrow(placed, TILES)
+    links = tiles.repartition(n, "tile").sortWithinPartitions("tile", "comp", "i", "j", "n", "rep", "k").mapInArrow(tile_edges, EDGES)
     links = scratch.write(links, "links")
-    found = connected(links, scratch, "links_")
-    roots = scratch.write(classes.join(found, classes.rep == found.node, "left").select("sig", F.coalesce("component", "rep").alias("root")), "roots")
+    found = connected(links.where("k is null").select("a", "b"), scratch, "links_")
+    number = links.where("k is not null").groupBy("k").agg(F.sum("n").alias("others"))
+    joined = classes.join(found, classes.rep == found.node, "left").join(number, "k", "left")
+    roots = scratch.write(joined.select("sig", F.coalesce("component", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links")), "roots")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(roots, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(known, F.coalesce("root", "doc_id")).alias("component_id"), F.when(known, F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of jaccard_links()."""
+    return jaccard_links(docs).drop("n_links")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents"))

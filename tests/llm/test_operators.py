@@ -202,6 +202,35 @@ def test_jaccard_tiles_of_a_large_group(spark, monkeypatch):
     assert got == linked_components(rows)
 
 
+def link_numbers(rows):
+    words = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w] for i, t in rows}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for i, w in words.items()}
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    return {i: sum(linked(s, t) for j, t in sets.items() if j != i) for i, s in sets.items()}
+
+
+def test_jaccard_links_against_brute_force(spark, docs):
+    got = by_id(jaccard_join.op7_jaccard_links(spark, DATA))
+    assert {i: v[2] for i, v in got.items()} == link_numbers(docs.items()) and {i: v[:2] for i, v in got.items()} == linked_components(docs.items())
+
+
+def test_jaccard_links_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(w if (k * 31 + i // 2 * 17) % 151 else f"x{i // 2}" for k, w in enumerate(base[: 100 + i // 2 % 21]))) for i in range(80)]
+    got = {i: v[2] for i, v in by_id(jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
+    assert got == link_numbers(rows) and min(got.values()) > 0 and len(set(got.values())) > 1
+
+
+def test_jaccard_overlaps_by_products(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 7)
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, 50)).astype(np.uint64) for _ in range(40)]
+    x, y = np.triu_indices(40, 1)
+    got = jaccard_join.overlaps(sets, x, y)
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)]
+
+
 def test_jaccard_of_edge_rows(edge):
     got = sorted(map(str, jaccard_join.jaccard_components(edge).collect()))
     assert "Row(doc_id=5, n_shingles=1, component_id=4)" in got and "Row(doc_id=1, n_shingles=0, component_id=1)" in got and len(got) == len(EDGE)
