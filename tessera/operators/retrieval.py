@@ -193,6 +193,19 @@ def ancestry_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("node", F.array_join(steps, ">").alias("path"))
 
 
+def looked_up(terms: DataFrame, lex: DataFrame) -> DataFrame:
+    """(term, item, tier, confidence) of terms (term) in a lexicon (item_id, raw): exactly, normalised, by stem."""
+    lex = lex.withColumn("lemma", F.lower("raw"))
+    exact = lex.groupBy(F.col("raw").alias("term")).agg(F.min("item_id").alias("e"))
+    norm = lex.groupBy("lemma").agg(F.min("item_id").alias("n"))
+    stem = norm.where(F.length("lemma") >= 4).groupBy(F.substring("lemma", 1, 4).alias("stem")).agg(F.min("n").alias("v"))
+    t = terms.withColumn("lemma", F.lower("term")).withColumn("stem", F.when(F.length("term") >= 4, F.substring("lemma", 1, 4)))
+    t = t.join(exact, "term", "left").join(norm, "lemma", "left").join(stem, "stem", "left")
+    tier = F.when(F.col("e").isNotNull(), "exact").when(F.col("n").isNotNull(), "normalised").when(F.col("v").isNotNull(), "variant").otherwise("none")
+    confidence = F.when(F.col("e").isNotNull(), 1.0).when(F.col("n").isNotNull(), 0.95).when(F.col("v").isNotNull(), 0.9).otherwise(0.0)
+    return t.select("term", F.coalesce("e", "n", "v").alias("item"), tier.alias("tier"), confidence.alias("confidence"))
+
+
 @query("""with lex as (select item_id, lower(string_split("text", ' ')[1]) lemma, string_split("text", ' ')[1] raw from benchmark), l as (select lemma, min(item_id) item, min(raw) raw from lex group by lemma),
 t as (select distinct string_split("text", ' ')[1] term from documents where "text" is not null)
 select term, coalesce(e.item, n.item, v.item) item, case when e.item is not null then 'exact' when n.item is not null then 'normalised' when v.item is not null then 'variant' else 'none' end tier,
@@ -202,16 +215,18 @@ left join (select substring(lemma, 1, 4) stem, min(item) item from l where lengt
 def evidence_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms looked up in a lexicon: exactly, normalised, by stem; the first that finds something gives the confidence."""
     first = F.element_at(F.split("text", " "), 1)
-    lex = read(spark, sf_dir, "benchmark").select("item_id", first.alias("raw"), F.lower(first).alias("lemma"))
+    lex = read(spark, sf_dir, "benchmark").select("item_id", first.alias("raw"))
     terms = read(spark, sf_dir, "documents").where("text is not null").select(first.alias("term")).distinct()
-    exact = lex.groupBy(F.col("raw").alias("term")).agg(F.min("item_id").alias("e"))
-    norm = lex.groupBy("lemma").agg(F.min("item_id").alias("n"))
-    stem = norm.where(F.length("lemma") >= 4).groupBy(F.substring("lemma", 1, 4).alias("stem")).agg(F.min("n").alias("v"))
-    t = terms.withColumn("lemma", F.lower("term")).withColumn("stem", F.when(F.length("term") >= 4, F.substring("lemma", 1, 4)))
-    t = t.join(exact, "term", "left").join(norm, "lemma", "left").join(stem, "stem", "left")
-    tier = F.when(F.col("e").isNotNull(), "exact").when(F.col("n").isNotNull(), "normalised").when(F.col("v").isNotNull(), "variant").otherwise("none")
-    confidence = F.when(F.col("e").isNotNull(), 1.0).when(F.col("n").isNotNull(), 0.95).when(F.col("v").isNotNull(), 0.9).otherwise(0.0)
-    return t.select("term", F.coalesce("e", "n", "v").alias("item"), tier.alias("tier"), confidence.alias("confidence"))
+    return looked_up(terms, lex)
+
+
+@query()
+def evidence_cascade_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As evidence_cascade, for every word of every document, in a lexicon of all words of the benchmark."""
+    words = lambda name: F.explode(F.split("text", r"\s+")).alias(name)
+    lex = read(spark, sf_dir, "benchmark").select("item_id", words("raw")).where("raw != ''").distinct()
+    terms = read(spark, sf_dir, "documents").select(words("term")).where("term != ''").distinct()
+    return looked_up(terms, lex)
 
 
 @query("""with t as (select p_name label, p_partkey id from part), s as (select id, label, case when label = 'small' then 1.0 when starts_with(label, 'small') then 0.92 when contains(label, 'small') then 0.78 end score from (select id, lower(label) label from t))

@@ -151,3 +151,11 @@ def test_topological_levels_of_a_long_chain(spark):
     edges = spark.createDataFrame([*((k, k + 1) for k in range(8)), (0, 8), (10, 11), (11, 10)], "before long, node long")
     got = {r.node: r.level for r in retrieval.topological_levels(nodes, edges).collect()}
     assert got == {**{k: k for k in range(9)}, 9: 0}  # 10 and 11 need each other
+
+
+def test_evidence_cascade_of_every_word(spark):
+    path = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame([(1, "the Quick fox"), (2, "lazy dogs sleeping")], "item_id long, text string").write.parquet(path + "/benchmark.parquet")
+    spark.createDataFrame([(1, "fox quick\n sleeper"), (2, "none fox"), (3, None), (4, "")], "doc_id long, text string").write.parquet(path + "/documents.parquet")
+    got = {tuple(r) for r in retrieval.QUERIES["evidence_cascade_terms"](spark, path).collect()}
+    assert got == {("fox", 1, "exact", 1.0), ("quick", 1, "normalised", 0.95), ("sleeper", 2, "variant", 0.9), ("none", None, "none", 0.0)}
