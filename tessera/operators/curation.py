@@ -223,13 +223,12 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count_if(F.contains(t, F.lit("the "))).alias("the"), F.count_if(F.contains(t, F.lit(" de "))).alias("de"))
 
 
-@query("""with g as (select doc_id, source, substring("text", 1, 60) x from documents where length("text") >= 60), p as (select p_partkey, p_name from part where p_partkey <= 300),
-q as (select a.p_partkey a, b.p_partkey b, a.p_name x, b.p_name y from p a join part b on b.p_partkey = a.p_partkey + 1)
+@query("""with q as (select a.p_partkey a, b.p_partkey b, a.p_name x, b.p_name y from part a join part b on b.p_partkey = a.p_partkey + 1)
 select a, b, round(len(list_intersect(gx, gy)) / greatest(len(list_distinct(list_concat(gx, gy))), 1), 6) trigram, levenshtein(lower(x), lower(y)) distance
 from (select *, list_distinct(list_transform(range(1, greatest(length(x) - 1, 1)), lambda i: substring(lower(x), i, 3))) gx, list_distinct(list_transform(range(1, greatest(length(y) - 1, 1)), lambda i: substring(lower(y), i, 3))) gy from q)""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring catalogue names: trigram similarity and edit distance."""
     part = read(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    a = part.where("p_partkey <= 300").select(F.col("p_partkey").alias("a"), F.col("name").alias("x"))
+    a = part.select(F.col("p_partkey").alias("a"), F.col("name").alias("x"))
     q = a.join(part.select((F.col("p_partkey") - 1).alias("a"), F.col("p_partkey").alias("b"), F.col("name").alias("y")), "a")
     return q.select("a", "b", F.round(T.jaccard(T.ngrams(F.col("x"), 3), T.ngrams(F.col("y"), 3)), 6).alias("trigram"), F.levenshtein("x", "y").alias("distance"))

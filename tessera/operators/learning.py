@@ -169,19 +169,18 @@ def sliding_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with totals as (select p_brand category, count(*) total from part group by 1),
-got as (select c.o_custkey user_id, p_brand category, count(distinct l_partkey) mastered from lineitem join orders c on l_orderkey = o_orderkey join part on l_partkey = p_partkey where l_returnflag = 'A' and o_custkey <= 200 group by all),
-u as (select c_custkey user_id from customer where c_custkey <= 200)
+got as (select c.o_custkey user_id, p_brand category, count(distinct l_partkey) mastered from lineitem join orders c on l_orderkey = o_orderkey join part on l_partkey = p_partkey where l_returnflag = 'A' group by all),
+u as (select c_custkey user_id from customer)
 select u.user_id, t.category, t.total, coalesce(g.mastered, 0) mastered, round(coalesce(g.mastered, 0) * 100.0 / t.total, 4) pct
 from u cross join totals t left join got g on g.user_id = u.user_id and g.category = t.category""")
 def category_mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items mastered of each category, for the learners of one school (keys up to 200): zeros for untouched ones."""
+    """Items mastered of each category by every learner: zeros for untouched ones."""
     part = read(spark, sf_dir, "part")
-    school = F.col("o_custkey") <= 200
     totals = part.groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("total"))
     rows = read(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select("l_orderkey", "l_partkey")
-    rows = rows.join(read(spark, sf_dir, "orders").where(school).select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     got = rows.groupBy(F.col("o_custkey").alias("user_id"), F.col("p_brand").alias("category")).agg(F.count_distinct("l_partkey").alias("mastered"))
-    users = read(spark, sf_dir, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("user_id"))
+    users = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
     dense = users.crossJoin(F.broadcast(totals)).join(got, ["user_id", "category"], "left")  # totals: a row a category
     n = F.coalesce("mastered", F.lit(0))
     return dense.select("user_id", "category", "total", n.alias("mastered"), F.round(n * 100.0 / F.col("total"), 4).alias("pct"))
@@ -230,23 +229,28 @@ def curriculum_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "region").join(per_region, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.col("r_name").alias("variant"), zero("trails"), zero("chapters"), zero("lessons"))
 
 
-@query("""with t as (select p_partkey term, p_brand class, p_type kind, row_number() over (order by p_partkey) no from part where p_partkey <= 500),
-c as (select a.term, a.class, b.p_partkey cand, case when b.p_type = a.kind and b.p_brand = a.class then 1 when b.p_type = a.kind then 2 when b.p_brand = a.class then 3 end stage,
-  (b.p_partkey * 2654435761 + a.term * 40503) % 1000003 r from t a join part b on b.p_partkey <> a.term and (b.p_type = a.kind or b.p_brand = a.class)),
+@query("""with p as (select p_partkey id, p_type kind, p_brand class, (p_partkey * 2654435761) % 1000003 r from part),
+c as (select a.id term, b.id cand, case when a.kind = b.kind and a.class = b.class then 1 when a.kind = b.kind then 2 else 3 end stage, b.r from p a join p b on a.id <> b.id and (a.kind = b.kind or a.class = b.class)),
 k as (select *, row_number() over (partition by term order by stage, r, cand) n from c)
 select term, string_agg(cand::varchar, ',' order by n) distractors from k where n <= 3 group by term""")
 def lateral_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three distractors of each term of the first course (terms up to 500): same kind and class, same kind, same class.
+    """Three distractors of each term: of its kind and class, then of its kind, then of its class.
 
-    The two ways to be a candidate are two equi-joins, not one join on an OR.
+    Candidates stand in one order, so a term needs only the first four of its cell, of its kind and of its class: short
+    lists by group (top four, found with a bounded window), which are joined by the group's key. No pairs are made.
     """
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    terms = part.where("p_partkey <= 500").select(F.col("p_partkey").alias("term"), F.col("p_brand").alias("class"), F.col("p_type").alias("kind"))
-    by_kind = terms.join(part, F.col("kind") == F.col("p_type")).withColumn("stage", F.when(F.col("p_brand") == F.col("class"), 1).otherwise(2))
-    by_class = terms.join(part, (F.col("class") == F.col("p_brand")) & (F.col("p_type") != F.col("kind"))).withColumn("stage", F.lit(3))
-    c = by_kind.unionByName(by_class).where("p_partkey <> term").withColumn("r", (F.col("p_partkey") * 2654435761 + F.col("term") * 40503) % 1000003)
-    top = c.withColumn("n", F.row_number().over(W.partitionBy("term").orderBy("stage", "r", "p_partkey"))).where("n <= 3")
-    return top.groupBy("term").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "p_partkey"))), lambda x: x["p_partkey"].cast("string")), ",").alias("distractors"))
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.col("p_brand").alias("class"))
+    part = part.withColumn("r", (F.col("id") * 2654435761) % 1000003)
+
+    def firsts(keys: list[str], stage: int, most: int) -> DataFrame:
+        top = part.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("r", "id"))).where(F.col("n") <= most)
+        return top.groupBy(*keys).agg(F.collect_list(F.struct(F.lit(stage).alias("stage"), "r", "id", "kind", "class")).alias(f"s{stage}"))
+
+    # of its kind there may be 4 rows in front that belong to its cell; so many more are kept
+    lists = part.select("id", "kind", "class").join(firsts(["kind", "class"], 1, 4), ["kind", "class"], "left").join(firsts(["kind"], 2, 8), "kind", "left").join(firsts(["class"], 3, 8), "class", "left")
+    others = F.filter(F.flatten(F.array("s1", "s2", "s3")), lambda x: (x["id"] != F.col("id")) & ((x["stage"] == 1) | ((x["stage"] == 2) & (x["class"] != F.col("class"))) | ((x["stage"] == 3) & (x["kind"] != F.col("kind")))))
+    best = F.slice(F.array_sort(F.transform(others, lambda x: F.struct(x["stage"], x["r"], x["id"]))), 1, 3)
+    return lists.where(F.size(best) > 0).select(F.col("id").alias("term"), F.array_join(F.transform(best, lambda x: x["id"].cast("string")), ",").alias("distractors"))
 
 
 @query("""with o as (select *, max(o_orderdate) over () last_ from orders),
@@ -332,9 +336,9 @@ def running_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("user_id", "event_id", "amount", b.alias("balance"), (b >= 0).alias("accepted"))
 
 
-@query("""select conv_id, turn, last_value(text ignore nulls) over (partition by conv_id order by turn) as x, floor((turn - 1) / 5)::int session_no from (select conv_id, turn, case when role = 'user' then left(text, 40) end text from conversations)""")
+@query("""select conv_id, turn, last_value(text ignore nulls) over (partition by conv_id order by turn) as x, floor((turn - 1) / 5)::int session_no from (select conv_id, turn, case when role = 'user' then text end text from conversations)""")
 def carry_forward_headword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line with the last head line before it (a user's turn), and sessions of five lines."""
-    head = F.when(F.col("role") == "user", F.substring("text", 1, 40))
+    head = F.when(F.col("role") == "user", F.col("text"))
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(head, ignorenulls=True).over(w).alias("x"), F.floor((F.col("turn") - 1) / 5).cast("int").alias("session_no"))

@@ -291,7 +291,7 @@ def placement_anticheat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("user_id", F.round("t", 4).alias("mean_secs"), "right_", one.alias("one_letter"), (one | fast).alias("cheating"), most.alias("most_level"))
 
 
-@query(f"""with {ITEMS}, {EAP_SQL} select user_id, least(greatest(round_even((theta + 0.001 - 5.5 / 1.8) * 0 + round_even((least(greatest(theta, -3), 3) + 3) / 6 * 9 + 1, 0), 0), 1), 10)::int level_,
+@query(f"""with {ITEMS}, {EAP_SQL} select user_id, least(greatest(round_even((least(greatest(theta, -3), 3) + 3) / 6 * 9 + 1, 0), 1), 10)::int level_,
  round_even(cast((round_even((least(greatest(theta, -3), 3) + 3) / 6 * 9 + 1, 0) - 5.5) / 1.8 as double), 2) back from eap""")
 def level_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ability to level and back."""
@@ -321,15 +321,20 @@ def ability_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses(spark, sf_dir).select("user_id", "ok", "a", "b", "c").groupBy("user_id").applyInPandas(map_ability, "user_id long, theta double, se double, steps int")
 
 
-@query(f"""with {ITEMS}, g as (select (i - 20) / 5.0::double as t from (select unnest(range(0, 41)) i)),
-f as (select user_id, item, min_by(ok, (ts, event_id)) ok, 1.2::double a, ((item % 41 - 20) / 10.0)::double b, 0.25::double c from resp where item % 13 <> 0 group by user_id, item),
+@query(f"""with {ITEMS}, withdrawn as (select r.event_id from resp r join (select item, avg(ok::int) p from resp group by item having count(*) >= 5 and (avg(ok::int) < 0.25 or avg(ok::int) > 0.95)) w on w.item = r.item),
+g as (select (i - 20) / 5.0::double as t from (select unnest(range(0, 41)) i)),
+f as (select user_id, item, min_by(ok, (ts, event_id)) ok, 1.2::double a, ((item % 41 - 20) / 10.0)::double b, 0.25::double c from resp where event_id not in (select event_id from withdrawn) group by user_id, item),
 pr as (select distinct user_id, ((user_id % 5) - 2) / 2.0 as m from resp),
 l as (select f.user_id, t, 0.2 * sum(ln(case when ok then greatest(p, 1e-9) else greatest(1 - p, 1e-9) end)) ll from (select user_id, t, ok, {P.format(t="t")} p from f, g) f group by all),
 w as (select l.user_id, t, exp(ll - (t - m) ** 2 / (2 * 0.64) - max(ll - (t - m) ** 2 / (2 * 0.64)) over (partition by l.user_id)) w from l join pr using (user_id))
 select user_id, round(sum(w * t) / sum(w), 3) theta from w group by 1""")
 def lesson_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ability after lessons: first attempts at items not withdrawn, damped likelihood, the old ability as prior."""
-    r = responses(spark, sf_dir).where("item % 13 <> 0")
+    """Ability after lessons: first attempts, damped likelihood, the old ability as prior. Items that
+    nearly all or hardly any answers get right are withdrawn."""
+    r = responses(spark, sf_dir)
+    share = F.avg(F.col("ok").cast("int"))
+    withdrawn = r.groupBy("item").agg(F.count("*").alias("n"), share.alias("p")).where("n >= 5 and (p < 0.25 or p > 0.95)").select("item")
+    r = r.join(withdrawn, "item", "left_anti")
     first = r.groupBy("user_id", "item").agg(F.min_by("ok", F.struct("ts", "event_id")).alias("ok"))
     nodes = items(first).withColumn("t", F.explode(F.array(*map(F.lit, GRID))))
     p = p3pl(F.col("t"), F.col("a"), F.col("b"), F.col("c"))

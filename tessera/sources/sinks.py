@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """table with rows put in by key; new columns of rows are null in older ones."""
-    return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+def upserted(table: DataFrame, rows: DataFrame, keys: list[str], added: list[str] | None = None) -> DataFrame:
+    """table with rows put in by key; new columns of rows are null in older ones. Numbers in added are added up instead
+    (nulls as 0). rows has a key once: of repeated keys one row would have to win, so they are told apart first."""
+    if not added:
+        return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+    rest = [c for c in rows.columns if c not in (*keys, *added)]
+    both = table.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    kept = [F.max_by(c, "__new").alias(c) for c in [*rest, *(c for c in table.columns if c not in (*keys, *added, *rest))]]
+    return both.groupBy(*keys).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in added), *kept)
 
 
 def by_metadata(docs: DataFrame, key: str, value: str) -> DataFrame:

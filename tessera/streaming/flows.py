@@ -59,8 +59,9 @@ def metrics(events: DataFrame, width: str = "1 hour") -> DataFrame:
 
 
 def presence(heartbeats: DataFrame, expiry: str = "180 seconds", slide: str = "60 seconds") -> DataFrame:
-    """Users seen by country in sliding windows as long as a heartbeat counts."""
-    return heartbeats.withWatermark("ts", expiry).groupBy(F.window("ts", expiry, slide).alias("w"), "country").agg(F.approx_count_distinct("user_id", 0.01).alias("online")).select(F.col("w.end").alias("at"), "country", "online")
+    """Users seen by country in sliding windows as long as a heartbeat counts, each counted once a window."""
+    seen = heartbeats.withWatermark("ts", expiry).select(F.window("ts", expiry, slide).alias("w"), "country", "user_id").dropDuplicates(["w", "country", "user_id"])
+    return seen.groupBy("w", "country").agg(F.count("user_id").alias("online")).select(F.col("w.end").alias("at"), "country", "online")
 
 
 def crash_clusters(crashes: DataFrame) -> DataFrame:
