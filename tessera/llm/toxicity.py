@@ -10,16 +10,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Batches, small_batches, table
+from .common import Batches, shuffles_removed, small_batches, table
 
 #: Hashed features; labelled documents that training gets at most (half of them toxic, if there are so many), and the
 #: characters of text that these may have together. The sample is a documented bound; scoring covers every document.
@@ -80,49 +80,91 @@ class Model:
         return noisy_or(self.logits(text))
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a text and the sentence that each belongs to."""
-    own = sentences(text)
-    flat, at = [], []
-    for k, s in enumerate(own):
-        for w in s:
-            found = features(w)
-            flat += found
-            at += [k] * len(found)
-    return np.array(flat, np.int32), np.array(at, np.int32)
+@dataclass
+class Bag:
+    """A text for training: features of its distinct words, one after another from each word's start on, and for each
+    word in the text its place among these and its sentence."""
 
+    features: np.ndarray
+    starts: np.ndarray
+    place: np.ndarray
+    at: np.ndarray
+    size: int
 
-def train(texts: list[str], toxic: list[int]) -> Model:
+    def __post_init__(self):
+        self.used, self.number = np.unique(self.features, return_inverse=True)
+        self.number = self.number.astype(np.int32)
+
+    @classmethod
+    def of(cls, text: str) -> Bag:
+        own, known, flat, starts, place, at = sentences(text), {}, [], [], [], []
+        for k, s in enumerate(own):
+            for w in s:
+                if w not in known:
+                    known[w] = len(known)
+                    starts.append(len(flat))
+                    flat += features(w)
+                place.append(known[w])
+                at.append(k)
+        return cls(*(np.array(x, np.int32) for x in (flat, starts, place, at)), len(own))
+
+    def packed(self) -> bytes:
+        parts = (self.features, self.starts, self.place, self.at)
+        return zlib.compress(np.concatenate([np.array([self.size, *map(len, parts)], np.int32), *parts]).tobytes())
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Bag:
+        size, *lengths = (flat := np.frombuffer(zlib.decompress(data), np.int32))[:5].tolist()
+        return cls(*np.split(flat[5:], np.cumsum(lengths)[:-1]), size)
+
+    def without(self, ok: np.ndarray) -> Bag:
+        """Only features that are ok, by number; the words stay."""
+        kept = ok[self.features]
+        return Bag(self.features[kept], np.concatenate([[0], np.cumsum(kept)])[self.starts].astype(np.int32), self.place, self.at, self.size)
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Each sentence's sum of weights."""
+        upto = np.concatenate([[0.0], np.cumsum(weights[self.features])])
+        word = upto[np.append(self.starts[1:], len(self.features))] - upto[self.starts]
+        return np.bincount(self.at, word[self.place], minlength=self.size)
+
+    def spread(self, d: np.ndarray) -> np.ndarray:
+        """The transpose of sums(): for each place in features what its sentences' values d add up to."""
+        word = np.bincount(self.place, d[self.at], minlength=len(self.starts))
+        return np.repeat(word, np.diff(np.append(self.starts, len(self.features))))
+
+
+def slopes(x: np.ndarray, toxic: int) -> np.ndarray:
+    """Derivative of a document's log loss by its sentences' logits x.
+
+    With p the noisy-or and s the sentences' scores it is s * (1 - toxic / p): a clean document pushes every sentence
+    down, a toxic one its likeliest ones up.
+    """
+    s = 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    return s * (1 - toxic / min(max(noisy_or(x), 1e-9), 1 - 1e-9))
+
+
+def train(docs: list[Bag], toxic: list[int]) -> Model:
     """Adagrad on the log loss of the noisy-or, a document a step, in a fixed random order.
 
     Weights stay at 0 or above, so that harmless words around an offending one can't make up for it.
     Features in fewer than LEAST_DOCS documents keep weight 0: by them the labels could be learned by heart.
     """
-    docs = [bag(t) for t in texts]
     seen = np.zeros(FEATURES, np.int32)
-    for flat, _ in docs:
-        seen[np.unique(flat)] += 1
-    kept = []
-    for flat, at in docs:
-        n = int(at[-1]) + 1 if len(at) else 0
-        ok = seen[flat] >= LEAST_DOCS
-        used, place = np.unique(flat[ok], return_inverse=True)
-        kept.append((used, place.astype(np.int32), at[ok], n))
-    del docs
+    for d in docs:
+        seen[d.used] += 1
+    docs = [d.without(seen >= LEAST_DOCS) for d in docs]
     w, g2 = np.zeros(FEATURES), np.full(FEATURES, 1e-1)
     bias, bias2 = -4.0, 1e-1
     order = np.random.default_rng(SEED)
     for _ in range(ROUNDS):
-        for k in order.permutation(len(kept)):
-            used, place, at, n = kept[k]
-            if not n:
+        for k in order.permutation(len(docs)):
+            own = docs[k]
+            if not own.size:
                 continue
-            x = np.bincount(at, w[used][place], minlength=n) + bias
-            s = 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-            p = min(max(noisy_or(x), 1e-9), 1 - 1e-9)
-            # d loss / d x_i = s_i * (1 - y / p): a clean document pushes every sentence, a toxic one its likeliest
-            d = s * (1 - toxic[k] / p)
-            g = np.bincount(place, d[at], minlength=len(used)) + DECAY * w[used]
+            d = slopes(own.sums(w) + bias, toxic[k])
+            used = own.used
+            g = np.bincount(own.number, own.spread(d), minlength=len(used)) + DECAY * w[used]
             g2[used] += g * g
             w[used] = np.maximum(w[used] - RATE * g / np.sqrt(g2[used]), 0)
             b = d.sum()
@@ -136,27 +178,52 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels to train on: at most SAMPLE_DOCS / 2 a class, chosen by a hash of the id, none held out.
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(place, toxic, bag) of the texts to train on: at most SAMPLE_DOCS / 2 a class, chosen by a hash of the id, none
+    held out, of at most SAMPLE_CHARS together; a text that doesn't fit any more is passed over for the next ones.
 
-    An id with labels of both kinds counts as toxic; of rows with one id any text serves.
+    An id with labels of both kinds counts as toxic; of rows with one id one text serves, the least.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(SEED))
     parts = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(SAMPLE_DOCS // 2) for y in (1, 0)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most SAMPLE_DOCS rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
-    # whole texts in order of the hash as long as they fit; at most SAMPLE_DOCS rows of two numbers are summed
-    sizes = rows.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
-    fits = sizes.withColumn("upto", F.sum("n").over(W.orderBy(order, "doc_id"))).where(F.col("upto") <= SAMPLE_CHARS).select("doc_id")
-    rows = rows.join(F.broadcast(fits), "doc_id").collect()
-    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.text))}.values(), key=lambda r: r.doc_id)
-    return [r.text for r in rows], [r.toxic for r in rows]
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # the driver gets at most SAMPLE_DOCS rows of two numbers
+    sizes = rows.select("doc_id", F.length("text").alias("n")).orderBy(order, "doc_id").collect()
+    fits, held = [], 0
+    for r in sizes:
+        if held + r.n <= SAMPLE_CHARS:
+            fits.append((r.doc_id, len(fits)))
+            held += r.n
+    places = F.broadcast(spark.createDataFrame(fits, "doc_id long, place int"))
+
+    def bags(batches: Batches) -> Batches:
+        for b in batches:
+            made = [Bag.of(t).packed() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["place", "toxic", "bag"])
+
+    return rows.join(places, "doc_id").select("place", "toxic", "text").mapInArrow(bags, "place int, toxic int, bag binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of labels (doc_id, toxic) over docs (doc_id, text); without labels one that scores by its bias alone."""
-    return train(*sample(docs, labels))
+    """A model of labels (doc_id, toxic) over docs (doc_id, text); without labels one that scores by its bias alone.
+
+    Texts become bags in tasks; one task trains on the sample, whose size is bounded, and gives the weights. Neither
+    texts nor bags pass through the driver.
+    """
+    small_batches(docs.sparkSession)
+
+    def trained(batches: Batches) -> Batches:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        model = train([Bag.unpacked(x) for _, _, x in rows], [y for _, y, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("f4").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
+
+    with shuffles_removed(docs.sparkSession):
+        found = sample(docs, labels).repartition(1).sortWithinPartitions("place").mapInArrow(trained, "weights binary, bias double").collect()
+    # a task without rows gives no model
+    return Model(np.frombuffer(found[0].weights, "f4").astype(float), found[0].bias) if found else Model(np.zeros(FEATURES), -4.0)
 
 
 def scorer(model: Model) -> Callable[[DataFrame], Column]:
@@ -172,10 +239,14 @@ def scorer(model: Model) -> Callable[[DataFrame], Column]:
     return score
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) of text; null and empty texts score 0. Rows keep their columns and partitions."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of that name, the score (0 to 1) of text; null and empty texts score 0.
+
+    Rows keep their partitions and all other columns; one of this name would be replaced, so take a free name for such
+    tables. Very long texts are scored whole, sentence by sentence. An empty table stays empty.
+    """
     small_batches(docs.sparkSession)
-    return docs.withColumn("score", scorer(model)(F.col("text")))
+    return docs.withColumn(name, scorer(model)(F.col("text")))
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
