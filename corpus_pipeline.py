@@ -18,7 +18,7 @@ MIX_SHARE = 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels, doesn't call toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.scored(docs, model, "__toxicity").where("__toxicity < 0.5").select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
