@@ -4,8 +4,11 @@ Coarse centroids part the vectors into lists; a vector's residual to its centroi
 query goes to the lists nearest to it. There, distances come from tables of the query's sub-vectors against all codes
 (asymmetric distances), and the best are ranked again by the exact measure on the original vectors.
 
-Centroids, codes and the number of lists to probe are fitted on a bounded sample; every vector is indexed. A list, and a
-list's queries, are cut into blocks of bounded size, so no list need fit a task.
+Lists grow with the square root of the vectors. Their centroids come in two levels: cells, fitted on a bounded sample, and
+the lists of each cell, fitted in Spark on a share of the vectors, a group a cell. So a vector is compared with the cells
+and with one cell's lists only. Codes and the number of lists to probe are fitted on the bounded sample; every vector is
+indexed. A list, and a list's queries, are cut into blocks of bounded size, so no list need fit a task. A vector moves
+once, with its codes, to its list's block, where the exact ranking needs it.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,16 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import Batches, Scratch, partitions, small_batches, table
 
-#: Vectors that are fitted on, at most; queries among them by which the number of probed lists is chosen.
+#: Vectors that cells, codes and probes are fitted on, at most; queries among them by which the probes are chosen.
 FIT_ROWS, FIT_QUERIES, SEED = 16_384, 256, 11
-#: Vectors of a list on average, and the fewest and most lists.
-LIST_ROWS, LEAST_LISTS, MOST_LISTS = 1000, 4, 1024
+#: Vectors a list that its cell's lists are fitted on, about.
+FIT_LIST = 64
 #: Sub-vectors, codes of each, rounds of k-means.
 PARTS, CODES, ROUNDS = 16, 256, 8
 #: Share of near neighbours that the probed lists must hold in the sample.
 COVER = 0.97
 #: Candidates and queries of a block; candidates that are ranked again, in a block.
-BLOCK, QUERY_BLOCK, RERANK = 4096, 2048, 96
+BLOCK, QUERY_BLOCK, RERANK = 4096, 8192, 96
 NEAREST, QUERY_STEP = 5, 50
 
 
@@ -51,9 +55,12 @@ def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What is fitted: its size depends on the parameters alone."""
+    """What is fitted. centres: of all lists, those of a cell together, from start[cell] to start[cell + 1]; there are about
+    as many as the square root of the vectors. The codebooks' size depends on the parameters alone."""
 
+    cells: np.ndarray
     centres: np.ndarray
+    start: np.ndarray
     codebooks: list[np.ndarray]
     probes: int
 
@@ -62,12 +69,22 @@ class Index:
         return self.centres.shape[1]
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        return nearest_rows(x, self.centres)
+        """The list of each row: the nearest of its cell's."""
+        cell = nearest_rows(x, self.cells)
+        out = np.empty(len(x), np.int64)
+        for c in np.unique(cell):
+            own = np.flatnonzero(cell == c)
+            out[own] = self.start[c] + nearest_rows(x[own], self.centres[self.start[c] : self.start[c + 1]])
+        return out
+
+    def ranking(self, x: np.ndarray) -> np.ndarray:
+        """All lists for each row, nearest first."""
+        far = (self.centres * self.centres).sum(1) - 2 * (x @ self.centres.T)
+        return np.argsort(far, axis=1, kind="stable")
 
     def probed(self, x: np.ndarray) -> np.ndarray:
         """The lists to probe for each row, nearest first."""
-        far = (self.centres * self.centres).sum(1) - 2 * (x @ self.centres.T)
-        return np.argsort(far, axis=1, kind="stable")[:, : self.probes]
+        return self.ranking(x)[:, : self.probes]
 
     def encoded(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = x - self.centres[lists]
@@ -82,25 +99,49 @@ class Index:
         return out
 
 
-def fit_index(x: np.ndarray, rows: int) -> Index:
-    """An index for so many rows from a sample of unit vectors."""
-    lists = int(min(max(rows // LIST_ROWS, LEAST_LISTS), MOST_LISTS, len(x)))
-    centres = kmeans(x, lists, SEED)
-    at = nearest_rows(x, centres)
+def list_centres(rows: DataFrame, n: int, cells: np.ndarray, lists: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of all lists and where each cell's begin: k-means in every cell, a group of bounded size each.
+
+    About FIT_LIST vectors a list are taken, by a hash of the id: as many a cell on average as its lists need.
+    """
+    each = -(-lists // len(cells))
+    share = min(1.0, FIT_LIST * lists / n)
+    taken = rows.where(F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(1 << 30)) <= int(share * (1 << 30)))
+
+    def placed(batches: Batches) -> Batches:
+        for batch in batches:
+            _, x = rows_of(batch, dims)
+            u = unit(x) if len(x) else x
+            cell = nearest_rows(u, cells) if len(u) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array([r.tobytes() for r in u], pa.binary())], names=["cell", "u"])
+
+    def fitted(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(sorted(group["u"])), np.float64).reshape(-1, dims)
+        x = x[np.random.default_rng(SEED).permutation(len(x))[: 4 * FIT_LIST * each]]  # a cell far above the average
+        return pd.DataFrame({"cell": group["cell"].iloc[0], "centres": [kmeans(x, min(each, len(x)), SEED).tobytes()]})
+
+    found = {r.cell: np.frombuffer(r.centres, np.float64).reshape(-1, dims) for r in taken.mapInArrow(placed, "cell int, u binary").groupBy("cell").applyInPandas(fitted, "cell int, centres binary").collect()}
+    own = [found.get(c, cells[c : c + 1]) for c in range(len(cells))]
+    return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+
+
+def fit_index(x: np.ndarray, rows: DataFrame, n: int) -> Index:
+    """An index for n rows, whose cells, codes and probes come from a sample x of unit vectors."""
+    lists = int(np.ceil(np.sqrt(n)))
+    cells = kmeans(x, min(int(np.ceil(np.sqrt(lists))), len(x)), SEED)
+    centres, start = list_centres(rows, n, cells, lists, x.shape[1])
+    index = Index(cells, centres, start, [], len(centres))
+    at = index.lists(x)
     rest = x - centres[at]
     parts = min(PARTS, x.shape[1])
-    books = [kmeans(np.ascontiguousarray(p), min(CODES, len(x)), SEED + k) for k, p in enumerate(np.array_split(rest, parts, axis=1))]
-    index = Index(centres, books, lists)
+    index.codebooks = [kmeans(np.ascontiguousarray(p), min(CODES, len(x)), SEED + k) for k, p in enumerate(np.array_split(rest, parts, axis=1))]
     # lists to probe: as many as hold COVER of the sample's own near neighbours
-    if rows <= LIST_ROWS * LEAST_LISTS:
-        return index
     q = x[:FIT_QUERIES]
     near = q @ x.T
     near[np.arange(len(q)), np.arange(len(q))] = -2
     best = at[np.argsort(-near, axis=1)[:, : min(NEAREST, len(x) - 1)]]
-    order = index.probed(q)
-    rank = np.argsort(order, axis=1)[np.arange(len(q))[:, None], best] if best.size else np.zeros((1, 1), int)
-    index.probes = int(min(lists, np.quantile(rank, COVER, method="higher") + 1))
+    rank = np.argsort(index.ranking(q), axis=1)[np.arange(len(q))[:, None], best]
+    index.probes = int(min(len(centres), np.quantile(rank, COVER, method="higher") + 1))
     return index
 
 
@@ -153,8 +194,14 @@ FOUND = "query_id long, vec_id long, score double"
 FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def halved(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by a power of two to components of at most 1: squares stay in range, and no digit is lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of one vector with rows, in double precision; row by row, so that equal rows have equal results."""
+    q, x = halved(q), halved(x)
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
@@ -228,12 +275,12 @@ def search(vectors: DataFrame, id_col: str, column: str, step: int = QUERY_STEP,
     x, n = sample(rows)
     if len(x) < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = fit_index(x, n)
+    index = fit_index(x, rows, n)
     scratch, parts = Scratch(spark), partitions(spark)
     cells = scratch.write(rows.mapInArrow(listed(index, step), CELLS), "cells")
     counts = cells.groupBy("list").agg(F.count_if(F.col("kind") == 0).alias("rows"), F.count_if(F.col("kind") == 1).alias("queries"))
     counts = counts.select("list", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("queries") / QUERY_BLOCK).cast("int").alias("groups")).where("blocks > 0 and groups > 0")
-    sized = cells.join(F.broadcast(counts), "list")  # at most MOST_LISTS rows
+    sized = cells.join(F.broadcast(counts), "list")  # a row a list: about the square root of the vectors
     salt = F.xxhash64("id")
     blocks = F.when(F.col("kind") == 0, F.array(F.pmod(salt, F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     groups = F.when(F.col("kind") == 1, F.array(F.pmod(salt, F.col("groups")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("groups") - 1))
