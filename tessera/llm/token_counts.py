@@ -7,6 +7,7 @@ whose pair with the token before it would be encoded as these two. last[i] and c
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -20,8 +21,8 @@ from .common import Batches, small_batches, table, texts
 
 #: Token limit of the registered query.
 TOKEN_LIMIT = 4096
-#: Entries of a worker's tables of pairs and of units' prefix counts, and of units' totals; a full table starts anew.
-REMEMBERED, REMEMBERED_TOTALS = 200_000, 1_200_000
+#: Entries of a worker's table of pairs, and of its table of units' prefix counts; a full table starts anew.
+REMEMBERED, REMEMBERED_UNITS = 200_000, 600_000
 #: Longer units are counted, not remembered.
 LONGEST_REMEMBERED = 32
 
@@ -45,8 +46,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.rank))
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.units: dict[str, list[int]] = {}
-        self.totals: dict[str, int] = {}
+        #: the stored counts: of each unit at every prefix, as bytes of 1 or 4 a count
+        self.units: dict[str, bytes | array] = {}
 
     def split_of(self, token: str) -> tuple[str, str] | None:
         """The two parts whose merge makes the token; itself twice for a character; None if plain BPE never makes it."""
@@ -105,37 +106,47 @@ class PrefixCounter:
         del count[0]
         return count
 
-    def unit(self, u: str) -> list[int]:
+    def unit(self, u: str) -> bytes | array:
         found = self.units.get(u)
         if found is None:
-            found = self.counted(u)
+            counts = self.counted(u)
+            found = bytes(counts) if max(counts) < 256 else array("I", counts)
             if len(u) <= LONGEST_REMEMBERED:
-                if len(self.units) > REMEMBERED:
+                if len(self.units) > REMEMBERED_UNITS:
                     self.units.clear()
                 self.units[u] = found
         return found
 
-    def unit_total(self, u: str) -> int:
-        found = self.counted(u)[-1]
-        if len(u) <= LONGEST_REMEMBERED:
-            if len(self.totals) > REMEMBERED_TOTALS:
-                self.totals.clear()
-            self.totals[u] = found
-        return found
-
     def split(self, text: str) -> list[str]:
         return UNITS(" " + text.replace("▁", " ")) if text else []
 
-    def total(self, text: str) -> int:
-        known = self.totals.get
-        return sum([known(u) or self.unit_total(u) for u in self.split(text)])
+    def within(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of a text, and how many of its code points fit the budget, from the stored counts of its units.
+
+        Counts in a unit can fall again, so the last unit that starts below the budget is sought for the longest prefix
+        that fits, then the ones before it.
+        """
+        known, make = self.units.get, self.unit
+        stored = [known(u) or make(u) for u in self.split(text)]
+        ends = [c[-1] for c in stored]
+        total = sum(ends)
+        if total <= budget:
+            return total, len(text)
+        base, size = total, sum(map(len, stored)) - 1  # the dummy blank is no code point of the text
+        for k in range(len(stored) - 1, -1, -1):
+            base, size = base - ends[k], size - len(stored[k])
+            if base < budget:
+                fits = [j for j, c in enumerate(stored[k], 1) if base + c <= budget]
+                if fits and size + fits[-1] > 0:
+                    return total, size + fits[-1]
+        return total, 0
 
     def prefixes(self, text: str) -> np.ndarray:
         """Token count of text[:0], text[:1], ..., text."""
         out, base = [0], 0
         for k, u in enumerate(self.split(text)):
             own = self.unit(u)
-            out.extend([base + c for c in (own[1:] if k == 0 else own)])  # the dummy blank alone is no prefix
+            out.extend([base + c for c in (list(own)[1:] if k == 0 else own)])  # the dummy blank alone is no prefix
             base += own[-1]
         return np.array(out, np.int32)
 
@@ -176,15 +187,22 @@ def longest_within(counts: Column, budget: int) -> Column:
 
 
 def token_totals(docs: DataFrame, path: str, limit: int) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of docs (doc_id, text): the count at the last prefix of each text."""
+    """(doc_id, n_bytes, n_tokens, over_limit, chars_within_limit) of docs (doc_id, text).
+
+    n_tokens is the count at the last prefix, chars_within_limit the longest prefix of at most limit tokens, both from
+    the prefix counts that are stored by unit. Null and empty texts have none; repeated rows and null ids stay, one
+    result a row; other columns are ignored; an empty table stays empty. A very long unit is counted, not stored, in
+    time that grows with its length times the longest piece.
+    """
     small_batches(docs.sparkSession)
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("chars_within_limit", pa.int64())])
 
     def make(own: PrefixCounter, said: list[str], _) -> list[pa.Array]:
-        return [pa.array([len(t.encode()) for t in said], pa.int64()), pa.array([own.total(t) for t in said], pa.int64())]
+        found = [own.within(t, limit) for t in said]
+        return [pa.array([len(t.encode()) for t in said], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))]
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(mapped(path, make, arrow), "doc_id long, n_bytes long, n_tokens long")
-    return rows.withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(mapped(path, make, arrow), "doc_id long, n_bytes long, n_tokens long, chars_within_limit long")
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "chars_within_limit")
 
 
 def default_path() -> str:
@@ -194,4 +212,9 @@ def default_path() -> str:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_totals(table(spark, sf_dir, "documents"), default_path(), TOKEN_LIMIT).drop("chars_within_limit")
+
+
+def op4_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4_token_counts, with the longest prefix of each text that the limit allows."""
     return token_totals(table(spark, sf_dir, "documents"), default_path(), TOKEN_LIMIT)
