@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Batches, partitions, small_batches, table
@@ -24,8 +25,8 @@ LEAST, NORMAL, MOST = 16, 64, 256
 HARD, EASY = np.uint32(0x7F << 25), np.uint32(0x1F << 25)
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([i])) for i in range(256)], np.uint32)
 
-#: Documents of an id range, and most ranges; the ids that part them are the only thing the driver gets.
-RANGE_DOCS, MOST_RANGES = 20_000, 4096
+#: Documents of an id range, about; rows of ranges that are sent to every task, at most.
+RANGE_DOCS, BROADCAST_RANGES = 20_000, 100_000
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -95,7 +96,7 @@ def edited(text: str, data: bytes, ends: list[int], following: str) -> tuple[byt
 
 
 def compared(batches: Batches) -> Batches:
-    """Rows (bucket, guest, doc_id, text) in this order: each document against the next one in its bucket."""
+    """Rows (coarse, fine, guest, doc_id, text) in this order: each document against the next one in its range."""
 
     def row(doc: tuple, following: tuple) -> tuple:
         i, text, data, ends, own = doc
@@ -105,8 +106,8 @@ def compared(batches: Batches) -> Batches:
     last, last_bucket, ended = None, None, False
     for batch in batches:
         rows = []
-        for bucket, guest, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = text or ""
+        for coarse, fine, guest, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text, bucket = text or "", (coarse, fine)
             if bucket != last_bucket:
                 last, last_bucket, ended = None, bucket, False
             if ended:  # a repeated row of the guest
@@ -121,26 +122,49 @@ def compared(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
+def ranged(docs: DataFrame, ranges: int) -> DataFrame:
+    """docs with coarse and fine: the range of doc_id, in two levels of about the square root of ranges each.
+
+    Ranges are parted at approximate quantiles: the coarse ones of all ids, the fine ones of each coarse range's. The
+    driver gets the coarse edges alone. Null ids are in the first range.
+    """
+    level = max(1, int(np.ceil(np.sqrt(ranges))))
+    steps = [i / level for i in range(1, level)] or [0.5]
+    behind = lambda edges: F.size(F.filter(F.array_distinct(edges), lambda e: e <= F.col("doc_id")))
+    placed = lambda edges: F.when(F.col("doc_id").isNull() | edges.isNull(), 0).otherwise(behind(edges))
+    coarse = docs.agg(F.percentile_approx("doc_id", steps, 10 * level)).first()[0]
+    docs = docs.withColumn("coarse", placed(F.lit(coarse).cast("array<bigint>")))
+    fine = docs.groupBy("coarse").agg(F.percentile_approx("doc_id", steps, 10 * level).alias("edges"))
+    fine = F.broadcast(fine)  # at most a row a coarse range, together a number a range
+    return docs.join(fine, "coarse").withColumn("fine", placed(F.col("edges"))).drop("edges")
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(bucket, guest, doc_id, text): documents by ranges of ids, each range followed by the first of the next one.
+    """(coarse, fine, guest, doc_id, text): documents by ranges of ids, each range followed by the first of the next one.
 
-    Ranges are parted at approximate quantiles of the ids; a text moves once, the first of each range twice.
+    A text moves once, the first of each range twice. Which document follows a range is found from the ranges' first
+    ones: within a coarse range, and for its last one from the coarse ranges, which are few.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     n = docs.count()
-    ranges = min(MOST_RANGES, max(3 * partitions(spark), -(-n // RANGE_DOCS)))
-    found = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    edges = F.lit(sorted(set(found))).cast("array<bigint>")
-    docs = docs.withColumn("h", F.xxhash64("text")).withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("doc_id")))))
-    firsts = docs.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("f")).orderBy("bucket").collect()  # a row a range
-    guests = [(r.f.doc_id, r.f.h, firsts[k - 1].bucket) for k, r in enumerate(firsts)]
-    guests = F.broadcast(spark.createDataFrame(guests, "gid long, gh long, before int"))
+    ranges = max(3 * partitions(spark), -(-n // RANGE_DOCS))
+    docs = ranged(docs.withColumn("h", F.xxhash64("text")), ranges)
+    firsts = docs.groupBy("coarse", "fine").agg(F.min(F.struct("doc_id", "h")).alias("f"))
+    heads = firsts.groupBy("coarse").agg(F.min("fine").alias("fine"), F.min_by("f", "fine").alias("f"), F.max("fine").alias("last"))
+    # a row a coarse range; the first one follows the last one
+    every = W.orderBy("coarse").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    order = W.orderBy("coarse")
+    before = F.coalesce(F.lag(F.struct("coarse", "last")).over(order), F.last(F.struct("coarse", "last")).over(every))
+    outer = heads.withColumn("b", before).select("coarse", "fine", F.col("b.coarse").alias("before_coarse"), F.col("b.last").alias("before_fine"), "f")
+    inner = firsts.withColumn("p", F.lag("fine").over(W.partitionBy("coarse").orderBy("fine"))).where("p is not null").select("coarse", "fine", F.col("coarse").alias("before_coarse"), F.col("p").alias("before_fine"), "f")
+    guests = outer.unionByName(inner).select(F.col("f.doc_id").alias("gid"), F.col("f.h").alias("gh"), F.struct(F.col("before_coarse").alias("coarse"), F.col("before_fine").alias("fine"), F.lit(1).alias("guest")).alias("place"))
+    guests = F.broadcast(guests) if ranges <= BROADCAST_RANGES else guests
     tagged = docs.join(guests, docs.doc_id.eqNullSafe(F.col("gid")) & docs.h.eqNullSafe(F.col("gh")), "left")
-    places = F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("g")), F.struct(F.col("before").alias("b"), F.lit(1).alias("g")))
-    placed = tagged.select(F.explode(F.filter(places, lambda p: p["b"].isNotNull())).alias("p"), "doc_id", "h", "text")
-    n_parts = partitions(spark)
-    return placed.select(F.col("p.b").alias("bucket"), F.col("p.g").alias("guest"), "doc_id", "h", "text").repartition(n_parts, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "h").drop("h")
+    places = F.array_compact(F.array(F.struct("coarse", "fine", F.lit(0).alias("guest")), F.col("place")))
+    placed = tagged.select(F.explode(places).alias("p"), "doc_id", "h", "text").select("p.coarse", "p.fine", "p.guest", "doc_id", "h", "text")
+    dealt = placed.repartition(partitions(spark), "coarse", "fine")
+    return dealt.sortWithinPartitions("coarse", "fine", "guest", F.col("doc_id").asc_nulls_first(), "h").drop("h")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -159,7 +183,8 @@ def edit_comparison(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and its edited text (the last quarter taken from the next one), and likenesses.
 
     Next is by ascending doc_id, null first, rows of one id by a hash of the text; the last is followed by the first.
-    Null texts count as empty. A lone document follows itself. Other columns are ignored.
+    Null texts count as empty. A lone document follows itself. Other columns are ignored; an empty table stays empty. A
+    very long text is one run of chunks in its task. Rows of one id, or without id, are one range, in one task.
     """
     small_batches(docs.sparkSession)
     return neighbours(docs).mapInArrow(compared, SCHEMA)
