@@ -81,9 +81,9 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else df
 
 
-def order_key(seed: int) -> Column:
+def order_key(seed: int, done: str = "epochs_done") -> Column:
     """Place of a document in an epoch of its leaf: md5 of seed, epoch and doc_id."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs_done").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(done).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
 def cutoffs(counted: DataFrame, scratch: Scratch, budget: Column, epochs: int, seed: int) -> DataFrame:
@@ -123,9 +123,9 @@ def mix(docs: DataFrame, share: int, epochs: int, seed: int) -> tuple[DataFrame,
     return counted, leaves
 
 
-def copies(seed: int) -> Column:
+def copies(seed: int, done: str = "epochs_done", cutoff: str = "cutoff") -> Column:
     """How many times a row joined with its leaf is taken."""
-    return (F.col("epochs_done") + F.coalesce((order_key(seed) <= F.col("cutoff")).cast("long"), F.lit(0))).cast("long")
+    return (F.col(done) + F.coalesce((order_key(seed, done) <= F.col(cutoff)).cast("long"), F.lit(0))).cast("long")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +137,8 @@ def select_documents(docs: DataFrame, share: int, seed: int = SEED) -> DataFrame
     """The rows of docs that one epoch of the mix takes, unchanged."""
     _, leaves = mix(docs, share, 1, seed)
     placed = docs.withColumns({f"__{c}": col for c, col in zip(TREE, tree_columns(docs), strict=True)})
-    cut = small(leaves.select(*(F.col(c).alias(f"__{c}") for c in TREE), "epochs_done", "cutoff"))
-    return placed.join(cut, [f"__{c}" for c in TREE]).where(copies(seed) > 0).select(*docs.columns)
+    cut = small(leaves.select(*(F.col(c).alias(f"__{c}") for c in (*TREE, "epochs_done", "cutoff"))))
+    return placed.join(cut, [f"__{c}" for c in TREE]).where(copies(seed, "__epochs_done", "__cutoff") > 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _sql_fill(src: str, parent: str, name: str, out: str) -> str:

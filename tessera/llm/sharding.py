@@ -60,14 +60,16 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def assign(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """rows (bits, ...) with the bucket whose prefix starts their bits: one equi-join on the prefixes a row may have.
+    """rows (__bits, ...) with the bucket whose prefix starts their bits, as __depth, __prefix, ...: one equi-join on the
+    prefixes a row may have.
 
     Depths in use are few, so each row is looked up once a depth in use, by (depth, prefix).
     """
-    depths = buckets.agg(F.sort_array(F.collect_set("depth")).alias("depths"))
+    buckets = buckets.select(*(F.col(c).alias(f"__{c}") for c in buckets.columns))
+    depths = buckets.agg(F.sort_array(F.collect_set("__depth")).alias("__depths"))
     tagged = rows.crossJoin(F.broadcast(depths))  # one row of at most MAX_DEPTH + 1 numbers
-    tagged = tagged.withColumn("depth", F.explode("depths")).withColumn("prefix", F.substring(F.col("bits"), F.lit(1), F.col("depth")))
-    return tagged.drop("depths").join(buckets, ["depth", "prefix"])
+    tagged = tagged.withColumn("__depth", F.explode("__depths")).withColumn("__prefix", F.substring(F.col("__bits"), F.lit(1), F.col("__depth")))
+    return tagged.drop("__depths").join(buckets, ["__depth", "__prefix"])
 
 
 def extendible_shards(df: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
@@ -79,16 +81,20 @@ def extendible_shards(df: DataFrame, key: str, size: Column, limit: int) -> Data
         raise ValueError("limit must be at least 1")
     rows = df.select(F.col(key).alias("key"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes")).withColumn("bits", key_bits(F.col("key")))
     buckets = directory(rows, limit)
-    return assign(rows, buckets).select(F.col("key").alias(key), "n_bytes", F.concat(F.lit("s"), "prefix").alias("shard"), "depth", "shard_bytes")
+    placed = assign(rows.withColumnRenamed("bits", "__bits"), buckets)
+    return placed.select(F.col("key").alias(key), "n_bytes", F.concat(F.lit("s"), "__prefix").alias("shard"), F.col("__depth").alias("depth"), F.col("__shard_bytes").alias("shard_bytes"))
 
 
-def write_shards(df: DataFrame, key: str, size: Column, limit: int, path: str) -> None:
-    """Writes df as Parquet, one folder a shard; equal rows go to equal shards."""
+def write_shards(df: DataFrame, key: str, size: Column, limit: int, path: str, name: str = "shard") -> None:
+    """Writes df with all its columns as Parquet, one folder a shard, which the column of that name tells; equal rows go to
+    equal shards. df must not have such a column."""
+    if name in df.columns:
+        raise ValueError(f"the table has a column {name}; give the shards another name")
     rows = df.withColumn("__bits", key_bits(F.col(key)))
     sized = rows.select(F.col("__bits").alias("bits"), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes"))
-    out = assign(rows.withColumnRenamed("__bits", "bits"), directory(sized, limit).select("depth", "prefix"))
-    out = out.withColumn("shard", F.concat(F.lit("s"), "prefix")).drop("bits", "depth", "prefix")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    out = assign(rows, directory(sized, limit).select("depth", "prefix"))
+    out = out.select(*(F.col(f"`{c}`") for c in df.columns), F.concat(F.lit("s"), "__prefix").alias(name))
+    out.repartition(name).write.partitionBy(name).parquet(path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
