@@ -24,6 +24,8 @@ PERCENT = 80
 LOW = np.uint64(int(0.3 * 2**64))
 #: Sets of a tile side, and the most bits of a bitmap.
 TILE, MOST_BITS = 512, 1 << 15
+#: Keys that the counts of one size of a component are dealt over.
+SALTS = 64
 #: Columns of a matrix of sets that are multiplied at a time.
 COLUMNS = 4096
 SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -339,11 +341,27 @@ def tile_edges(batches: Batches) -> Batches:
         yield _batch(out, EDGES_ARROW)
 
 
+def blocked(members: DataFrame) -> DataFrame:
+    """members (comp, rep, n, sig, k, copies) with block: about TILE members of a component each, in order of size.
+
+    A member's place is estimated: members of smaller sets, counted, and its share by hash of those of its own size. So
+    members are never ordered in one place, however large a component is; sizes are counted with map-side sums, and
+    the counts of a size are dealt over SALTS keys when members look them up. Small components are one block.
+    """
+    sizes = members.groupBy("comp", "n").agg(F.count("*").alias("c"))
+    whole = sizes.groupBy("comp").agg(F.sum("c").alias("total")).where(F.col("total") > TILE)
+    # a row a size of a large component
+    before = W.partitionBy("comp").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.join(whole, "comp").withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    starts = starts.select("comp", "n", "c", "start", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = members.withColumn("salt", F.pmod(F.shiftright("k", 20), F.lit(SALTS)).cast("int")).join(starts, ["comp", "n", "salt"], "left")
+    share = F.pmod(F.xxhash64("k"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return salted.select("comp", "rep", "n", "sig", "k", "copies", F.coalesce(F.floor((F.col("start") + share * F.col("c")) / TILE), F.lit(0)).cast("int").alias("block"))
+
+
 def tiling(members: DataFrame) -> DataFrame:
-    """(rep, sig, k, copies, tiles): members (comp, rep, n, sig, k, copies) by size within comp, in blocks of TILE; a tile is two blocks whose
-    sizes can link, or one with itself."""
-    order = W.partitionBy("comp").orderBy("n", "rep", "k")
-    blocks = members.withColumn("block", ((F.row_number().over(order) - 1) / TILE).cast("int"))
+    """(rep, sig, k, copies, tiles): a tile is two blocks of a component whose sizes can link, or one with itself."""
+    blocks = blocked(members)
     span = blocks.groupBy("comp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     left = span.select("comp", F.col("block").alias("i"), "most")
     right = span.select("comp", F.col("block").alias("j"), "least")
