@@ -18,6 +18,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ SPAN = LENGTH - ANCHOR + 1
 #: Text bytes that a task looks at together before it sends what it found, and about how many a range gets.
 FLUSH_BYTES, RANGE_BYTES = 12_000_000, 1_000_000
 
+#: An anchor that more texts than this have is hot: its strings are dealt one by one, by their own hash, not together.
+HOT_TEXTS = 2000
+
 PRIME = 0x9E3779B97F4A7C15
 NO_ID = np.int64(np.iinfo(np.int64).max)
 
@@ -112,8 +116,8 @@ def whole_hashes(high: bytes, low: bytes) -> np.ndarray:
     return np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint16).astype(np.uint64) << np.uint64(16)
 
 
-ANCHORS = "place int, high binary, low binary, names binary, numbers binary"
-ANCHORS_ARROW = pa.schema([("place", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("names", pa.binary()), ("numbers", pa.binary())])
+ANCHORS = "place int, high binary, low binary, names binary, numbers binary, texts binary"
+ANCHORS_ARROW = pa.schema([("place", pa.int32()), *((c, pa.binary()) for c in ("high", "low", "names", "numbers", "texts"))])
 KEPT = np.uint64(0xFFFFFFFFFFFF0000)
 
 
@@ -129,7 +133,7 @@ def listed_anchors(ranges: int, buckets: int) -> Callable[[Batches], Batches]:
     """(owner, text) to (range, hashes, owners): each text's anchor hashes, by range. owner is a digest of the text.
 
     A hash that many texts of a flush have is listed for two of them, and once for every bucket of texts: enough to
-    tell that it is shared, and whom to tell.
+    tell that it is shared, and whom to tell. How many texts a row stands for (255 for more) goes with it.
     """
 
     def flush(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
@@ -140,7 +144,9 @@ def listed_anchors(ranges: int, buckets: int) -> Callable[[Batches], Batches]:
         bucket = bucket_of(owner, buckets)
         # at most two rows a hash and bucket
         third = np.r_[np.zeros(min(2, len(h)), bool), (h[2:] == h[:-2]) & (bucket[2:] == bucket[:-2])]
-        h, owner = h[~third], owner[~third]
+        kept = np.flatnonzero(~third)
+        texts = np.minimum(np.diff(np.append(kept, len(h))), 255).astype(np.uint8)
+        h, owner = h[kept], owner[kept]
         order = np.argsort(place_of(h, ranges), kind="stable")
         edges = np.searchsorted(place_of(h, ranges)[order], np.arange(ranges + 1))
         rows = []
@@ -148,7 +154,7 @@ def listed_anchors(ranges: int, buckets: int) -> Callable[[Batches], Batches]:
             own = order[edges[r] : edges[r + 1]]
             if len(own):
                 names, numbers = np.unique(owner[own], return_inverse=True)
-                rows.append((r, *split_hashes(h[own]), names.tobytes(), numbers.astype(np.uint16 if len(names) < 65536 else np.uint32).tobytes()))
+                rows.append((r, *split_hashes(h[own]), names.tobytes(), numbers.astype(np.uint16 if len(names) < 65536 else np.uint32).tobytes(), texts[own].tobytes()))
         return _batch(rows, ANCHORS_ARROW)
 
     def run(batches: Batches) -> Batches:
@@ -171,8 +177,8 @@ def listed_anchors(ranges: int, buckets: int) -> Callable[[Batches], Batches]:
     return run
 
 
-SHARED = "bucket int, high binary, low binary"
-SHARED_ARROW = pa.schema([("bucket", pa.int32()), ("high", pa.binary()), ("low", pa.binary())])
+SHARED = "bucket int, hot boolean, high binary, low binary"
+SHARED_ARROW = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("high", pa.binary()), ("low", pa.binary())])
 
 
 def shared_anchors(buckets: int) -> Callable[[Batches], Batches]:
@@ -181,19 +187,22 @@ def shared_anchors(buckets: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for _, rows in grouped(batches):
             h = np.concatenate([whole_hashes(r[0], r[1]) for r in rows])
-            owner = np.concatenate([(names := np.frombuffer(o, np.uint64))[np.frombuffer(c, np.uint16 if len(names) < 65536 else np.uint32)] for _, _, o, c in rows])
+            owner = np.concatenate([(names := np.frombuffer(o, np.uint64))[np.frombuffer(c, np.uint16 if len(names) < 65536 else np.uint32)] for _, _, o, c, _ in rows])
+            texts = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows])
             order = np.lexsort((owner, h))
-            h, owner = h[order], owner[order]
+            h, owner, texts = h[order], owner[order], texts[order]
             head = np.r_[True, h[1:] != h[:-1]]
             other = np.r_[False, (h[1:] == h[:-1]) & (owner[1:] != owner[:-1])]
-            ok = np.maximum.reduceat(other, np.flatnonzero(head))[np.cumsum(head) - 1]
-            h, bucket = h[ok], bucket_of(owner[ok], buckets)
-            order = np.lexsort((h, bucket))
-            h, bucket = h[order], bucket[order]
+            heads, group = np.flatnonzero(head), np.cumsum(head) - 1
+            ok = np.maximum.reduceat(other, heads)[group]
+            hot = (np.add.reduceat(texts, heads, dtype=np.int64) > HOT_TEXTS)[group]
+            h, bucket, hot = h[ok], bucket_of(owner[ok], buckets), hot[ok]
+            order = np.lexsort((h, hot, bucket))
+            h, bucket, hot = h[order], bucket[order], hot[order]
             new = np.r_[True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])] if len(h) else np.zeros(0, bool)
-            h, bucket = h[new], bucket[new]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = [(b, *split_hashes(h[edges[b] : edges[b + 1]])) for b in range(buckets) if edges[b] < edges[b + 1]]
+            h, cell = h[new], 2 * bucket[new] + hot[new]
+            edges = np.searchsorted(cell, np.arange(2 * buckets + 1))
+            out = [(c // 2, bool(c % 2), *split_hashes(h[edges[c] : edges[c + 1]])) for c in range(2 * buckets) if edges[c] < edges[c + 1]]
             if out:
                 yield _batch(out, SHARED_ARROW)
 
@@ -203,46 +212,58 @@ def shared_anchors(buckets: int) -> Callable[[Batches], Batches]:
 # ---- strings around shared anchors, by range
 
 #: Strings of a range (place not null), or starts already known to be removed (place null).
-STRINGS = "place int, hashes binary, ids binary, keys binary, starts binary, sizes binary, data binary, key long, id long, runs binary"
-STRINGS_ARROW = pa.schema([("place", pa.int32()), *((c, pa.binary()) for c in ("hashes", "ids", "keys", "starts", "sizes", "data")), ("key", pa.int64()), ("id", pa.int64()), ("runs", pa.binary())])
+STRINGS = "place int, hashes binary, ids binary, keys binary, starts binary, spans binary, sizes binary, data binary, key long, id long, runs binary"
+STRINGS_ARROW = pa.schema([("place", pa.int32()), *((c, pa.binary()) for c in ("hashes", "ids", "keys", "starts", "spans", "sizes", "data")), ("key", pa.int64()), ("id", pa.int64()), ("runs", pa.binary())])
 
 
 def packed(strings: list[tuple], ranges: int) -> list[tuple]:
-    """(hash, id, key, start, bytes) by range of the hash."""
+    """(hash, id, key, start, span, bytes) by range of the hash."""
     place = place_of(np.array([s[0] for s in strings], np.uint64), ranges)
     by: dict[int, list] = {}
     for p, row in zip(place.tolist(), strings, strict=True):
         by.setdefault(p, []).append(row)
     rows = []
     for r, own in by.items():
-        h, ids, keys, starts, data = zip(*own, strict=True)
-        rows.append((r, np.array(h, np.uint64).tobytes(), np.array(ids, np.int64).tobytes(), np.array(keys, np.int64).tobytes(), np.array(starts, np.int32).tobytes(), np.array([len(d) for d in data], np.int32).tobytes(), b"".join(data), None, None, None))
+        h, ids, keys, starts, spans, data = zip(*own, strict=True)
+        kinds = ((h, np.uint64), (ids, np.int64), (keys, np.int64), (starts, np.int32), (spans, np.int32), ([len(d) for d in data], np.int32))
+        rows.append((r, *(np.array(x, t).tobytes() for x, t in kinds), b"".join(data), None, None, None))
     return rows
 
 
 class Merged:
-    """Equal strings merged: of each the smallest document's is kept; those of larger ids are repeats, wholly."""
+    """Equal strings merged: of each the smallest document's is kept; those of larger ids are repeats, wholly.
+
+    A string has a start and a span: how many starts of LENGTH bytes it stands for, its own, or more if the text goes on
+    with the same string from where its last start ends (as runs of one character do).
+    """
 
     def __init__(self):
-        self.kept: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        self.again: list[tuple[int, int, int, int, bytes]] = []
-        self.gone: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.kept: dict[tuple[int, bytes], list[int]] = {}
+        self.again: dict[tuple[int, bytes], list[list[int]]] = {}
+        self.gone: dict[tuple[int, int], list[list[int]]] = {}
 
-    def add(self, hash_: int, data: bytes, owner: int, key: int, start: int) -> None:
-        name, new = (hash_, data), (owner, key, start)
+    def add(self, hash_: int, data: bytes, owner: int, key: int, start: int, span: int = 0) -> None:
+        name, new = (hash_, data), [owner, key, start, span or len(data) - LENGTH + 1]
         old = self.kept.setdefault(name, new)
         if old is new:
             return
-        if old[0] == owner:  # this document once more: both places stay
-            if old != new:
-                self.again.append((hash_, owner, key, start, data))
+        if old[0] == owner:  # this document once more: its places stay
+            for known in (old, *self.again.get(name, ())[-1:]):
+                if known[1] == key and known[2] <= start <= known[2] + known[3]:  # the same starts, or going on from them
+                    known[3] = max(known[3], start + new[3] - known[2])
+                    return
+            self.again.setdefault(name, []).append(new)
             return
         if old[0] > owner:
             self.kept[name], old, new = new, new, old
-        self.gone.setdefault((new[1], new[0]), []).append((new[2], new[2] + len(data) - LENGTH + 1))
+        runs = self.gone.setdefault((new[1], new[0]), [])
+        if runs and runs[-1][1] == new[2]:
+            runs[-1][1] = new[2] + new[3]
+        else:
+            runs.append([new[2], new[2] + new[3]])
 
     def strings(self) -> list[tuple]:
-        return [(k[0], *v, k[1]) for k, v in self.kept.items()] + self.again
+        return [(k[0], *v, k[1]) for k, v in self.kept.items()] + [(k[0], *v, k[1]) for k, all_ in self.again.items() for v in all_]
 
     def removed(self) -> list[tuple[int, int, bytes]]:
         return [(key, owner, np.array(runs, np.int32).tobytes()) for (key, owner), runs in self.gone.items()]
@@ -251,32 +272,36 @@ class Merged:
 def strings_of(ranges: int) -> Callable[[Batches], Batches]:
     """A bucket's shared hashes, then its texts by (owner, id), to strings by range.
 
-    Rows: (bucket, owner, id, key, text, high, low). Of equal texts only the smallest id's goes on.
+    Rows: (bucket, owner, id, key, text, hot, high, low). Of equal texts only the smallest id's goes on. The strings
+    around one anchor go together, as one longer string; around a hot one each goes by its own hash.
     """
 
     def run(batches: Batches) -> Batches:
         merged, held = Merged(), 0
 
         def out() -> pa.RecordBatch | None:
-            rows = packed(merged.strings(), ranges) + [(None,) * 7 + r for r in merged.removed()]
+            rows = packed(merged.strings(), ranges) + [(None,) * 8 + r for r in merged.removed()]
             return _batch(rows, STRINGS_ARROW) if rows else None
 
-        bucket, told, shared, last = None, [], None, (None, None, None)
+        def known(told: list[np.ndarray]) -> np.ndarray:
+            return np.sort(np.concatenate(told)) if told else np.zeros(0, np.uint64)
+
+        bucket, told, shared, last = None, ([], []), None, (None, None, None)
         for batch in batches:
-            for b, owner, i, key, text, high, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, owner, i, key, text, hot, high, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != bucket:
-                    bucket, told, shared, last = b, [], None, (None, None, None)
+                    bucket, told, shared, last = b, ([], []), None, (None, None, None)
                 if high is not None:
-                    told.append(whole_hashes(high, low))
+                    told[hot].append(whole_hashes(high, low))
                     continue
                 if shared is None:
-                    shared = np.sort(np.concatenate(told)) if told else np.zeros(0, np.uint64)
+                    shared, hottest = known([*told[0], *told[1]]), set(known(told[1]).tolist())
                 data = (text or "").encode()
                 if len(data) < LENGTH:
                     continue
                 if owner == last[0] and data == last[1]:
                     if i != last[2]:
-                        merged.gone.setdefault((key, i), []).append((0, len(data) - LENGTH + 1))
+                        merged.gone.setdefault((key, i), []).append([0, len(data) - LENGTH + 1])
                         held += 50
                     continue
                 last = (owner, data, i)
@@ -287,8 +312,14 @@ def strings_of(ranges: int) -> Callable[[Batches], Batches]:
                 kept = h & KEPT
                 ok = shared[np.minimum(np.searchsorted(shared, kept), len(shared) - 1)] == kept
                 for hash_, a, end in zip(h[ok].tolist(), first[ok].tolist(), ends[ok].tolist(), strict=True):
-                    merged.add(hash_, data[a : end + LENGTH - 1], i, key, a)
-                    held += end - a + LENGTH + 200
+                    if hottest and hash_ & 0xFFFFFFFFFFFF0000 in hottest:
+                        for k in range(a, end):
+                            string = data[k : k + LENGTH]
+                            merged.add(xxhash.xxh3_64_intdigest(string), string, i, key, k)
+                        held += (end - a) * 150
+                    else:
+                        merged.add(hash_, data[a : end + LENGTH - 1], i, key, a)
+                        held += end - a + LENGTH + 200
                 if held > 2 * FLUSH_BYTES:
                     if (found := out()) is not None:
                         yield found
@@ -397,7 +428,7 @@ REMOVED = "key long, id long, runs binary"
 REMOVED_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("runs", pa.binary())])
 
 
-def repeats(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> list[tuple[int, int, bytes]]:
+def repeats(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, spans: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Removed starts, as runs (first, end), of texts whose strings are given."""
     begin = np.cumsum(sizes) - sizes
     windows = sizes - LENGTH + 1
@@ -407,7 +438,14 @@ def repeats(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.nda
     gone = np.flatnonzero(least < ids[string])
     if not len(gone):
         return []
-    string, place = string[gone], starts[string[gone]] + offset[gone]
+    # a string that goes on: its starts come again, a string's windows further each time
+    string, times = string[gone], -(-spans[string[gone]] // windows[string[gone]])
+    again = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    string = np.repeat(string, times)
+    place = starts[string] + np.repeat(offset[gone], times) + again * windows[string]
+    string, place = string[(ok := place < starts[string] + spans[string])], place[ok]
+    order = np.lexsort((place, string))
+    string, place = string[order], place[order]
     new = np.r_[True, (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)]
     first, last = place[new], place[np.r_[new[1:], True]]
     key, owner = keys[string[new]], ids[string[new]]
@@ -421,15 +459,16 @@ def sorted_ranges(batches: Batches) -> Batches:
     """Strings by range to the removed starts of their texts.
 
     Equal strings are merged first. Anchors with one string left are done; the others' strings are suffix-sorted,
-    about RANGE_BYTES at a time, all of an anchor together.
+    about RANGE_BYTES at a time, all of an anchor together (at most some HOT_TEXTS strings).
     """
     for _, rows in grouped(batches):
         merged = Merged()
-        for hashes, ids, keys, starts, sizes, data in rows:
+        for *packed_, sizes, data in rows:
             ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64).tolist()
             begin = 0
-            for h, i, k, a, end in zip(*(np.frombuffer(x, t).tolist() for x, t in ((hashes, np.uint64), (ids, np.int64), (keys, np.int64), (starts, np.int32))), ends, strict=True):
-                merged.add(h, data[begin:end], i, k, a)
+            kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32)
+            for h, i, k, a, span, end in zip(*(np.frombuffer(x, t).tolist() for x, t in zip(packed_, kinds, strict=True)), ends, strict=True):
+                merged.add(h, data[begin:end], i, k, a, span)
                 begin = end
         strings = sorted(merged.strings(), key=lambda s: s[0])
         if found := merged.removed():
@@ -442,12 +481,12 @@ def sorted_ranges(batches: Batches) -> Batches:
                 end += 1
             if end - at > 1:
                 group += strings[at:end]
-                held += sum(len(s[4]) for s in strings[at:end])
+                held += sum(len(s[5]) for s in strings[at:end])
             at = end
             if group and (held > RANGE_BYTES or at == len(strings)):
-                _, ids, keys, starts, data = zip(*group, strict=True)
+                _, ids, keys, starts, spans, data = zip(*group, strict=True)
                 sizes = np.array([len(d) for d in data], np.int64)
-                if found := repeats(np.array(ids, np.int64), np.array(keys, np.int64), np.array(starts, np.int64), sizes, np.frombuffer(b"".join(data), np.uint8)):
+                if found := repeats(np.array(ids, np.int64), np.array(keys, np.int64), np.array(starts, np.int64), np.array(spans, np.int64), sizes, np.frombuffer(b"".join(data), np.uint8)):
                     yield _batch(found, REMOVED_ARROW)
                 group, held = [], 0
 
@@ -501,12 +540,12 @@ def with_runs(docs: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     # as unsigned: the same bucket as in listed_anchors
     bucket = F.pmod(F.pmod(F.shiftrightunsigned("__owner", 32), F.lit(buckets)) * F.lit((1 << 32) % buckets) + F.pmod(F.col("__owner").bitwiseAND(0xFFFFFFFF), F.lit(buckets)), F.lit(buckets)).cast("int")
-    texts = docs.where(F.octet_length("text") >= LENGTH).select(bucket.alias("bucket"), F.col("__owner").alias("owner"), F.col("__id").alias("id"), F.col("__key").alias("key"), "text", none("binary").alias("high"), none("binary").alias("low"))
-    told = shared.select("bucket", none("long").alias("owner"), none("long").alias("id"), none("long").alias("key"), none("string").alias("text"), "high", "low")
+    texts = docs.where(F.octet_length("text") >= LENGTH).select(bucket.alias("bucket"), F.col("__owner").alias("owner"), F.col("__id").alias("id"), F.col("__key").alias("key"), "text", none("boolean").alias("hot"), none("binary").alias("high"), none("binary").alias("low"))
+    told = shared.select("bucket", none("long").alias("owner"), none("long").alias("id"), none("long").alias("key"), none("string").alias("text"), "hot", "high", "low")
     both = texts.unionByName(told).repartition(n, "bucket").sortWithinPartitions("bucket", F.col("owner").asc_nulls_first(), "id")
     strings = scratch.write(both.mapInArrow(strings_of(ranges), STRINGS), "strings")
     scratch.drop("shared")
-    strings_only = strings.where("place is not null").select("place", "hashes", "ids", "keys", "starts", "sizes", "data")
+    strings_only = strings.where("place is not null").select("place", "hashes", "ids", "keys", "starts", "spans", "sizes", "data")
     found = strings_only.repartition(n, "place").sortWithinPartitions("place").mapInArrow(sorted_ranges, REMOVED)
     removed = scratch.write(strings.where("place is null").select("key", "id", "runs").unionByName(found), "removed")
     scratch.drop("strings")
