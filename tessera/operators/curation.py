@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import read
+from . import retrieval
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -126,15 +127,40 @@ def near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(documents(spark, sf_dir))
 
 
-@query(f"with {_SETS} select c.rep doc_id, count(p.a) earlier, count(p.a) = 0 kept from c left join p on p.b = c.rep and nboth * 100 >= (na + nb - nboth) * {ALIKE} group by c.rep")
+def first_kept(pairs: DataFrame) -> DataFrame:
+    """(b): the texts of alike pairs (a < b) that go when texts are taken in order and each is held against kept ones only.
+
+    A round settles who has a kept earlier one (it goes) and whose earlier ones are all gone (it stays), until all are.
+    """
+    spark = pairs.sparkSession
+    pairs = retrieval.checkpointed(pairs.select("a", "b"))
+    gone, stays = spark.createDataFrame([], "b long"), retrieval.checkpointed(pairs.select(F.col("a").alias("k")).distinct().join(pairs.select(F.col("b").alias("k")), "k", "left_anti"))
+    while True:
+        fresh_gone = pairs.join(stays, pairs.a == stays.k, "left_semi").select("b").distinct().join(gone, "b", "left_anti")
+        now_gone = retrieval.checkpointed(gone.unionByName(fresh_gone))
+        open_ = pairs.join(now_gone, "b", "left_anti").join(stays.withColumnRenamed("k", "b"), "b", "left_anti")
+        waits = open_.join(now_gone.withColumnRenamed("b", "a"), "a", "left_anti").select("b").distinct()
+        fresh_stays = open_.select("b").distinct().join(waits, "b", "left_anti").withColumnRenamed("b", "k")
+        now_stays = retrieval.checkpointed(stays.unionByName(fresh_stays))
+        settled = now_gone.count() + now_stays.count()
+        if settled == gone.count() + stays.count():
+            return now_gone
+        gone, stays = now_gone, now_stays
+
+
+@query(f"""with recursive {_SETS}, l as (select a, b from p where nboth * 100 >= (na + nb - nboth) * {ALIKE}), nb as (select b, list(a) before, row_number() over (order by b) k from l group by b),
+r(k, gone) as (select 0::bigint, []::bigint[] union all select r.k + 1, case when len(list_filter(nb.before, lambda x: not list_contains(r.gone, x))) > 0 then list_append(r.gone, nb.b) else r.gone end from r join nb on nb.k = r.k + 1),
+g as (select gone from r order by k desc limit 1) select c.rep doc_id, (select count(*) from l where l.b = c.rep) earlier, not list_contains((from g), c.rep) kept from c""")
 def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct texts in order of their ids; one that is like an earlier one is not kept."""
+    """Distinct texts in order of their ids; one that is like an earlier kept one is not kept."""
     docs = documents(spark, sf_dir)
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\x0B\f\r]+", " "))
     reps = docs.select("doc_id", clean.alias("t")).where("t <> ''").groupBy("t").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    earlier = near_pairs(docs).groupBy(F.col("b").alias("doc_id")).agg(F.count("*").alias("earlier"))
-    n = F.coalesce("earlier", F.lit(0))
-    return reps.join(earlier, "doc_id", "left").select("doc_id", n.alias("earlier"), (n == 0).alias("kept"))
+    pairs = retrieval.checkpointed(near_pairs(docs).select("a", "b"))
+    earlier = pairs.groupBy(F.col("b").alias("doc_id")).agg(F.count("*").alias("earlier"))
+    gone = first_kept(pairs).select(F.col("b").alias("doc_id"), F.lit(True).alias("gone"))
+    out = reps.join(earlier, "doc_id", "left").join(gone, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("earlier", F.lit(0)).alias("earlier"), F.col("gone").isNull().alias("kept"))
 
 
 @query("""select lang, count(*) n, round(avg(n_chars), 4) mean, round(stddev_pop(n_chars), 4) sd, min(n_chars) least_, round(quantile_cont(n_chars, 0.25), 4) p25, round(quantile_cont(n_chars, 0.5), 4) p50,
@@ -178,9 +204,17 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 @query(f"with {TOKENS} select token, count(*) occurrences, count(distinct doc_id) documents, count(distinct source) sources from tok group by token having count(distinct doc_id) >= 5")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of five documents or more: occurrences, documents, sources. Counted by word and document first."""
-    per_doc = tokens(documents(spark, sf_dir)).groupBy("token", "doc_id", "source").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("token").agg(F.sum("n").alias("occurrences"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("source").alias("sources")).where("documents >= 5")
+    """Words of five documents or more: occurrences, documents, sources.
+
+    A document is one row, so a word's first place in it stands for the document: no grouping by document is needed.
+    Words are summed by source, with map-side sums, then over all sources.
+    """
+    parts = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
+    words = F.array_sort(F.filter(parts, lambda t: F.length(t) > 3))
+    first = T.bound(words, lambda w: F.transform(w, lambda t, i: F.struct(t.alias("token"), F.when((i > 0) & (F.get(w, i - 1) == t), 0).otherwise(1).alias("first"))))
+    rows = documents(spark, sf_dir).select("source", F.explode(first).alias("t")).select("source", "t.token", "t.first")
+    by_source = rows.groupBy("token", "source").agg(F.count("*").alias("n"), F.sum("first").alias("d"))
+    return by_source.groupBy("token").agg(F.sum("n").alias("occurrences"), F.sum("d").alias("documents"), F.count("source").alias("sources")).where("documents >= 5")
 
 
 @query(f"""with {TOKENS}, c as (select token, count(distinct source) sources, string_agg(distinct lang, ',' order by lang) langs from tok group by token)

@@ -79,8 +79,12 @@ def weakness_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten items a learner should practise: wrong ones, then almost right ones, then unseen ones; each item once."""
     a = answers(read(spark, sf_dir, "events"))
     counted = a.where("status <> 'correct'").groupBy("user_id", "item", F.when(F.col("status") == "wrong", 1).otherwise(2).alias("source")).agg(F.count("*").alias("n"))
-    items = a.select("item").distinct()  # the catalogue, not the answers
-    unseen = a.select("user_id").distinct().crossJoin(F.broadcast(items)).join(a, ["user_id", "item"], "left_anti").select("user_id", "item", F.lit(3).alias("source"), F.lit(0).cast("long").alias("n"))
+    # the first seen + 10 items of the catalogue hold ten unseen ones, if there are so many: rows grow with the answers
+    seen = a.select("user_id", "item").distinct()
+    catalogue = seen.groupBy().agg(F.array_sort(F.collect_set("item")).alias("items"))  # one row: the catalogue, not the answers
+    wanted = seen.groupBy("user_id").agg(F.count("*").alias("k")).crossJoin(F.broadcast(catalogue))
+    first_items = wanted.select("user_id", F.explode(F.slice("items", F.lit(1), F.col("k").cast("int") + 10)).alias("item"))
+    unseen = first_items.join(seen, ["user_id", "item"], "left_anti").select("user_id", "item", F.lit(3).alias("source"), F.lit(0).cast("long").alias("n"))
     first = counted.unionByName(unseen).groupBy("user_id", "item").agg(F.min(F.struct("source", "n")).alias("s")).select("user_id", "item", "s.source", "s.n")
     order = W.partitionBy("user_id").orderBy("source", F.desc("n"), "item")
     return first.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("user_id", "item", "source", "rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -115,7 +116,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the shared folder of spark.checkpoint.dir; a folder of our own only if that is unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -133,16 +137,14 @@ def bfs(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 r(node, hop) as (select 7::bigint, 0 union select b.v, r.hop + 1 from r join b on b.u = r.node where r.hop < 2) select node, min(hop)::int hop from r group by node""")
 def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    return bfs(similarity_edges(e, 0.3), e.where("vec_id = 7").select(F.col("vec_id").alias("node")), 2)
+    return bfs(checkpointed(similarity_edges(e, 0.3)), e.where("vec_id = 7").select(F.col("vec_id").alias("node")), 2)
 
 
 @query(f"""with {_EDGES}, n as (select vec_id from embeddings where label = 3) select src, dst, weight from edges where src in (from n) and dst in (from n)""")
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with both ends among the nodes of one label."""
     e = read(spark, sf_dir, "embeddings")
-    n = e.where("label = 3").select("vec_id")
-    edges = similarity_edges(e, 0.3)
-    return edges.join(n.withColumnRenamed("vec_id", "src"), "src", "left_semi").join(n.withColumnRenamed("vec_id", "dst"), "dst", "left_semi").select("src", "dst", "weight")
+    return similarity_edges(e.where("label = 3"), 0.3)  # only its nodes are compared
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,35 +164,107 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return settled
 
 
-@query("""with recursive n as (select p_partkey node from part where p_partkey between 1 and 63), e as (select node // 2 before, node from n where node > 1 union select node // 3, node from n where node >= 3),
-r(node, level) as (select 1::bigint, 0 union all select e.node, r.level + 1 from r join e on e.before = r.node) select node, max(level)::int level from r group by node""")
-def curriculum_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Courses 1 to 63, each needing the ones numbered its half and its third: levels in order of prerequisites."""
-    n = read(spark, sf_dir, "part").where("p_partkey between 1 and 63").select(F.col("p_partkey").alias("node")).distinct()
+_COURSES = """n as (select p_partkey + 1 node, p_size / 50.0 mastery from part), e as (select node // 2 before, node from n where node > 1 union select node // 3, node from n where node >= 3)"""
+
+
+def courses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(node, mastery) and edges (before, node): items numbered from 1, each needing the ones of its half and its third."""
+    n = read(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("node"), (F.col("p_size") / 50.0).alias("mastery"))
     half = n.where("node > 1").select(F.expr("node div 2").alias("before"), "node")
     third = n.where("node >= 3").select(F.expr("node div 3").alias("before"), "node")
-    return topological_levels(n, half.union(third).distinct())
+    return n, half.union(third).distinct()
+
+
+@query(f"""with recursive {_COURSES}, r(node, level) as (select 1::bigint, 0 union select e.node, r.level + 1 from r join e on e.before = r.node) select node, max(level)::int level from r group by node""")
+def curriculum_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses with levels in order of prerequisites."""
+    n, e = courses(spark, sf_dir)
+    return topological_levels(n.select("node").distinct(), e)
 
 
-@query("""with n as (select p_partkey node from part where p_partkey between 1 and 63), e as (select node // 2 before, node from n where node > 1 union select node // 3, node from n where node >= 3),
-m as (select p_partkey node, p_size / 50.0 mastery from part where p_partkey between 1 and 63)
-select n.node, coalesce(bool_and(m.mastery >= 0.4), true) unlocked from n left join e on e.node = n.node left join m on m.node = e.before group by n.node""")
+@query(f"""with {_COURSES} select n.node, coalesce(bool_and(m.mastery >= 0.4), true) unlocked from n left join e on e.node = n.node left join n m on m.node = e.before group by n.node""")
 def prerequisite_unlock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Courses whose prerequisites are all mastered well enough."""
-    part = read(spark, sf_dir, "part").where("p_partkey between 1 and 63")
-    n = part.select(F.col("p_partkey").alias("node"))
-    e = n.where("node > 1").select(F.expr("node div 2").alias("before"), "node").union(n.where("node >= 3").select(F.expr("node div 3").alias("before"), "node")).distinct()
-    m = part.select(F.col("p_partkey").alias("before"), (F.col("p_size") / 50.0).alias("mastery"))
-    return n.join(e, "node", "left").join(m, "before", "left").groupBy("node").agg(F.coalesce(F.bool_and(F.col("mastery") >= 0.4), F.lit(True)).alias("unlocked"))
+    n, e = courses(spark, sf_dir)
+    m = n.select(F.col("node").alias("before"), "mastery")
+    return n.select("node").join(e, "node", "left").join(m, "before", "left").groupBy("node").agg(F.coalesce(F.bool_and(F.col("mastery") >= 0.4), F.lit(True)).alias("unlocked"))
 
 
-@query("""with recursive n as (select p_partkey node from part where p_partkey between 1 and 63), r(node, up, depth) as (select node, node, 0 from n union all select node, up // 2, depth + 1 from r where up > 1)
+def ancestry(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, path): the way to the root over each node's first parent (the least before); none for nodes that lead into a cycle.
+
+    A round doubles how far each node has come, by joining it with the way of where it stands; so rounds grow with the
+    logarithm of the depth. A cycle comes back to where it was, which a round without progress tells.
+    """
+    parent = edges.groupBy("node").agg(F.min("before").alias("parent"))
+    way = nodes.select("node").distinct().join(parent, "node", "left")
+    # path: from the node up to, not with, top; top is null behind the root
+    way = checkpointed(way.select("node", F.array("node").alias("path"), F.col("parent").alias("top")))
+    left, before = way.where("top is not null").count(), -1
+    while left and left != before:
+        further = way.select(F.col("node").alias("top"), F.col("path").alias("more"), F.col("top").alias("next"))
+        joined = way.join(further, "top", "left")
+        way = checkpointed(joined.select("node", F.when(F.col("top").isNull(), F.col("path")).otherwise(F.concat("path", F.coalesce("more", F.array("top")))).alias("path"), F.when(F.col("top").isNotNull(), F.col("next")).alias("top")))
+        before, left = left, way.where("top is not null").count()
+    return way.where("top is null").select("node", "path")
+
+
+@query(f"""with recursive {_COURSES}, p as (select node, min(before) parent from e group by node), r(node, up, depth) as (select node, node, 0 from n union all select r.node, p.parent, depth + 1 from r join p on p.node = r.up)
 select node, string_agg(up::varchar, '>' order by depth) path from r group by node""")
 def ancestry_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The way to the root over each node's first parent (its half)."""
-    n = read(spark, sf_dir, "part").where("p_partkey between 1 and 63").select(F.col("p_partkey").cast("long").alias("node"))
-    steps = F.transform(F.sequence(F.lit(0), F.floor(F.log2("node")).cast("int")), lambda i: F.floor(F.col("node") / F.pow(F.lit(2.0), i)).cast("long").cast("string"))
-    return n.select("node", F.array_join(steps, ">").alias("path"))
+    """The way to the root over each course's first prerequisite."""
+    n, e = courses(spark, sf_dir)
+    return ancestry(n, e).select("node", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+def subgraph(vectors: DataFrame, asked: DataFrame, seeds: int, least: float, edge: float) -> DataFrame:
+    """(node, seed): the nearest so many nodes to one asked vector, of at least that similarity, and their neighbours.
+
+    Only seeds, a bounded number, are compared with all nodes.
+    """
+    near = nearest(vectors, asked, seeds, least).select(F.col("vec_id").alias("s"))
+    rows = vectors.where("embedding is not null").select("vec_id", "embedding")
+    own = F.broadcast(rows.join(near, F.col("vec_id") == F.col("s"), "left_semi").select(F.col("vec_id").alias("s"), F.col("embedding").alias("q")))
+    around = rows.crossJoin(own).where((F.col("vec_id") != F.col("s")) & (F.round(cosine(F.col("embedding"), F.col("q")), 4) >= edge)).select(F.col("vec_id").alias("node"), F.lit(False).alias("seed"))
+    return near.select(F.col("s").alias("node"), F.lit(True).alias("seed")).union(around).groupBy("node").agg(F.bool_or("seed").alias("seed"))
+
+
+@query(f"""with s as (select vec_id from (select e.vec_id, {_COS.format(a="e.embedding", b="q.embedding")} c from embeddings e, (select embedding from embeddings where vec_id = 11) q where e.embedding is not null) where c >= 0.1 order by c desc, vec_id limit 5),
+a as (select e.vec_id node, false seed from embeddings e join embeddings x on x.vec_id <> e.vec_id and x.vec_id in (from s) where {_COS.format(a="e.embedding", b="x.embedding")} >= 0.3 union all select vec_id, true from s) select node, bool_or(seed) seed from a group by node""")
+def graph_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five entry points of a question in the similarity graph, and all that is linked with them."""
+    e = read(spark, sf_dir, "embeddings")
+    return subgraph(e, e.where("vec_id = 11"), 5, 0.1, 0.3)
+
+
+def reading_order(page: pd.DataFrame) -> pd.DataFrame:
+    """A page's regions (region, x1, y1, before: regions read earlier) in reading order: by prerequisites, of several
+    open ones the topmost, then the leftmost; what a cycle holds comes last, by place."""
+    place = dict(zip(page["region"], zip(page["y1"], page["x1"], page["region"], strict=True), strict=True))
+    need = {k: {b for b in (before if before is not None else ()) if b in place and b != k} for k, before in zip(page["region"], page["before"], strict=True)}
+    after: dict = {}
+    for k, before in need.items():
+        for b in before:
+            after.setdefault(b, []).append(k)
+    queue, out = deque(sorted((k for k in place if not need[k]), key=place.get)), []
+    while queue:
+        k = queue.popleft()
+        out.append(k)
+        for n in after.get(k, ()):
+            need[n].discard(k)
+        queue += sorted((n for n in after.get(k, ()) if not need[n]), key=place.get)
+    done = set(out)
+    out += sorted((k for k in place if k not in done), key=place.get)
+    return pd.DataFrame({"page": page["page"].iloc[0], "region": out, "position": range(1, len(out) + 1)})
+
+
+@query("""with b as (select l_partkey page, l_orderkey * 10 + l_linenumber region, l_suppkey x1, l_quantity y1 from lineitem), d as (select page, region, min(x1) x1, min(y1) y1 from b group by all)
+select page, region, (row_number() over (partition by page order by y1, x1, region))::int as position from d""")
+def page_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of each page in reading order (here without prerequisites: by place)."""
+    b = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("region"), F.col("l_suppkey").alias("x1"), F.col("l_quantity").alias("y1"))
+    d = b.groupBy("page", "region").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1")).withColumn("before", F.array().cast("array<long>"))
+    return d.groupBy("page").applyInPandas(reading_order, "page long, region long, position int")
 
 
 def looked_up(terms: DataFrame, lex: DataFrame) -> DataFrame:

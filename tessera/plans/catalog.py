@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import curation, learning, psychometrics, quality, retrieval
+from ..operators import content, curation, learning, lexicon, library, psychometrics, quality, retrieval, signals
 
-MODULES = (learning, psychometrics, curation, quality, retrieval)
+MODULES = (learning, psychometrics, curation, quality, retrieval, lexicon, content, signals, library)
 
 
 def queries() -> dict:

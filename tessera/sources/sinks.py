@@ -72,6 +72,28 @@ def work_queue(variants: DataFrame, chapters: int) -> DataFrame:
     return variants.withColumn("chapter", F.explode(F.sequence(F.lit(1), F.lit(chapters)))).withColumn("status", F.lit("open"))
 
 
+def readable(queue: DataFrame, now: DataFrame, hidden: str) -> DataFrame:
+    """Messages (read_at, ...) that no reader holds at a time (one row, now_): never read, or read so long ago."""
+    free = F.col("read_at").isNull() | (F.col("read_at") + F.expr(f"interval {hidden}") <= F.col("now_"))
+    return queue.crossJoin(F.broadcast(now)).where(free).drop("now_")
+
+
+def appended(df: DataFrame, path: str) -> None:
+    """Rows appended to a log of JSON lines."""
+    df.write.mode("append").json(path)
+
+
+def last_entries(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame:
+    """The n latest entries (ts, ...) of a log of JSON lines."""
+    return newest(spark.read.schema(schema).json(path), n)
+
+
+def markdown(df: DataFrame) -> DataFrame:
+    """(line): rows as lines of a Markdown table, without the two lines of its head."""
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
 def published(snapshots: DataFrame) -> DataFrame:
     """The latest snapshot of each world; a rollback is a new snapshot with an older content."""
     return snapshots.groupBy("world").agg(F.max_by(F.struct("version", "content"), "created_at").alias("s")).select("world", "s.version", "s.content")
