@@ -2,8 +2,9 @@
 
 A payload is a run of rows (record, chunk number, bytes) of bounded size; what does not fit one WARC record goes on
 in continuation records (the format's segmentation), so no step holds a whole oversized payload. Digests are carried
-from chunk to chunk. Archives are gzipped WARC 1.1 files made by Spark's text writer, one record a row: each record
-starts with its version line and the archive's WARC-Warcinfo-ID, which makes a delimiter that readers can split at.
+from chunk to chunk. Archives are gzipped WARC 1.1 files made by Spark's text writer, one record a row; each file starts
+with a warcinfo record. The reader takes any WARC file of text payloads: Spark splits files at version lines, and a
+parser puts together again, by the records' lengths, what a payload with such a line in it was split into.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from .common import Batches, Scratch, partitions, shared_dir, small_batches, tab
 CHUNK_BYTES = 1 << 18
 #: Equal payloads of at least so many bytes are stored once.
 LEAST_REVISIT_BYTES = 0
-#: Records of an archive file; a gzipped file is read by one task, so files stay small.
+#: Records of an archive file, its warcinfo among them; a gzipped file is read by one task, so files stay small.
 FILE_RECORDS = 5_000
+#: Bytes of payload that a task holds before it passes rows on.
+HELD_BYTES = 4 << 20
 
 CHUNKS = "page_id long, row string, url string, chunk int, offset long, data string, last boolean, payload_bytes long, payload_digest string"
 CHUNKS_ARROW = pa.schema([("page_id", pa.int64()), ("row", pa.string()), ("url", pa.string()), ("chunk", pa.int32()), ("offset", pa.int64()), ("data", pa.string()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
@@ -53,20 +56,28 @@ def base32(sha1) -> str:
 def chunked(most: int):
     """(page_id, url, html) to rows of the chunked record table; size and digest stand in a record's last row."""
 
+    def passed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), CHUNKS_ARROW, strict=True)], schema=CHUNKS_ARROW)
+
     def run(batches: Batches) -> Batches:
+        rows, size_held = [], 0
         for batch in batches:
-            rows = []
-            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, url, html in zip(*batch.columns, strict=True):  # one payload at a time becomes a string
                 sha, size, row = hashlib.sha1(), 0, uuid.uuid4().hex
-                held = None
-                for k, data in enumerate(pieces(html or "", most)):
+                page, url, held = page.as_py(), url.as_py(), None
+                for k, data in enumerate(pieces(html.as_py() or "", most)):
                     if held:
                         rows.append((*held, False, None, None))
                     held = (page, row, url, k, size, data.decode())
                     sha.update(data)
                     size += len(data)
+                    size_held += len(data) + 200
+                    if rows and size_held > HELD_BYTES:
+                        yield passed(rows)
+                        rows, size_held = [], len(data)
                 rows.append((*held, True, size, base32(sha)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), CHUNKS_ARROW, strict=True)], schema=CHUNKS_ARROW)
+        if rows:
+            yield passed(rows)
 
     return run
 
@@ -91,6 +102,31 @@ def with_originals(chunks: DataFrame, least: int) -> DataFrame:
     return both.select("row", "payload_bytes", "payload_digest", "revisit", F.when(F.col("revisit"), F.col("first.page_id")).alias("refers_to"))
 
 
+def warcinfo(archive: str) -> str:
+    """The record that a file starts with, but for the final line feed."""
+    said = "software: tessera\r\nformat: WARC File Format 1.1\r\n"
+    head = ("WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{archive}>", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(said)}")
+    return "\r\n".join(head) + "\r\n\r\n" + said + "\r\n\r"
+
+
+def with_warcinfo(archive: str):
+    """Record texts with a warcinfo before the first one of every file, of FILE_RECORDS records."""
+
+    def run(batches: Batches) -> Batches:
+        n = 0
+        for batch in batches:
+            at, values = 0, batch.column(0)
+            while at < len(values):
+                if n % FILE_RECORDS == 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([warcinfo(archive)])], names=["value"])
+                    n += 1
+                take = min(len(values) - at, FILE_RECORDS - n % FILE_RECORDS)
+                yield pa.RecordBatch.from_arrays([values.slice(at, take)], names=["value"])
+                at, n = at + take, n + take
+
+    return run
+
+
 def record_text(archive: str) -> F.Column:
     """A chunk row's whole WARC record, but for the final line feed, which the text writer puts."""
     end = F.lit("\r\n")
@@ -125,48 +161,99 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, least: int = L
     rows = chunks.drop("payload_bytes", "payload_digest").join(found, "row").withColumns({"payload_bytes": F.col("size"), "payload_digest": F.col("digest")})
     # of a revisit only its first row is a record
     rows = rows.where(~F.col("revisit") | (F.col("chunk") == 0)).withColumn("last", F.col("last") | F.col("revisit"))
-    rows.select(record_text(archive).alias("value")).write.option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    texts = rows.select(record_text(archive).alias("value")).mapInArrow(with_warcinfo(archive), "value string")
+    texts.write.option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
     scratch.drop("chunks")
     return archive
 
 
+def whole_records(batches: Batches) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, payload) of pieces (file, value) of files that were split at version lines.
+
+    A piece shorter than its record's length was split inside its payload: it goes on with the next piece of its file.
+    """
+    file, head, payload, need = None, None, b"", 0
+    for batch in batches:
+        for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if name != file and need > 0:
+                raise ValueError(f"{file}: the last record is cut off")
+            if need > 0:  # VERSION was a part of the payload
+                payload += VERSION.encode() + value
+            else:
+                _, _, rest = value.partition(b"\r\n")  # the version's number
+                said, _, payload = rest.partition(b"\r\n\r\n")
+                head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in said.decode("utf-8", "replace").split("\r\n")) if v}
+                if not head:
+                    continue  # what stands before a file's first record
+            file, size = name, int(head["content-length"])
+            need = size - len(payload)
+            if need <= 0:
+                if payload[size:].strip(b"\r\n"):
+                    raise ValueError(f"record {head.get('warc-record-id')}: {len(payload)} bytes where {size} are told")
+                yield head, payload[:size]
+    if need > 0:
+        raise ValueError(f"{file}: the last record is cut off")
+
+
 def parsed(batches: Batches, keep: bool = True) -> Batches:
-    """Record texts to (row, chunk, data, headers).
+    """Pieces of archives (file, value) that this module has written to (row, chunk, data, headers).
 
     keep=False: a payload in one piece is checked against its digest here and left out; only segments go on.
     """
-    for batch in batches:
-        rows = []
-        for value in batch.column(0).to_pylist():
-            head, _, rest = value.partition("\r\n\r\n")
-            if not head:
-                continue
-            fields = dict(x.split(": ", 1) for x in head.split("\r\n") if ": " in x)
-            page, row, chunk = fields["WARC-Record-ID"][len("<urn:page:") : -1].split(":")
-            data = rest.encode()
-            n = int(fields["Content-Length"])
-            if data[n:].rstrip(b"\r\n") or len(data) < n:
-                raise ValueError(f"record {fields['WARC-Record-ID']}: {len(data)} bytes where {n} are told")
-            refers = fields.get("WARC-Refers-To", "<urn:page:none>")[len("<urn:page:") : -1]
-            digest, told, data = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), int(fields.get("X-Payload-Length", -1)), data[:n]
-            if fields["WARC-Type"] == "response" and "WARC-Segment-Number" not in fields and not keep:
-                if base32(hashlib.sha1(data)) != digest:
-                    raise ValueError(f"record {fields['WARC-Record-ID']}: the payload read back has another digest")
-                told, data = n, None
-            rows.append((row, int(chunk), None if page == "none" else int(page), fields["WARC-Type"], data, digest, told, None if refers == "none" else int(refers), int(fields.get("WARC-Segment-Total-Length", -1))))
-        if rows:
+    rows, held = [], 0
+    for fields, data in whole_records(batches):
+        if fields["warc-type"] == "warcinfo":
+            continue
+        page, row, chunk = fields["warc-record-id"][len("<urn:page:") : -1].split(":")
+        refers = fields.get("warc-refers-to", "<urn:page:none>")[len("<urn:page:") : -1]
+        digest, told = fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(fields.get("x-payload-length", -1))
+        if fields["warc-type"] == "response" and "warc-segment-number" not in fields and not keep:
+            if base32(hashlib.sha1(data)) != digest:
+                raise ValueError(f"record {fields['warc-record-id']}: the payload read back has another digest")
+            told, data = len(data), None
+        rows.append((row, int(chunk), None if page == "none" else int(page), fields["warc-type"], data, digest, told, None if refers == "none" else int(refers), int(fields.get("warc-segment-total-length", -1))))
+        held += len(data or b"") + 200
+        if held > HELD_BYTES:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PARSED_ARROW, strict=True)], schema=PARSED_ARROW)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PARSED_ARROW, strict=True)], schema=PARSED_ARROW)
 
 
 PARSED = "row string, chunk int, page_id long, kind string, data binary, digest string, told_bytes long, refers_to long, total long"
 PARSED_ARROW = pa.schema([("row", pa.string()), ("chunk", pa.int32()), ("page_id", pa.int64()), ("kind", pa.string()), ("data", pa.binary()), ("digest", pa.string()), ("told_bytes", pa.int64()), ("refers_to", pa.int64()), ("total", pa.int64())])
 
 
-def read_records(spark: SparkSession, path: str, archive: str, keep: bool = True) -> DataFrame:
-    """The chunked record table of the archives at path: (row, chunk, page_id, kind, data, ...); see parsed()."""
+#: Files are split where a record may start.
+VERSION = "WARC/1."
+
+
+def pieces_of(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value binary): the files at path, split at VERSION, in order. Gzipped files are read by one task each."""
     small_batches(spark, 64)
-    delimiter = f"WARC/1.1\r\nWARC-Warcinfo-ID: <urn:uuid:{archive}>\r\n"
-    return spark.read.option("lineSep", delimiter).text(path).mapInArrow(lambda batches: parsed(batches, keep), PARSED)
+    return spark.read.option("lineSep", VERSION).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+
+
+def read_records(spark: SparkSession, path: str, keep: bool = True) -> DataFrame:
+    """The chunked record table of the archives at path: (row, chunk, page_id, kind, data, ...); see parsed()."""
+    return pieces_of(spark, path).mapInArrow(lambda batches: parsed(batches, keep), PARSED)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, type, uri, date, content_type, headers map, payload binary) of the records of any WARC files at path.
+
+    Files should be gzipped, or small enough for one task: a record's parts must stay in one task's order. A record is
+    held whole; writers of very large ones use segments.
+    """
+    names = ["warc-record-id", "warc-type", "warc-target-uri", "warc-date", "content-type"]
+
+    def run(batches: Batches) -> Batches:
+        for head, payload in whole_records(batches):
+            row = [*([head.get(n)] for n in names), [list(head.items())], [payload]]
+            kinds = [*[pa.string()] * len(names), pa.map_(pa.string(), pa.string()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["record_id", "type", "uri", "date", "content_type", "headers", "payload"])
+
+    return pieces_of(spark, path).mapInArrow(run, "record_id string, type string, uri string, date string, content_type string, headers map<string, string>, payload binary")
 
 
 def folded(batches: Batches) -> Batches:
@@ -200,13 +287,14 @@ def folded(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(closed(), BACK_ARROW, strict=True)], schema=BACK_ARROW)
 
 
-def read_archives(spark: SparkSession, path: str, archive: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, archive: str | None = None) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record, its payload checked against its digest.
 
     A payload in one piece is checked where it is read. The segments of others are brought together in order and folded
-    chunk by chunk, whatever the payload's size.
+    chunk by chunk, whatever the payload's size. archive, the id of the warcinfo, isn't needed for reading. An archive
+    without records gives no rows.
     """
-    records = read_records(spark, path, archive, keep=False)
+    records = read_records(spark, path, keep=False)
     n = partitions(spark)
     return records.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInArrow(folded, BACK)
 
