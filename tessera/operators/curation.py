@@ -60,9 +60,23 @@ def sanity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.when(F.length(t) < 40, "too_short").when(leaders, "dotted_leaders").when(odd, "odd_characters").otherwise("rest").alias("reason"))
 
 
-@query()
+_ODD = """[^\\p{L}\\p{N}_ \\t\\n\\x0B\\r\\f\\.,;:!?\\-''"()\\[\\]/«»–—]"""
+#: SQL has no back-references: a run of one character is sought for each character that a text has.
+_RUN = "len(list_filter(list_distinct(string_split({t}, '')), lambda c: {ok} and contains({t}, repeat(c, {n})))) > 0"
+_RUNS = "list_sum(list_transform(list_filter(list_distinct(string_split({t}, '')), lambda c: not regexp_matches(c, '[ \\t\\n\\x0B\\r\\f]') and contains({t}, repeat(c, 5))), lambda c: len(regexp_extract_all({t}, regexp_escape(c) || '{{5,}}'))))"
+
+
+@query(f"""with r as (select doc_id, trim(coalesce("text", ''), ' ') t, coalesce("text", '') x from documents),
+m as (select *, regexp_extract_all(t, '\\.{{4,}}|(?:\\.[ \\t\\n\\x0B\\r\\f]*){{5,}}') leaders, len(regexp_extract_all(t, '{_ODD}')) / greatest(length(t), 1) odd, len(regexp_extract_all(x, '{_ODD}')) / greatest(length(x), 1) odd_x,
+ list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\r\\f]+'), lambda w: length(w) >= 3) words, len(regexp_extract_all(x, '[\\p{{L}}''-]')) letters, len(regexp_extract_all(lower(x), '[{T.VOWELS}]')) vowels from r),
+q as (select *, letters / greatest(length(x), 1) alpha, vowels / greatest(letters, 1) vowel, len(list_filter(words, lambda w: not regexp_matches(lower(w), '[{T.VOWELS}]'))) / greatest(len(words), 1) vowelless from m)
+select doc_id, case when length(t) < 40 then 'too_short' when len(leaders) >= 2 or coalesce(list_sum(list_transform(leaders, lambda l: length(l))), 0) > 30 then 'dotted_leaders' when odd > 0.18 then 'odd_characters'
+  when {_RUN.format(t="t", n=6, ok="not regexp_matches(c, '[ \\t\\n\\x0B\\r\\f]')")} then 'repeated_run' when len(words) >= 5 and vowelless > 0.35 then 'no_vowels' else 'sound' end reason,
+ (case when length(trim(x, ' ')) < 80 then 30.0 when regexp_matches(x, '\\.{{6,}}') then 50.0 when alpha < 0.45 then 40.0 when vowel < 0.18 then 35.0
+  when {_RUN.format(t="x", n=6, ok="regexp_matches(c, '[\\p{L}\\p{N}_]')")} then 45.0 else round(least(100.0, 70.0 + alpha * 20.0 + vowel * 10.0), 2) end)::double score,
+ odd_x > 0.12 or coalesce({_RUNS.format(t="x")}, 0) > 1 garbled from q""")
 def sanity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sanity checks: reason, score and whether the text is garbled (back-references have no SQL twin)."""
+    """All sanity checks: reason, score and whether the text is garbled."""
     x = F.col("text")
     return documents(spark, sf_dir).select("doc_id", T.sanity_reason(x).alias("reason"), T.sanity_score(x).alias("score"), T.garbled(x).alias("garbled"))
 

@@ -301,13 +301,13 @@ def level_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def map_ability(group: pd.DataFrame) -> pd.DataFrame:
     """Posterior mode of one learner's ability: at most 15 damped Newton steps within +-3.5, normal prior of sd 1."""
-    a, b, c = (group[x].to_numpy(float) for x in "abc")
+    a, b, c, n = (group[x].to_numpy(float) for x in "abcn")
     u, theta = group["ok"].to_numpy(float), 0.0
     for k in range(15):
         p = np.clip(c + (1 - c) / (1 + np.exp(np.clip(-D * a * (theta - b), -35, 35))), 1e-4, 1 - 1e-4)
         share = (p - c) / (1 - c)
-        grad = (D * a * share * (u - p) / p).sum() - theta
-        info = ((D * a) ** 2 * share**2 * (1 - p) / p).sum() + 1
+        grad = (n * D * a * share * (u - p) / p).sum() - theta
+        info = (n * (D * a) ** 2 * share**2 * (1 - p) / p).sum() + 1
         step = float(np.clip(grad / max(info, 1e-6), -1, 1))
         theta = float(np.clip(theta + step, -3.5, 3.5))
         if abs(step) < 1e-4:
@@ -315,10 +315,23 @@ def map_ability(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"user_id": [group["user_id"].iloc[0]], "theta": [round(theta, 3)], "se": [round(float(1 / np.sqrt(info)), 3)], "steps": [k + 1]})
 
 
-@query()
+#: One step of the search, from the table o to the table n; learners that are done stay as they are.
+_NEWTON = """{n} as (select o.user_id, least(greatest(o.theta + s, -3.5), 3.5) theta, o.steps + 1 steps, abs(s) < 1e-4 done, o.i info from
+ (select user_id, any_value(theta) theta, any_value(steps) steps, sum(g) - any_value(theta) g, sum(i) + 1 i from
+  (select user_id, theta, steps, 1.702 * a * ((pp - c) / (1 - c)) * (ok::int - pp) / pp g, (1.702 * a) ** 2 * ((pp - c) / (1 - c)) ** 2 * (1 - pp) / pp i from
+   (select q.user_id, q.theta, q.steps, r.a, r.c, r.ok, least(greatest(r.c + (1 - r.c) / (1 + exp(least(greatest(-1.702 * r.a * (q.theta - r.b), -35), 35))), 1e-4), 1 - 1e-4) pp from {o} q join resp r using (user_id) where not q.done))
+  group by user_id) o, lateral (select least(greatest(o.g / greatest(o.i, 1e-6), -1.0), 1.0) s) union all select user_id, theta, steps, done, info from {o} where done)"""
+
+
+@query(f"""with {ITEMS}, n0 as (select distinct user_id, 0.0::double theta, 0 steps, false done, 1.0::double info from resp), {", ".join(_NEWTON.format(o=f"n{k}", n=f"n{k + 1}") for k in range(15))}
+select user_id, round(theta, 3) theta, round(1 / sqrt(info), 3) se, steps::int steps from n15""")
 def ability_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posterior mode of each learner's ability, by Newton's method in a grouped Arrow function."""
-    return responses(spark, sf_dir).select("user_id", "ok", "a", "b", "c").groupBy("user_id").applyInPandas(map_ability, "user_id long, theta double, se double, steps int")
+    """Posterior mode of each learner's ability, by Newton's method in a grouped Arrow function.
+
+    Answers are counted by item parameters and result first, so a group is bounded by the catalogue, not the answers.
+    """
+    counted = responses(spark, sf_dir).groupBy("user_id", "ok", "a", "b", "c").agg(F.count("*").alias("n"))
+    return counted.groupBy("user_id").applyInPandas(map_ability, "user_id long, theta double, se double, steps int")
 
 
 @query(f"""with {ITEMS}, withdrawn as (select r.event_id from resp r join (select item, avg(ok::int) p from resp group by item having count(*) >= 5 and (avg(ok::int) < 0.25 or avg(ok::int) > 0.95)) w on w.item = r.item),

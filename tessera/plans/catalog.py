@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import content, curation, learning, lexicon, library, psychometrics, quality, retrieval, signals
+from ..operators import content, curation, learning, lexicon, library, psychometrics, quality, retrieval, signals, views
 
-MODULES = (learning, psychometrics, curation, quality, retrieval, lexicon, content, signals, library)
+MODULES = (learning, psychometrics, curation, quality, retrieval, lexicon, content, signals, views, library)
 
 
 def queries() -> dict:
