@@ -258,7 +258,13 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", pos.cast("long").alias("pos"), F.substring(F.col("text"), F.greatest(pos - 40, F.lit(1)), F.lit(87)).alias("snippet"))
 
 
-@query()
+@query("""with recursive s0 as (select doc_id, list_filter(flatten(list_transform(string_split(regexp_replace(coalesce("text", ''), '([.!?])[ \\t\\n\\x0B\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda p: regexp_split_to_array(p, '\\n[ \\t\\n\\x0B\\r\\f]*\\n'))), lambda u: trim(u, ' ') <> '') u from documents),
+s as (select doc_id, generate_subscripts(u, 1) k, unnest(u) u from s0),
+r(doc_id, k, now_, last_, out_) as (select doc_id, k, u, u, null::varchar from s where k = 1 union all
+ select s.doc_id, s.k, case when length(now_) + 1 + length(s.u) <= 700 then now_ || ' ' || s.u when length(last_) < 200 and length(last_) + 1 + length(s.u) <= 700 then last_ || ' ' || s.u else s.u end, s.u, case when length(now_) + 1 + length(s.u) <= 700 then null else now_ end
+ from r join s on s.doc_id = r.doc_id and s.k = r.k + 1),
+c as (select doc_id, k, out_ chunk from r where out_ is not null union all select doc_id, max(k) + 1, arg_max(now_, k) from r group by doc_id)
+select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int chunk_index, length(chunk)::int n, sha256(regexp_replace(lower(trim(chunk, ' ')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) content_hash from c""")
 def linguistic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences packed into chunks of at most 700 characters, a short last sentence repeated; with hashes and places."""
     d = documents(spark, sf_dir).select("doc_id", F.posexplode(T.packed_chunks(T.sentences(F.col("text")), 700, 200)).alias("chunk_index", "chunk"))

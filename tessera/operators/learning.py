@@ -71,14 +71,15 @@ def user_weakness_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {ANSWERS}, users as (select distinct user_id from answers), items as (select distinct item from answers),
 s as (select user_id, item, 1 source, count(*) n from answers where status = 'wrong' group by all
  union all select user_id, item, 2, count(*) from answers where status = 'almost' group by all
+ union all select user_id, item, 4, count(*) from answers where status = 'correct' group by all
  union all select u.user_id, i.item, 3, 0 from users u, items i where not exists (select 1 from answers a where a.user_id = u.user_id and a.item = i.item)),
 d as (select *, row_number() over (partition by user_id, item order by source) r from s),
 t as (select user_id, item, source, row_number() over (partition by user_id order by source, n desc, item)::int rank from d where r = 1)
 select user_id, item, source, rank from t where rank <= 10""")
 def weakness_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten items a learner should practise: wrong ones, then almost right ones, then unseen ones; each item once."""
+    """Ten items a learner should practise: wrong ones, then almost right ones, then unseen ones, then right ones; each item once."""
     a = answers(read(spark, sf_dir, "events"))
-    counted = a.where("status <> 'correct'").groupBy("user_id", "item", F.when(F.col("status") == "wrong", 1).otherwise(2).alias("source")).agg(F.count("*").alias("n"))
+    counted = a.groupBy("user_id", "item", F.when(F.col("status") == "wrong", 1).when(F.col("status") == "almost", 2).otherwise(4).alias("source")).agg(F.count("*").alias("n"))
     # the first seen + 10 items of the catalogue hold ten unseen ones, if there are so many: rows grow with the answers
     seen = a.select("user_id", "item").distinct()
     catalogue = seen.groupBy().agg(F.array_sort(F.collect_set("item")).alias("items"))  # one row: the catalogue, not the answers

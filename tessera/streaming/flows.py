@@ -75,7 +75,8 @@ SESSION_STATE = "theta double, info double, answers int"
 
 
 def session_step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One session's ability, answer by answer, carried in state; it ends after 15 answers or two hours without one."""
+    """One session's ability, answer by answer, carried in state. It ends after 15 answers, after 5 once the standard error is
+    below .30, or after two hours without an answer."""
     import numpy as np
 
     if state.hasTimedOut:
@@ -93,7 +94,7 @@ def session_step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -
         answers += 1
     state.update((theta, float(info), answers))
     state.setTimeoutDuration(2 * 60 * 60 * 1000)
-    yield pd.DataFrame({"session_id": [key[0]], "theta": [theta], "answers": [answers], "finished": [answers >= 15]})
+    yield pd.DataFrame({"session_id": [key[0]], "theta": [theta], "answers": [answers], "finished": [answers >= 15 or (answers >= 5 and info > 1 / 0.30**2)]})
 
 
 def sessions(answers: DataFrame) -> DataFrame:

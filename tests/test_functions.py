@@ -159,3 +159,120 @@ def test_evidence_cascade_of_every_word(spark):
     spark.createDataFrame([(1, "fox quick\n sleeper"), (2, "none fox"), (3, None), (4, "")], "doc_id long, text string").write.parquet(path + "/documents.parquet")
     got = {tuple(r) for r in retrieval.QUERIES["evidence_cascade_terms"](spark, path).collect()}
     assert got == {("fox", 1, "exact", 1.0), ("quick", 1, "normalised", 0.95), ("sleeper", 2, "variant", 0.9), ("none", None, "none", 0.0)}
+
+
+def test_session_ends_once_ability_is_known(spark):
+    ts = dt.datetime(2024, 1, 1)
+    rows = [("few", k, ts, True, 1.2, 0.0, 0.25) for k in range(5)] + [("sure", k, ts, k % 2 == 0, 4.0, 0.0, 0.0) for k in range(6)]
+    df = spark.createDataFrame(rows, "session_id string, event_id long, ts timestamp, ok boolean, a double, b double, c double")
+    got = {r.session_id: r.finished for r in streamed(spark, df, flows.sessions, "update").collect()}
+    assert got == {"few": False, "sure": True}
+
+
+def test_presence_stream_counts_users_once(spark):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    beats = spark.createDataFrame([(t(5), 1, "x"), (t(20), 1, "x"), (t(30), 2, "x"), (t(4000), 3, "y")], "ts timestamp, user_id long, country string")
+    got = {(r.at, r.country): r.online for r in streamed(spark, beats, flows.presence).collect()}
+    assert got[t(180), "x"] == 2 and got[t(60), "x"] == 2
+    assert got.items() <= {(r.at, r.country): r.online for r in flows.presence(beats).collect()}.items()
+
+
+def test_additive_upsert(spark):
+    old, new = spark.createDataFrame([(1, 5, "a"), (2, 7, "b")], "id long, n long, v string"), spark.createDataFrame([(2, 3, "c"), (3, 1, "d")], "id long, n long, v string")
+    assert sorted(tuple(r) for r in sinks.upserted(old, new, ["id"], ["n"]).select("id", "n", "v").collect()) == [(1, 5, "a"), (2, 10, "c"), (3, 1, "d")]
+
+
+def test_logs_and_exports(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for k in range(3):
+        sinks.appended(spark.createDataFrame([(k, f"e{k}")], "ts long, v string"), f"{folder}/log")
+    assert [r.v for r in sinks.last_entries(spark, f"{folder}/log", "ts long, v string", 2).collect()] == ["e2", "e1"]
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "id long, v string")
+    assert [r.line for r in sinks.markdown(df).collect()] == ["| 1 | a\\|b |", "| 2 |  |"]
+    sinks.export(df, f"{folder}/csv", "csv")
+    assert spark.read.option("header", True).csv(f"{folder}/csv").count() == 2
+
+
+def test_reading_order_with_prerequisites_and_cycles():
+    import pandas as pd
+
+    page = pd.DataFrame({"page": 1, "region": [1, 2, 3, 4, 5], "x1": [0, 0, 50, 0, 0], "y1": [10, 0, 0, 90, 80], "before": [[], [1], None, [5], [4]]})
+    assert retrieval.reading_order(page)["region"].tolist() == [3, 1, 2, 5, 4]
+
+
+def test_ancestry_of_deep_chains_and_cycles(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(12)], "node long")
+    edges = spark.createDataFrame([*((k, k + 1) for k in range(8)), (10, 11), (11, 10)], "before long, node long")
+    got = {r.node: r.path for r in retrieval.ancestry(nodes, edges).collect()}
+    assert got == {**{k: list(range(k, -1, -1)) for k in range(9)}, 9: [9]}
+
+
+def test_first_kept_is_greedy(spark):
+    from tessera.operators import curation
+
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (1, 5), (7, 9)], "a long, b long")
+    assert {r.b for r in curation.first_kept(pairs).collect()} == {2, 4, 5, 9}  # 3 is like 2 alone, which went; so 4 goes
+
+
+def test_corrections_against_all_pairs(spark):
+    import itertools
+    import random
+
+    from tessera.operators import lexicon
+
+    rng = random.Random(3)
+    terms = {"".join(rng.choices("abcde", k=rng.randrange(3, 9))) for _ in range(80)}
+    words = {"".join(rng.choices("abcde", k=rng.randrange(2, 9))) for _ in range(150)} | {"", "a"}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for w, t in itertools.product(words, terms):
+        d, most = distance(w, t), 0 if len(w) <= 3 else 1 if len(w) <= 5 else 2
+        if most and d <= most:
+            want[w] = min(want.get(w, (9, "")), (d, t))
+    got = lexicon.corrections(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t, 1) for t in terms], "term string, uses long"))
+    assert {r.word: (r.distance, r.corrected) for r in got.collect()} == want
+
+
+def test_search_takes_the_first_axis(spark):
+    from tessera.operators import lexicon
+
+    rows = [(1, "abaré", "priest", "aba"), (2, "xyz", "abaré house", "q"), (3, "uvw", "opq", "abaré"), (4, "none", "at all", "z")]
+    catalog = spark.createDataFrame(rows, "id long, label string, other string, root string").selectExpr("*", "'k' kind", "'b' brand", "1 size")
+    got = {r.id: (r.axis, r.score) for r in lexicon.search(catalog, "abaré", brand="B").collect()}
+    assert got == {1: ("lexical", 1.0), 2: ("translation", 0.874), 3: ("root", 0.85)}
+    assert lexicon.search(catalog, "abaré", size=2).count() == 0
+
+
+def test_confidence_fusion_of_known_values(spark):
+    v = one(spark, quality.composite(F.col("o"), F.lit(80.0), F.lit(60.0), F.lit(50.0), F.lit(100.0), F.col("u"), F.lit(100)), o=90.0, u=False)
+    assert v.score == pytest.approx(0.45 * 90 + 0.15 * 80 + 0.2 * 60 + 0.1 * 50 + 0.1 * 100) and v.review == "approved"
+    v = one(spark, quality.composite(F.col("o"), F.lit(80.0), F.lit(60.0), F.lit(50.0), F.lit(100.0), F.col("u"), F.lit(10)), o=40.0, u=True)
+    assert v.score == pytest.approx(0.45 * 40 + 12 + 10) and v.review == "low_recognition; short; unchanged_noise"
+    half = one(spark, quality.fused({"ocr": F.col("p"), "consensus": F.col("p")}), p=0.5)
+    assert half == pytest.approx(0.5) and one(spark, quality.temperature_scaled(F.col("p"), 1.0), p=0.3) == pytest.approx(0.3)
+    low, high = quality.wilson(F.col("k"), F.col("n"))
+    assert one(spark, low, k=5, n=10) == pytest.approx(0.2366, abs=1e-3) and one(spark, high, k=0, n=0) == 0
+
+
+def test_chains_and_purchases_carry_over_batches(spark):
+    import hashlib
+
+    from tessera.operators import content, views
+
+    rows = [(1, k, f"p{k}") for k in range(40)] + [(2, 1, "q")]
+    got = {r.user: (r.entries, r.head) for r in content.chained(spark.createDataFrame(rows, "user long, k long, p string").repartition(6), "user", ["k"], "p").collect()}
+    head = "genesis"
+    for k in range(40):
+        head = hashlib.sha256(f"p{k}:{head}".encode()).hexdigest()
+    assert got == {1: (40, head), 2: (1, hashlib.sha256(b"q:genesis").hexdigest())}
+    bookings = [(1, dt.datetime(2024, 1, k), k, x) for k, x in ((1, 5), (2, -9), (3, 6), (4, -11), (5, -1))]
+    done = views.purchases(spark.createDataFrame(bookings, "user_id long, ts timestamp, event_id long, amount long")).orderBy("event_id").collect()
+    assert [(r.balance, r.accepted) for r in done] == [(5, True), (5, False), (11, True), (0, True), (0, False)]
