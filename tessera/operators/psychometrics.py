@@ -144,16 +144,24 @@ s as (select o.user_id, o.item, round((1.702 * a) ** 2 * (p - c) ** 2 * (1 - p)
   from (select *, {P.format(t="theta")} p from open_) o left join c on c.user_id = o.user_id and c.cat = o.item % 10)
 select user_id, item, score from (select *, row_number() over (partition by user_id order by score desc, item) r from s) where r = 1""")
 def next_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unseen item with most information, less 0.15 for each answer in its category."""
-    r = responses(spark, sf_dir)
-    seen = r.select("user_id", "item").distinct()
-    counts = r.groupBy("user_id", (F.col("item") % 10).alias("cat")).agg(F.count("*").alias("n"))
-    bank = items(r.select("item").distinct())
-    fresh = eap(r).crossJoin(F.broadcast(bank)).join(seen, ["user_id", "item"], "left_anti").withColumn("cat", F.col("item") % 10)  # bank: a row an item of the catalogue
+    """The unseen item with most information, less 0.15 for each answer in its category.
+
+    Abilities are rounded, so items are ranked once an ability and category, not once a learner. Of a category a learner
+    needs one item more than they have seen of it; so rows grow with the answers, not with learners times items.
+    """
+    r = responses(spark, sf_dir).withColumn("cat", F.col("item") % 10)
+    seen = r.select("user_id", "item", "cat").distinct()
+    counts = r.groupBy("user_id", "cat").agg(F.count("*").alias("n"))
+    known = seen.groupBy("user_id", "cat").agg(F.count("*").alias("k"))
+    bank = items(r.select("item", "cat").distinct())
+    e = eap(r).select("user_id", "theta")
     info = fisher(F.col("theta"), F.col("a"), F.col("b"), F.col("c"))
-    s = fresh.join(counts, ["user_id", "cat"], "left").withColumn("score", F.round(info - 0.15 * F.coalesce("n", F.lit(0)), 6))
-    top = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), "item"))
-    return s.withColumn("r", top).where("r = 1").select("user_id", "item", "score")
+    ranked = e.select("theta").distinct().crossJoin(bank).withColumn("info", info)  # abilities (8001 at most) by items
+    ranked = ranked.withColumn("place", F.row_number().over(W.partitionBy("theta", "cat").orderBy(F.desc(F.round("info", 6)), "item"))).select("theta", "cat", "item", "info", "place")
+    asked = e.crossJoin(F.broadcast(bank.select("cat").distinct())).join(known, ["user_id", "cat"], "left").join(counts, ["user_id", "cat"], "left")  # ten categories
+    fresh = asked.join(ranked, ["theta", "cat"]).where(F.col("place") <= F.coalesce("k", F.lit(0)) + 1).join(seen, ["user_id", "item"], "left_anti")
+    s = fresh.withColumn("score", F.round(F.col("info") - 0.15 * F.coalesce("n", F.lit(0)), 6))
+    return s.groupBy("user_id").agg(F.max_by(F.struct("item", "score"), F.struct("score", -F.col("item"))).alias("b")).select("user_id", "b.item", "b.score")
 
 
 @query(f"""with {ITEMS}, {EAP_SQL}, late as (select user_id from resp group by 1), base as (select user_id, ((user_id % 7) - 3) / 4.0 theta0, 0.4::double se0 from late),

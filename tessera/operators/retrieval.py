@@ -280,29 +280,30 @@ def looked_up(terms: DataFrame, lex: DataFrame) -> DataFrame:
     return t.select("term", F.coalesce("e", "n", "v").alias("item"), tier.alias("tier"), confidence.alias("confidence"))
 
 
-@query("""with lex as (select item_id, lower(string_split("text", ' ')[1]) lemma, string_split("text", ' ')[1] raw from benchmark), l as (select lemma, min(item_id) item, min(raw) raw from lex group by lemma),
-t as (select distinct string_split("text", ' ')[1] term from documents where "text" is not null)
+_SPLIT = """regexp_split_to_array("text", '[ \\t\\n\\x0B\\f\\r]+')"""
+_CASCADE = f"""with w as (select distinct item_id, raw, lower(raw) lemma from (select item_id, unnest({_SPLIT}) raw from benchmark) where raw <> ''),
+e as (select raw, min(item_id) item from w group by raw), n as (select lemma, min(item_id) item from w group by lemma), v as (select substring(lemma, 1, 4) stem, min(item) item from n where length(lemma) >= 4 group by 1),
+t as (select distinct term from (select unnest({_SPLIT}) term from documents) where term <> '')
 select term, coalesce(e.item, n.item, v.item) item, case when e.item is not null then 'exact' when n.item is not null then 'normalised' when v.item is not null then 'variant' else 'none' end tier,
  case when e.item is not null then 1.0 when n.item is not null then 0.95 when v.item is not null then 0.9 else 0.0 end::double confidence
-from t left join (select raw, min(item_id) item from lex group by raw) e on e.raw = t.term left join l n on n.lemma = lower(t.term)
-left join (select substring(lemma, 1, 4) stem, min(item) item from l where length(lemma) >= 4 group by 1) v on v.stem = substring(lower(t.term), 1, 4) and length(t.term) >= 4""")
-def evidence_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms looked up in a lexicon: exactly, normalised, by stem; the first that finds something gives the confidence."""
-    first = F.element_at(F.split("text", " "), 1)
-    lex = read(spark, sf_dir, "benchmark").select("item_id", first.alias("raw"))
-    terms = read(spark, sf_dir, "documents").where("text is not null").select(first.alias("term")).distinct()
-    return looked_up(terms, lex)
+from t left join e on e.raw = t.term left join n on n.lemma = lower(t.term) left join v on v.stem = substring(lower(t.term), 1, 4) and length(t.term) >= 4"""
 
 
-@query()
+@query(_CASCADE)
 def evidence_cascade_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As evidence_cascade, for every word of every document, in a lexicon of all words of the benchmark."""
+    """Every word of every document looked up in a lexicon of all words of the benchmark: exactly, normalised, by stem; the
+    first that finds something gives the confidence."""
     words = lambda name: F.explode(F.split("text", r"\s+")).alias(name)
     lex = read(spark, sf_dir, "benchmark").select("item_id", words("raw")).where("raw != ''").distinct()
     terms = read(spark, sf_dir, "documents").select(words("term")).where("term != ''").distinct()
     return looked_up(terms, lex)
 
 
+@query(_CASCADE)
+def evidence_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence_cascade_terms(spark, sf_dir)
+
+
 @query("""with t as (select p_name label, p_partkey id from part), s as (select id, label, case when label = 'small' then 1.0 when starts_with(label, 'small') then 0.92 when contains(label, 'small') then 0.78 end score from (select id, lower(label) label from t))
 select id, label, score::double score from s where starts_with(label, 'small') order by score desc, label, id limit 8""")
 def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
