@@ -12,9 +12,11 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -22,11 +24,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, Scratch, partitions, small_batches, table, texts
+from .common import Batches, Scratch, lean, partitions, small_batches, table, texts
 
 #: Characters of text in a flush; a longer document is a flush of its own.
 FLUSH_CHARS = 32_000_000
 
+#: Distinct words that a range remembers; a range with more of them starts anew, and encodes some once more.
+REMEMBERED = 400_000
+#: The largest vocabulary whose id-to-piece table is sent to every task.
+MOST_PIECES = 1_000_000
+
 #: A word's number of tokens is kept in two bytes; from this one on, the exact number is listed apart.
 MOST_U2 = 65535
 
@@ -101,7 +108,10 @@ def flushes(path: str, ranges: int) -> Callable[[Batches], Batches]:
 
     def emit(ids: list, arrays: list[np.ndarray], words: dict[str, int]) -> Iterable[tuple]:
         flush, names = uuid.uuid4().hex, list(words)
+        at = np.array([len(a) for a in arrays], np.uint32)
         flat = np.concatenate([*arrays, np.zeros(0, np.uint32)])
+        arrays.clear()
+        words.clear()
         part = word_range(names, ranges)
         # numbers by frequency, range and spelling: small numbers are frequent, and a range's rare words have
         # neighbouring numbers and spellings
@@ -111,10 +121,10 @@ def flushes(path: str, ranges: int) -> Callable[[Batches], Batches]:
         rank = np.empty(len(names), np.uint32)
         rank[order] = np.arange(len(names), dtype=np.uint32)
         flat = rank[flat]
-        low = np.minimum(flat, 255).astype(np.uint8)
-        far = flat[low == 255]
+        far = flat[flat >= 255]
+        low = np.minimum(flat, 255, out=flat).astype(np.uint8)
+        del flat
         far = np.concatenate([(far >> s).astype(np.uint8) for s in (0, 8, 16, 24)])
-        at = np.array([len(a) for a in arrays], np.uint32)
         nulls = np.array([i is None for i in ids], np.uint8)
         yield flush, -1, pack(np.array([i or 0 for i in ids], "<i8"), nulls, at, low, far)
         order = order[np.argsort(part[order], kind="stable")]
@@ -168,11 +178,14 @@ def encoded(path: str) -> Callable[[Batches], Batches]:
                 if part != current:
                     current, known = part, {}
                 gaps, words = listed(data)
+                if len(known) + len(words) > REMEMBERED:
+                    known = {}
                 if new := [w for w in words if w not in known]:
-                    known.update((w, np.array(e.ids, kind)) for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True))
+                    known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True))
                 got = [known[w] for w in words]
-                counts = np.array([len(g) for g in got], np.int64)
-                rows.append((flush, part, pack(gaps, np.minimum(counts, MOST_U2).astype("<u2"), counts[counts >= MOST_U2], np.concatenate(got))))
+                flat = np.frombuffer(b"".join(got), kind)
+                counts = np.array([len(g) for g in got], np.int64) // flat.itemsize
+                rows.append((flush, part, pack(gaps, np.minimum(counts, MOST_U2).astype("<u2"), counts[counts >= MOST_U2], flat)))
             if rows:
                 a, b, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["flush", "part", "data"])
@@ -202,36 +215,52 @@ def joined(make: Callable, schema: pa.Schema) -> Callable[[Batches], Batches]:
     return run
 
 
-def documents(docs: bytes, words: list[bytes], kind: str) -> tuple[list, list[np.ndarray], list[list[int]]]:
-    """ids of a flush's documents, their word numbers, and the words' token ids by number."""
-    ids, nulls, at, low, far = unpack(docs, "<i8", "u1", "<u4", "u1", "u1")
-    numbers = low.astype(np.uint32)
-    far = far.reshape(4, -1).astype(np.uint32)
-    numbers[low == 255] = far[0] | far[1] << 8 | far[2] << 16 | far[3] << 24
-    lists = [unpack(w, "<u4", "<u2", "<i8", kind) for w in words]
-    tokens: list = [None] * sum(len(x[0]) for x in lists)
-    for gaps, short, long, flat in lists:
-        counts = short.astype(np.int64)
-        counts[short == MOST_U2] = long
-        ends, flat, start = np.cumsum(counts).tolist(), flat.tolist(), 0
-        for r, end in zip(np.cumsum(gaps, dtype=np.int64).tolist(), ends, strict=True):
-            tokens[r] = flat[start:end]
-            start = end
-    return [None if z else int(i) for i, z in zip(ids, nulls, strict=True)], np.split(numbers, np.cumsum(at)[:-1]) if len(at) else [], tokens
+@dataclass
+class Flush:
+    """A flush put together again: ids of its documents, their word numbers, and the words' token ids, flat, by number."""
+
+    ids: list
+    numbers: list[np.ndarray]
+    flat: np.ndarray
+    first: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, docs: bytes, words: list[bytes], kind: str) -> Flush:
+        ids, nulls, at, low, far = unpack(docs, "<i8", "u1", "<u4", "u1", "u1")
+        numbers = low.astype(np.uint32)
+        numbers[low == 255] = np.ascontiguousarray(far.reshape(4, -1).T).view("<u4").ravel()
+        del docs, low, far
+        places, sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, kind)]
+        for gaps, short, long, flat in (unpack(w, "<u4", "<u2", "<i8", kind) for w in words):
+            size = short.astype(np.int64)
+            size[short == MOST_U2] = long
+            places.append(np.cumsum(gaps, dtype=np.int64))
+            sizes.append(size)
+            flats.append(flat)
+        place, size = np.concatenate(places), np.concatenate(sizes)
+        first, counts = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+        first[place], counts[place] = np.cumsum(size) - size, size
+        parts = np.split(numbers, np.cumsum(at)[:-1]) if len(at) else []
+        return cls([None if z else int(i) for i, z in zip(ids, nulls, strict=True)], parts, np.concatenate(flats), first, counts)
+
+    def tokens(self, numbers: np.ndarray) -> np.ndarray:
+        """Token ids of a text, by its word numbers."""
+        counts = self.counts[numbers]
+        shift = np.repeat(self.first[numbers] - (np.cumsum(counts) - counts), counts)
+        return self.flat[np.arange(len(shift)) + shift]
 
 
 def digests(path: str) -> Callable:
     def make(docs: bytes, words: list[bytes], schema: pa.Schema):
         piece = pieces(path)
-        ids, numbers, tokens = documents(docs, words, id_kind(path))
-        counts = np.array([len(t) for t in tokens], np.int64)
-        decimal = [",".join(map(str, t)) for t in tokens]
-        raw = [b"".join([piece[i] for i in t]) for t in tokens]  # decoding: each id of a word joined with its piece
-        rows = []
-        for i, n in zip(ids, numbers, strict=True):
-            n = n.tolist()
-            said = b"".join([raw[k] for k in n]).decode("utf-8", "replace").encode()
-            rows.append((i, int(counts[n].sum()), hashlib.sha256(",".join([decimal[k] for k in n]).encode()).hexdigest(), hashlib.sha256(said).hexdigest()))
+        decimal = {i: str(i) for i in piece}
+        flush, rows = Flush.of(docs, words, id_kind(path)), []
+        for i, n in zip(flush.ids, flush.numbers, strict=True):
+            ids = flush.tokens(n).tolist()
+            # decoding: the text's ids joined with the id-to-piece table, in order
+            said = b"".join(map(piece.__getitem__, ids)).decode("utf-8", "replace").encode()
+            rows.append((i, len(ids), hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(said).hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return make
@@ -239,10 +268,9 @@ def digests(path: str) -> Callable:
 
 def token_ids(path: str) -> Callable:
     def make(docs: bytes, words: list[bytes], schema: pa.Schema):
-        ids, numbers, tokens = documents(docs, words, id_kind(path))
-        for i, n in zip(ids, numbers, strict=True):
-            flat = [t for k in n.tolist() for t in tokens[k]]
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([flat], pa.list_(pa.int32()))], schema=schema)
+        flush = Flush.of(docs, words, id_kind(path))
+        for i, n in zip(flush.ids, flush.numbers, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([flush.tokens(n)], pa.list_(pa.int32()))], schema=schema)
 
     return make
 
@@ -251,31 +279,46 @@ def _encode(docs: DataFrame, path: str, make: Callable, schema: str, arrow: pa.S
     spark = docs.sparkSession
     small_batches(spark)
     scratch, n = Scratch(spark), partitions(spark)
-    flushed = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(flushes(path, n), FLUSH_SCHEMA), "flushes")
-    words = flushed.where("part >= 0").repartition(n, "part").sortWithinPartitions("part").mapInArrow(encoded(path), FLUSH_SCHEMA)
+    flushed = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(flushes(path, n)), FLUSH_SCHEMA), "flushes")
+    words = flushed.where("part >= 0").repartition(n, "part").sortWithinPartitions("part").mapInArrow(lean(encoded(path)), FLUSH_SCHEMA)
     both = flushed.where("part < 0").unionByName(words)
-    return both.repartition(n, "flush").sortWithinPartitions("flush", "part").mapInArrow(joined(make, arrow), schema)
+    return both.repartition(n, "flush").sortWithinPartitions("flush", "part").mapInArrow(lean(joined(make, arrow)), schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) of every row of docs (doc_id, text), as the tokenizer at path gives them.
 
-    Null and empty texts have no ids; repeated rows and null ids stay, one result a row; other columns are ignored.
+    Null and empty texts have no ids; repeated rows and null ids stay, one result a row; other columns are ignored; an empty
+    table stays empty. A text longer than FLUSH_CHARS is a flush of its own, and must fit a task.
     """
     arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     return _encode(docs, path, token_ids(path), "doc_id long, ids array<int>", arrow)
 
 
-def decode(encoded_docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids): ids joined with their pieces, a table as large as the vocabulary."""
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece binary): a row an id of the vocabulary."""
+    return spark.createDataFrame(sorted(pieces(path).items()), "id int, piece binary")
 
-    def run(batches: Batches) -> Batches:
-        piece = pieces(path)
-        for b in batches:
-            said = [b"".join([piece[i] for i in x or ()]).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string())], names=["doc_id", "text"])
 
-    return encoded_docs.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+def decode(encoded_docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text) of rows (doc_id, ids): a row an id, joined with the id-to-piece table, put together by place.
+
+    Repeated rows and null ids of documents stay, one result a row. Null and empty ids give an empty text; an id that the
+    vocabulary lacks raises an error. Bytes that are no UTF-8 become replacement characters, as the library has it.
+    """
+    spark = encoded_docs.sparkSession
+    table = piece_table(spark, path)
+    table = F.broadcast(table) if len(pieces(path)) <= MOST_PIECES else table
+    rows = Scratch(spark).write(encoded_docs.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").withColumn("row", F.monotonically_increasing_id()), "ids")
+    placed = rows.select("row", F.posexplode("ids").alias("place", "id")).join(table, "id", "left")
+    checked = placed.withColumn("piece", F.when(F.col("piece").isNull(), F.raise_error(F.concat(F.lit("no piece has id "), F.col("id").cast("string")))).otherwise(F.col("piece")))
+    joined = checked.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"]).alias("pieces"))
+
+    @F.pandas_udf("string")
+    def said(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda p: b"".join(p if p is not None else ()).decode("utf-8", "replace"))
+
+    return rows.select("doc_id", "row").join(joined, "row", "left").select("doc_id", said("pieces").alias("text"))
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:

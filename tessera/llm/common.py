@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch handed to Python. Texts may be long, so batches stay small.
-BATCH_ROWS = 512
+Batches = Iterator[pa.RecordBatch]
+
+#: Rows of an Arrow batch handed to Python, and about its bytes. Texts may be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 @contextmanager
@@ -45,6 +49,21 @@ def shuffles_removed(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def lean(run: Callable) -> Callable:
+    """run, started after the worker has given back to the system what earlier tasks left free in it.
+
+    Workers live on from stage to stage and share an executor's memory with the JVM.
+    """
+
+    def own(batches: Batches) -> Batches:
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # a C library of another kind
+            ctypes.CDLL(None).malloc_trim(0)
+        yield from run(batches)
+
+    return own
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; dropped as soon as nothing reads them."""
 
@@ -73,6 +92,3 @@ def partitions(spark: SparkSession) -> int:
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
-
-
-Batches = Iterator[pa.RecordBatch]

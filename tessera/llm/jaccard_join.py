@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Batches, Scratch, partitions, small_batches, table, texts
+from .common import Batches, Scratch, lean, partitions, small_batches, table, texts
 from .components import connected
 
 SHINGLE_WORDS = 5
@@ -383,7 +383,7 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     scratch, n = Scratch(spark), partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = scratch.write(docs.mapInArrow(summarised, SETS), "sets")
+    sets = scratch.write(docs.mapInArrow(lean(summarised), SETS), "sets")
     rows = scratch.write(sets.select("doc_id", "n", "sig"), "rows")
     classes = scratch.write(sets.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k"), F.count("*").alias("copies")), "classes")
 
@@ -391,12 +391,12 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     buckets = ranges = max(2 * n, total // 5_000_000)
     sought = sets.where("sought is not null").withColumn("bucket", F.pmod("k", F.lit(buckets)).cast("int"))
     own = sought.select("bucket", "n", "sig", "sought").repartition(n, "bucket").sortWithinPartitions("bucket")
-    counts = scratch.write(own.mapInArrow(bucket_counts(ranges), COUNTS).repartition(n, "place").sortWithinPartitions("place").mapInArrow(shared_counts, COUNTS), "counts")
+    counts = scratch.write(own.mapInArrow(lean(bucket_counts(ranges)), COUNTS).repartition(n, "place").sortWithinPartitions("place").mapInArrow(lean(shared_counts), COUNTS), "counts")
     none = lambda kind: F.lit(None).cast(kind)
     told = counts.select("bucket", none("long").alias("n"), none("binary").alias("sig"), none("binary").alias("sought"), "hashes", "counts")
     asked = sought.select("bucket", "n", "sig", "sought", none("binary").alias("hashes"), none("binary").alias("counts"))
     both = told.unionByName(asked).repartition(n, "bucket").sortWithinPartitions("bucket", F.col("n").isNotNull())
-    prefixes = scratch.write(both.mapInArrow(rare_prefixes, PREFIX), "prefixes")
+    prefixes = scratch.write(both.mapInArrow(lean(rare_prefixes), PREFIX), "prefixes")
     scratch.drop("counts", "sets")
 
     hubs = prefixes.groupBy("h").agg(F.min("k").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -405,8 +405,8 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     members = scratch.write(classes.join(comps, classes.k == comps.node).select(F.col("component").alias("comp"), "rep", "n", "sig", "k", "copies"), "members")
     scratch.drop("prefixes")
 
-    tiles = docs.join(tiling(members), docs.doc_id == F.col("rep")).select("rep", "text", "sig", "k", "copies", "tiles").mapInArrow(placed, TILES)
-    links = tiles.repartition(n, "tile").sortWithinPartitions("tile", "comp", "i", "j", "n", "rep", "k").mapInArrow(tile_edges, EDGES)
+    tiles = docs.join(tiling(members), docs.doc_id == F.col("rep")).select("rep", "text", "sig", "k", "copies", "tiles").mapInArrow(lean(placed), TILES)
+    links = tiles.repartition(n, "tile").sortWithinPartitions("tile", "comp", "i", "j", "n", "rep", "k").mapInArrow(lean(tile_edges), EDGES)
     links = scratch.write(links, "links")
     found = connected(links.where("k is null").select("a", "b"), scratch, "links_")
     number = links.where("k is not null").groupBy("k").agg(F.sum("n").alias("others"))

@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, Scratch, partitions, small_batches, table
+from .common import Batches, Scratch, lean, partitions, small_batches, table
 
 #: Length of the strings that are looked for, bytes of an anchor, and anchors that such a string has.
 LENGTH, ANCHOR = 50, 16
 SPAN = LENGTH - ANCHOR + 1
 #: Text bytes that a task looks at together before it sends what it found, and about how many a range gets.
-FLUSH_BYTES, RANGE_BYTES = 12_000_000, 1_000_000
+FLUSH_BYTES, RANGE_BYTES = 6_000_000, 500_000
 
 #: An anchor that more texts than this have is hot: its strings are dealt one by one, by their own hash, not together.
 HOT_TEXTS = 2000
@@ -535,18 +535,18 @@ def with_runs(docs: DataFrame) -> DataFrame:
     docs = keyed(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = buckets = max(2 * n, int(total // 20_000_000))
-    listed = docs.select("__owner", "text").mapInArrow(listed_anchors(ranges, buckets), ANCHORS)
-    shared = scratch.write(listed.repartition(n, "place").sortWithinPartitions("place").mapInArrow(shared_anchors(buckets), SHARED), "shared")
+    listed = docs.select("__owner", "text").mapInArrow(lean(listed_anchors(ranges, buckets)), ANCHORS)
+    shared = scratch.write(listed.repartition(n, "place").sortWithinPartitions("place").mapInArrow(lean(shared_anchors(buckets)), SHARED), "shared")
     none = lambda kind: F.lit(None).cast(kind)
     # as unsigned: the same bucket as in listed_anchors
     bucket = F.pmod(F.pmod(F.shiftrightunsigned("__owner", 32), F.lit(buckets)) * F.lit((1 << 32) % buckets) + F.pmod(F.col("__owner").bitwiseAND(0xFFFFFFFF), F.lit(buckets)), F.lit(buckets)).cast("int")
     texts = docs.where(F.octet_length("text") >= LENGTH).select(bucket.alias("bucket"), F.col("__owner").alias("owner"), F.col("__id").alias("id"), F.col("__key").alias("key"), "text", none("boolean").alias("hot"), none("binary").alias("high"), none("binary").alias("low"))
     told = shared.select("bucket", none("long").alias("owner"), none("long").alias("id"), none("long").alias("key"), none("string").alias("text"), "hot", "high", "low")
     both = texts.unionByName(told).repartition(n, "bucket").sortWithinPartitions("bucket", F.col("owner").asc_nulls_first(), "id")
-    strings = scratch.write(both.mapInArrow(strings_of(ranges), STRINGS), "strings")
+    strings = scratch.write(both.mapInArrow(lean(strings_of(ranges)), STRINGS), "strings")
     scratch.drop("shared")
     strings_only = strings.where("place is not null").select("place", "hashes", "ids", "keys", "starts", "spans", "sizes", "data")
-    found = strings_only.repartition(n, "place").sortWithinPartitions("place").mapInArrow(sorted_ranges, REMOVED)
+    found = strings_only.repartition(n, "place").sortWithinPartitions("place").mapInArrow(lean(sorted_ranges), REMOVED)
     removed = scratch.write(strings.where("place is null").select("key", "id", "runs").unionByName(found), "removed")
     scratch.drop("strings")
     gone = removed.groupBy(F.col("key").alias("__gone_key"), F.col("id").alias("__gone_id")).agg(F.collect_list("runs").alias("__runs"))
@@ -575,7 +575,7 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     as empty; shorter texts keep everything; null ids are larger than all others; rows of one id never remove each
     other. Other columns are ignored.
     """
-    return with_runs(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "text", "__runs").mapInArrow(digested, DIGESTS)
+    return with_runs(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "text", "__runs").mapInArrow(lean(digested), DIGESTS)
 
 
 def _kept(text: pd.Series, runs: pd.Series) -> pd.Series:
@@ -585,7 +585,9 @@ def _kept(text: pd.Series, runs: pd.Series) -> pd.Series:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with repeated strings removed from text, at whole characters; the other columns stay as they are."""
     out = with_runs(docs)
-    return out.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.pandas_udf(_kept, "string")("text", "__runs"))).select(*docs.columns)
+    # told to be non-deterministic, so that filters on the new text don't run it (and a worker) a second time
+    kept = F.pandas_udf(_kept, "string").asNondeterministic()
+    return out.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(kept("text", "__runs"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

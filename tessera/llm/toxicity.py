@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, shuffles_removed, small_batches, table
+from .common import Batches, lean, shuffles_removed, small_batches, table
 
 #: Hashed features; labelled documents that training gets at most (half of them toxic, if there are so many), and the
 #: characters of text that these may have together. The sample is a documented bound; scoring covers every document.
@@ -204,7 +204,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
             made = [Bag.of(t).packed() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["place", "toxic", "bag"])
 
-    return rows.join(places, "doc_id").select("place", "toxic", "text").mapInArrow(bags, "place int, toxic int, bag binary")
+    return rows.join(places, "doc_id").select("place", "toxic", "text").mapInArrow(lean(bags), "place int, toxic int, bag binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("f4").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
 
     with shuffles_removed(docs.sparkSession):
-        found = sample(docs, labels).repartition(1).sortWithinPartitions("place").mapInArrow(trained, "weights binary, bias double").collect()
+        found = sample(docs, labels).repartition(1).sortWithinPartitions("place").mapInArrow(lean(trained), "weights binary, bias double").collect()
     # a task without rows gives no model
     return Model(np.frombuffer(found[0].weights, "f4").astype(float), found[0].bias) if found else Model(np.zeros(FEATURES), -4.0)
 
