@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -202,21 +205,40 @@ def guess_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_id", "user_id", F.round("gamma", 3).alias("gamma"), guess.alias("guess"), xp.alias("xp"), shells.alias("shells"))
 
 
-def folded(resp: DataFrame, start: Column, step, key: str = "user_id") -> DataFrame:
-    """(key, state): a fold of each learner's answers in order of time; arrays are a learner's answers."""
-    fields = [F.col(x) for x in ("ts", "event_id", "ok", "a", "b", "c")]
-    return resp.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list(F.struct(*fields))), start, step).alias("state"))
-
+def folded(resp: DataFrame, start: tuple, step: Callable, schema: str) -> DataFrame:
+    """A row a learner: user_id and the state that a fold of their answers in order of time ends with.
 
-def ability_step(s: Column, x: Column) -> Column:
+    step(state, ok, a, b, c) gives the next state. Answers are dealt by learner and sorted; a task carries one state from
+    batch to batch, so a learner may have any number of answers. Schema: user_id, then the state's parts.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = None, start
+        for part in parts:
+            done = []
+            for u, ok, a, b, c in zip(*(part[x].tolist() for x in ("user_id", "ok", "a", "b", "c")), strict=True):
+                if u != user:
+                    if user is not None:
+                        done.append((user, *state))
+                    user, state = u, start
+                state = step(state, ok, a, b, c)
+            yield pd.DataFrame(done, columns=names)
+        if user is not None:
+            yield pd.DataFrame([(user, *state)], columns=names)
+
+    dealt = resp.where("user_id is not null").select("user_id", "ts", "event_id", "ok", "a", "b", "c").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return dealt.mapInPandas(run, schema)
+
+
+def ability_step(state: tuple[float, float], ok: bool, a: float, b: float, c: float) -> tuple[float, float]:
     """One damped Newton step of (theta, information) after an answer."""
-    p = clip(p3pl(s["theta"], x["a"], x["b"], x["c"], 35.0), 1e-4, 1 - 1e-4)
-    c = clip(x["c"], 0.0, 0.95)
-    info = s["info"] + (D * x["a"]) ** 2 * (p - c) ** 2 * (1 - p) / ((1 - c) ** 2 * p)
-    u = x["ok"].cast("double")
-    grad = D * x["a"] * ((p - c) / (1 - c)) * ((u - p) / p)
-    theta = clip(s["theta"] + clip(grad / F.greatest(info, F.lit(1.0)), -0.65, 0.65), -3.5, 3.5)
-    return F.struct(theta.alias("theta"), info.alias("info"))
+    theta, info = state
+    p = min(max(c + (1 - c) / (1 + math.exp(min(max(-D * a * (theta - b), -35.0), 35.0))), 1e-4), 1 - 1e-4)
+    c = min(max(c, 0.0), 0.95)
+    info += (D * a) ** 2 * (p - c) ** 2 * (1 - p) / ((1 - c) ** 2 * p)
+    grad = D * a * ((p - c) / (1 - c)) * ((float(ok) - p) / p)
+    return min(max(theta + min(max(grad / max(info, 1.0), -0.65), 0.65), -3.5), 3.5), info
 
 
 _PL = "least(greatest(s.c + (1 - s.c) / (1 + exp(least(greatest(-1.702 * s.a * (f.theta - s.b), -35), 35))), 1e-4), 1 - 1e-4)"
@@ -229,22 +251,20 @@ f(user_id, k, theta, info) as (select distinct user_id, 0::bigint, 0.0::double,
 select user_id, round(max_by(theta, k), 4) theta, round(1 / sqrt(greatest(max_by(info, k), 0.1)), 4) sem from f group by 1""")
 def ability_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ability updated answer by answer, as a fold over each learner's ordered answers."""
-    start = F.struct(F.lit(0.0).alias("theta"), F.lit(0.0).alias("info"))
-    f = folded(responses(spark, sf_dir), start, ability_step)
-    return f.select("user_id", F.round("state.theta", 4).alias("theta"), F.round(1 / F.sqrt(F.greatest("state.info", F.lit(0.1))), 4).alias("sem"))
+    f = folded(responses(spark, sf_dir), (0.0, 0.0), ability_step, "user_id long, theta double, info double")
+    return f.select("user_id", F.round("theta", 4).alias("theta"), F.round(1 / F.sqrt(F.greatest("info", F.lit(0.1))), 4).alias("sem"))
 
 
 #: Fixed values of knowledge tracing: prior, transit, guess, slip.
 PRIOR, TRANSIT, GUESS_P, SLIP = 0.30, 0.15, 0.20, 0.10
 
 
-def tracing_step(s: Column, x: Column) -> Column:
+def tracing_step(state: tuple[float, int, int], ok: bool, *_: float) -> tuple[float, int, int]:
     """Mastery after an answer (Bayes, then learning), exposures, and right answers in a row."""
-    p = clip(s["p"], 0.001, 0.999)
-    right = p * (1 - SLIP) / (p * (1 - SLIP) + (1 - p) * GUESS_P)
-    wrong = p * SLIP / (p * SLIP + (1 - p) * (1 - GUESS_P))
-    seen = F.when(x["ok"], right).otherwise(wrong)
-    return F.struct(clip(seen + (1 - seen) * TRANSIT, 0.0, 1.0).alias("p"), (s["n"] + 1).alias("n"), F.when(x["ok"], s["run"] + 1).otherwise(0).alias("run"))
+    p, n, run = state
+    p = min(max(p, 0.001), 0.999)
+    seen = p * (1 - SLIP) / (p * (1 - SLIP) + (1 - p) * GUESS_P) if ok else p * SLIP / (p * SLIP + (1 - p) * (1 - GUESS_P))
+    return min(max(seen + (1 - seen) * TRANSIT, 0.0), 1.0), n + 1, run + 1 if ok else 0
 
 
 def mastery_state(p: Column, n: Column, run: Column) -> Column:
@@ -262,9 +282,8 @@ t as (select user_id, max_by(p, k) p, max(k) n, max_by(run, k) run from f group
 select user_id, round(p, 5) mastery, n exposures, run::int run, case when p >= 0.85 and n >= 3 and run >= 2 then 'mastered' when p >= 0.65 then 'retained' when p >= 0.4 then 'learning' else 'recognized' end state from t""")
 def bkt_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bayesian knowledge tracing over each learner's answers, and the state it leads to."""
-    start = F.struct(F.lit(PRIOR).alias("p"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("run"))
-    f = folded(responses(spark, sf_dir), start, tracing_step)
-    p, n, run = (F.col(f"state.{x}") for x in ("p", "n", "run"))
+    f = folded(responses(spark, sf_dir), (PRIOR, 0, 0), tracing_step, "user_id long, p double, n long, run int")
+    p, n, run = F.col("p"), F.col("n"), F.col("run")
     return f.select("user_id", F.round(p, 5).alias("mastery"), n.alias("exposures"), run.alias("run"), mastery_state(p, n, run).alias("state"))
 
 
