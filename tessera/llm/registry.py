@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fingerprints, jaccard_join, mixing, sharding, suffix_dedup, token_counts, toxicity, warc
+from . import ann, bpe, dialogue, fingerprints, jaccard_join, mixing, sharding, suffix_dedup, token_counts, toxicity, warc
 
-MODULES = (fingerprints, bpe, ann, token_counts, sharding, toxicity, jaccard_join, suffix_dedup, warc, mixing)
+MODULES = (fingerprints, bpe, ann, token_counts, sharding, toxicity, jaccard_join, suffix_dedup, warc, mixing, dialogue)
 
 
 def queries() -> dict:
