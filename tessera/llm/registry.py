@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, dialogue, fingerprints, jaccard_join, mixing, sharding, suffix_dedup, token_counts, toxicity, warc, whitening
+from . import ann, bpe, dialogue, fingerprints, jaccard_join, mixing, sanitisation, sharding, suffix_dedup, token_counts, toxicity, warc, whitening
 
-MODULES = (fingerprints, bpe, ann, token_counts, sharding, toxicity, jaccard_join, suffix_dedup, warc, mixing, dialogue, whitening)
+MODULES = (fingerprints, bpe, ann, token_counts, sharding, toxicity, jaccard_join, suffix_dedup, warc, mixing, dialogue, sanitisation, whitening)
 
 
 def queries() -> dict:
