@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import ANSWERS, answers, read
+from . import matching
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -198,12 +199,15 @@ def pages_with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 r as (select e.p_partkey, min(h.id) found from e join h on contains(e.p_name, h.name) where e.exact is null group by 1)
 select e.p_partkey, coalesce(e.exact, r.found) id, case when e.exact is not null then 'exact' when r.found is not null then 'contained' else 'none' end how from e left join r using (p_partkey)""")
 def historical_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's historical entry by its name, else by one whose name it holds, word by word (an equi-join, no theta join)."""
+    """A page's historical entry by its name, else by one whose name stands anywhere in it."""
     p = read(spark, sf_dir, "part")
     h = p.groupBy(F.lower("p_type").alias("name")).agg(F.min("p_partkey").alias("id"))
-    pages = p.select("p_partkey", F.lower("p_name").alias("name"))
-    exact = pages.join(h, "name", "left").select("p_partkey", "name", F.col("id").alias("exact"))
-    words = exact.where("exact is null").select("p_partkey", F.explode(F.split("name", " ")).alias("name")).join(h, "name").groupBy("p_partkey").agg(F.min("id").alias("found"))
+    pages = p.select("p_partkey", F.lower("p_name").alias("lower_name"), "p_name")
+    exact = pages.join(h.withColumnsRenamed({"name": "lower_name", "id": "exact"}), "lower_name", "left")
+    left = exact.where("exact is null")
+    names = left.select(F.col("p_name").alias("key"), F.col("p_name").alias("text")).distinct()
+    held = matching.held_patterns(names, h.select(F.col("name").alias("pattern"))).select(F.col("key").alias("p_name"), F.col("pattern").alias("name"))
+    words = left.join(held, "p_name").join(h, "name").groupBy("p_partkey").agg(F.min("id").alias("found"))
     out = exact.join(words, "p_partkey", "left")
     return out.select("p_partkey", F.coalesce("exact", "found").alias("id"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("found").isNotNull(), "contained").otherwise("none").alias("how"))
 
