@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import content, curation, learning, lexicon, library, matching, psychometrics, quality, retrieval, signals, spatial, views
+from ..operators import content, curation, index, learning, lexicon, library, matching, psychometrics, quality, retrieval, signals, spatial, views
 
-MODULES = (learning, psychometrics, curation, quality, retrieval, lexicon, content, signals, views, library, matching, spatial)
+MODULES = (learning, psychometrics, curation, quality, retrieval, lexicon, content, signals, views, library, matching, spatial, index)
 
 
 def queries() -> dict:

@@ -3,7 +3,7 @@
 import collections
 import random
 
-from tessera.operators import matching, spatial
+from tessera.operators import index, matching, spatial
 
 
 def rows(df):
@@ -51,3 +51,54 @@ def test_rectangles_meet_once(spark):
     want = sorted((b[0], v[0]) for b in boxes if ok(b) for v in views if b[1] <= v[3] and v[1] <= b[3] and b[2] <= v[4] and v[2] <= b[4])
     assert sorted(map(tuple, got.collect())) == want
     assert spatial.meeting(spark.createDataFrame([], schema), spark.createDataFrame(views, schema)).count() == 0
+
+
+def test_index_and_phrases(spark):
+    texts = [(k, " ".join("abc"[(k * 7 + j * j) % 3] + "x" * (j % 2) for j in range(k % 40))) for k in range(700)]
+    texts += [(5000, "hot " * 3000 + "end"), (None, "lost words"), (5001, None), (5002, ""), (7, "again and again"), (5003, "Ärger ÄRGER")]
+    docs = spark.createDataFrame([(i, t, "e", 1, "b") for i, t in texts], "doc_id long, text string, token string, place int, block string")
+    held = index.positional(docs)
+    want = collections.defaultdict(list)
+    for i, t in texts:
+        for place, w in enumerate((t or "").lower().split()):
+            if i is not None:
+                want[w, i].append(place)
+    got = {}
+    for r in held.collect():
+        assert r.documents == len(r.doc_gaps) <= index.BLOCK
+        doc = 0
+        for g, places in zip(r.doc_gaps, r.place_gaps, strict=True):
+            doc, at, out = doc + g, 0, []
+            for p in places:
+                at += p
+                out.append(at)
+            got[r.token, doc] = out
+    assert got == {k: sorted(v) for k, v in want.items()}
+    phrases = [(1, ["hot", "end"]), (2, ["a", "bx", "a"]), (3, ["again", "and", "again"]), (4, ["nowhere", "end"]), (5, []), (6, ["hot", "hot", "hot"]), (7, ["ärger"])]
+    found = index.phrases_found(held, spark.createDataFrame(phrases, "phrase_id long, words array<string>")).collect()
+    plain = set()
+    for (w, i), places in want.items():
+        for n, words in phrases:
+            if words and words[0] == w:
+                plain |= {(n, i, p) for p in places if all(p + k in want.get((x, i), ()) for k, x in enumerate(words))}
+    assert sorted(map(tuple, found)) == sorted(plain) and len(plain) > 3000
+
+
+def test_radix_tree(spark):
+    rng = random.Random(2)
+    names = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(120)} | {"a" * 300, "a" * 299 + "b", "é", "日本", "日"}
+    tree = index.radix_tree(spark.createDataFrame([(n,) for n in [*names, None, "", *list(names)[:9]]], "name string").repartition(5)).collect()
+    starts = collections.defaultdict(set)
+    for n in names:
+        for k in range(len(n) + 1):
+            starts[n[:k]].add(n[k : k + 1])
+    nodes = {p for p, following in starts.items() if len(following) > 1 or p in names or p == ""}
+    assert {r.label for r in tree} == nodes and len(nodes) <= 2 * len(names)
+    for r in tree:
+        below = sorted(n for n in names if n.startswith(r.label))
+        assert (r.is_name, r.names, r.first) == (r.label in names, len(below), below[:8])
+        assert r.parent == (max((x for x in nodes if r.label.startswith(x) and x != r.label), key=len) if r.label else None)
+    asked = ["", "a", "ab", "a" * 250, "zz", "日", None, "a"]
+    got = {r.prefix: (r.names, r.first) for r in index.completions(index.radix_tree(spark.createDataFrame([(n,) for n in names], "name string")), spark.createDataFrame([(p,) for p in asked], "prefix string")).collect()}
+    assert got == {p: (len(b), b[:8] or None) for p in set(asked) - {None} for b in [sorted(n for n in names if n.startswith(p))]}
+    assert index.radix_tree(spark.createDataFrame([], "name string")).count() == 0
