@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -318,27 +320,31 @@ def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chained(rows: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
     """(key, entries, head): a hash chain over each key's payloads in order, sha256(payload : hash before), from 'genesis'.
 
-    Rows are dealt by key and sorted; a task carries one hash from row to row, so a key may have any number of rows.
+    Rows are dealt by key and sorted; a task carries one hash from row to row, so a key may have any number of rows. A null
+    key is a chain of its own, and a null payload counts as empty. Keys stay longs all the way, however large.
     """
-
-    def run(parts):
-        import hashlib
-
-        key_, head, n, out = None, "genesis", 0, []
-        for part in parts:
-            out = []
-            for k, p in zip(part[key], part["__payload"], strict=True):
-                if k != key_ and n:
-                    out.append((key_, n, head))
-                if k != key_:
-                    key_, head, n = k, "genesis", 0
-                head, n = hashlib.sha256(f"{p}:{head}".encode()).hexdigest(), n + 1
-            yield pd.DataFrame(out, columns=[key, "entries", "head"])
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        at, head, n, kind = None, "genesis", 0, pa.int64()
+
+        def ended(chains: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([c[0] for c in chains], kind), pa.array([c[1] for c in chains], pa.int64()), pa.array([c[2] for c in chains], pa.string())], [key, "entries", "head"])
+
+        for batch in batches:
+            kind, chains = batch.schema.field(key).type, []
+            for k, p in zip(batch.column(key).to_pylist(), batch.column("__payload").to_pylist(), strict=True):
+                if n and k != at:
+                    chains.append((at, n, head))
+                    head, n = "genesis", 0
+                at, head, n = k, hashlib.sha256(f"{p}:{head}".encode()).hexdigest(), n + 1
+            yield ended(chains)
         if n:
-            yield pd.DataFrame([(key_, n, head)], columns=[key, "entries", "head"])
+            yield ended([(at, n, head)])
 
-    dealt = rows.select(key, F.col(payload).cast("string").alias("__payload"), *order).repartition(key).sortWithinPartitions(key, *order)
-    return dealt.mapInPandas(run, f"{key} long, entries long, head string")
+    text = F.coalesce(F.col(payload).cast("string"), F.lit(""))
+    dealt = rows.select(key, text.alias("__payload"), *(c for c in order if c != key)).repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(run, f"`{key}` {kind}, entries long, head string")
 
 
 @query("""with l as (select user_id, list(event_type || event_id order by ts, event_id) p from events group by 1) select user_id, len(p) entries, list_reduce(list_prepend('genesis', p), lambda h, x: sha256(x || ':' || h)) head from l""")

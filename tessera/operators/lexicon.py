@@ -79,17 +79,54 @@ def deletions(word: Column, most: int = 2) -> Column:
     return out
 
 
+#: Words of more letters are compared by pieces, not by deletions, whose number grows with the square of the length.
+SHORT_WORD = 12
+
+
+def pieces(term: Column) -> Column:
+    """The thirds of a term, each with the term's length and its own number: (length, third, piece)."""
+    n = F.length(term)
+
+    def third(k: Column) -> Column:
+        start, end = F.floor(n * k / 3), F.floor(n * (k + 1) / 3)
+        return F.struct(n.alias("length"), k.alias("third"), F.substr(term, (start + 1).cast("int"), (end - start).cast("int")).alias("piece"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), third)
+
+
+def possible_pieces(word: Column) -> Column:
+    """Thirds that terms within two edits of a word may have in common with it: of two edits one third at least is spared,
+    and moved by two places at most. Some 75 a word, whatever its length."""
+    n = F.length(word)
+
+    def third(length: Column, k: Column, moved: Column) -> Column:
+        start, end = F.floor(length * k / 3), F.floor(length * (k + 1) / 3)
+        at = start + moved
+        fits = (at >= 0) & (at + end - start <= n)
+        return F.when(fits, F.struct(length.alias("length"), k.alias("third"), F.substr(word, (at + 1).cast("int"), (end - start).cast("int")).alias("piece")))
+
+    thirds = lambda length, k: F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda moved: third(length, k, moved))
+    every = F.transform(F.sequence(n - 2, n + 2), lambda length: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: thirds(length, k))))
+    return F.array_distinct(F.filter(F.flatten(every), lambda x: x.isNotNull()))
+
+
 def corrections(words: DataFrame, terms: DataFrame) -> DataFrame:
     """(word, corrected, distance): for each word the nearest term of a lexicon (term, uses) within its allowed distance.
 
-    Two words within two edits share what is left of both after two deletions at most, so candidates come from an
-    equi-join on deletions; each is then measured. Ties go to the term with more uses, then by spelling. The rows of the
-    join are the deletions of words and terms, some ten to a hundred a word, whatever the size of the lexicon.
+    Two words within two edits share what is left of both after two deletions at most, so candidates of short words come
+    from an equi-join on deletions; those of longer ones share a third, at nearly the same place, and come from an equi-join
+    on thirds. Each candidate is then measured. Ties go to the term with more uses, then by spelling. The rows of a join are
+    some ten to a hundred a word, whatever its length and the size of the lexicon.
     """
     asked = words.select("word", allowed_distance(F.col("word")).alias("allowed")).where("allowed > 0")
-    keyed = asked.withColumn("key", F.explode(deletions(F.col("word"))))
-    known = terms.select("term", "uses", F.explode(deletions(F.col("term"))).alias("key"))
-    pairs = keyed.join(known, "key").select("word", "allowed", "term", "uses").distinct().withColumn("distance", F.levenshtein("word", "term")).where(F.col("distance") <= F.col("allowed"))
+    near = F.length("word") <= SHORT_WORD
+    known = terms.select("term", "uses")
+    left = asked.where(near).withColumn("key", F.explode(deletions(F.col("word"))))
+    right = known.where(F.length("term") <= SHORT_WORD + 2).withColumn("key", F.explode(deletions(F.col("term"))))
+    longer = asked.where(~near).withColumn("key", F.explode(possible_pieces(F.col("word"))))
+    parts = known.where(F.length("term") >= SHORT_WORD - 1).withColumn("key", F.explode(pieces(F.col("term"))))
+    pairs = left.join(right, "key").drop("key").union(longer.join(parts, "key").drop("key")).select("word", "allowed", "term", "uses").distinct()
+    pairs = pairs.withColumn("distance", F.levenshtein("word", "term", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("allowed")))
     best = F.min_by(F.struct("term", "distance"), F.struct("distance", -F.col("uses"), "term"))
     return pairs.groupBy("word").agg(best.alias("b")).select("word", F.col("b.term").alias("corrected"), F.col("b.distance").alias("distance"))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
-from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -237,34 +237,91 @@ def graph_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subgraph(e, e.where("vec_id = 11"), 5, 0.1, 0.3)
 
 
+class Reading:
+    """Regions of one page that wait to be read: open ones in a heap by place, others with the number they wait for."""
+
+    def __init__(self, places: dict):
+        self.places, self.waiting, self.unlocks, self.heap = places, dict.fromkeys(places, 0), {}, []
+
+    def require(self, region, before) -> None:
+        if before in self.places and before != region and region not in self.unlocks.setdefault(before, set()):
+            self.unlocks[before].add(region)
+            self.waiting[region] += 1
+
+    def opened(self, region) -> None:
+        heapq.heappush(self.heap, (self.places[region], region))
+
+    def __iter__(self):
+        for region, n in self.waiting.items():
+            if not n:
+                self.opened(region)
+        read = set()
+        while self.heap:
+            region = heapq.heappop(self.heap)[1]
+            read.add(region)
+            yield region
+            for other in self.unlocks.get(region, ()):
+                self.waiting[other] -= 1
+                if not self.waiting[other]:
+                    self.opened(other)
+        yield from sorted(self.places.keys() - read, key=lambda region: (self.places[region], region))
+
+
 def reading_order(page: pd.DataFrame) -> pd.DataFrame:
-    """A page's regions (region, x1, y1, before: regions read earlier) in reading order: by prerequisites, of several
-    open ones the topmost, then the leftmost; what a cycle holds comes last, by place."""
-    place = dict(zip(page["region"], zip(page["y1"], page["x1"], page["region"], strict=True), strict=True))
-    need = {k: {b for b in (before if before is not None else ()) if b in place and b != k} for k, before in zip(page["region"], page["before"], strict=True)}
-    after: dict = {}
-    for k, before in need.items():
-        for b in before:
-            after.setdefault(b, []).append(k)
-    queue, out = deque(sorted((k for k in place if not need[k]), key=place.get)), []
-    while queue:
-        k = queue.popleft()
-        out.append(k)
-        for n in after.get(k, ()):
-            need[n].discard(k)
-        queue += sorted((n for n in after.get(k, ()) if not need[n]), key=place.get)
-    done = set(out)
-    out += sorted((k for k in place if k not in done), key=place.get)
+    """A page's regions (region, x1, y1, before: regions read earlier) in reading order: always the topmost of those whose
+    prerequisites have been read, of equally high ones the leftmost; what cycles hold up comes last, by place."""
+    places = {r: (y, x) for r, x, y in zip(page["region"], page["x1"], page["y1"], strict=True)}
+    reading = Reading(places)
+    for region, before in zip(page["region"], page["before"], strict=True):
+        for b in before if before is not None else ():
+            reading.require(region, b)
+    out = list(reading)
     return pd.DataFrame({"page": page["page"].iloc[0], "region": out, "position": range(1, len(out) + 1)})
 
 
 @query("""with b as (select l_partkey page, l_orderkey * 10 + l_linenumber region, l_suppkey x1, l_quantity y1 from lineitem), d as (select page, region, min(x1) x1, min(y1) y1 from b group by all)
 select page, region, (row_number() over (partition by page order by y1, x1, region))::int as position from d""")
 def page_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of each page in reading order (here without prerequisites: by place)."""
+    """Regions of each page without prerequisites: by place."""
     b = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("region"), F.col("l_suppkey").alias("x1"), F.col("l_quantity").alias("y1"))
-    d = b.groupBy("page", "region").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1")).withColumn("before", F.array().cast("array<long>"))
-    return d.groupBy("page").applyInPandas(reading_order, "page long, region long, position int")
+    d = b.groupBy("page", "region").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"))
+    return d.select("page", "region", F.row_number().over(W.partitionBy("page").orderBy("y1", "x1", "region")).alias("position"))
+
+
+def precedence(boxes: DataFrame) -> DataFrame:
+    """boxes (page, region, x1, y1, x2, y2) with before: the regions above that share columns with it, and those left of it
+    that share lines with it.
+
+    Regions of a page meet by the strips they cross, STRIPS a page and direction, so only regions of one strip are compared.
+    """
+    ends = boxes.groupBy("page").agg(F.min("x1").alias("px"), F.min("y1").alias("py"), F.max("x2").alias("qx"), F.max("y2").alias("qy"))
+    b = boxes.join(ends, "page")
+
+    def strips(low: str, high: str, start: str, end: str) -> Column:
+        at = lambda v: F.floor((F.col(v) - F.col(start)) / F.greatest(F.col(end) - F.col(start), F.lit(1e-9)) * STRIPS)
+        return F.sequence(at(low), at(high))
+
+    def pairs(along: str, across: str) -> DataFrame:
+        own = [F.col(c) for c in ("page", "region")]
+        one = b.select(*own, F.col(f"{across}1").alias("lo"), F.col(f"{across}2").alias("hi"), F.col(f"{along}1").alias("start"), F.explode(strips(f"{across}1", f"{across}2", f"p{across}", f"q{across}")).alias("strip"))
+        other = b.select("page", F.col("region").alias("first"), F.col(f"{across}1").alias("lo_"), F.col(f"{across}2").alias("hi_"), F.col(f"{along}2").alias("end_"), F.explode(strips(f"{across}1", f"{across}2", f"p{across}", f"q{across}")).alias("strip"))
+        return one.join(other, ["page", "strip"]).where("region <> first and end_ <= start and lo < hi_ and lo_ < hi").select("page", "region", "first").distinct()
+
+    edges = pairs("y", "x").union(pairs("x", "y")).groupBy("page", "region").agg(F.array_sort(F.collect_set("first")).alias("before"))
+    return boxes.join(edges, ["page", "region"], "left").withColumn("before", F.coalesce("before", F.array().cast("array<long>")))
+
+
+#: Strips that a page is cut into to find regions side by side.
+STRIPS = 16
+
+
+@query(None)
+def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of each order's page in reading order, by what stands above and left of them."""
+    l = read(spark, sf_dir, "lineitem").where("l_orderkey is not null")
+    b = l.groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("region")).agg(F.min(F.col("l_partkey") % 97).cast("double").alias("x1"), F.min(F.col("l_suppkey") % 89).cast("double").alias("y1"), F.max("l_quantity").alias("w"))
+    b = b.select("page", "region", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("w") / 2).alias("y2"))
+    return precedence(b).groupBy("page").applyInPandas(reading_order, "page long, region long, position int")
 
 
 def looked_up(terms: DataFrame, lex: DataFrame) -> DataFrame:

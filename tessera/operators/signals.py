@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..sources import sinks
 from ..sources.tables import ANSWERS, answers, read
 from ..streaming import flows
+from .lexicon import PREFIXES, SUFFIXES
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -65,6 +66,7 @@ def composite_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)), 2).alias("composite"), review.alias("needs_review"))
 
 
+# Fixed values of the quality index: 60 points up to the tenth percentile, 40 to the ninetieth, the steps for skew, the routes.
 def piecewise(x: Column, p10: Column, p90: Column) -> Column:
     """0 to 60 below p10, 60 to 100 up to p90, 100 beyond."""
     below, between = F.greatest(F.lit(0.0), x / F.greatest(p10, F.lit(1.0)) * 60.0), 60.0 + (x - p10) / (p90 - p10) * 40.0
@@ -212,10 +214,6 @@ def layout_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- item parameters
 
-#: Difficulty that a category adds; any other adds nothing.
-CATEGORY_B = {"ECONOMY": -1.2, "SMALL": -0.8, "MEDIUM": 0.1, "STANDARD": 0.6, "PROMO": 1.2, "LARGE": 1.6}
-
-
 @query("""select o_orderkey, case when contains(lower(o_orderpriority), 'high') then 1.5 when contains(lower(o_orderpriority), 'medium') then 0.0 else -1.5 end::double theta0, (-2.5 + (o_orderkey % 20) * 5 / 19.0)::double difficulty from orders""")
 def declared_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ability that a learner declares, and a chapter's difficulty on its line."""
@@ -224,28 +222,62 @@ def declared_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", theta.alias("theta0"), (-2.5 + (F.col("o_orderkey") % 20) * 5 / 19.0).alias("difficulty"))
 
 
-def inferred_b(text: Column, category: Column) -> Column:
-    """Difficulty from a text: length of its words, its punctuation, and the category; -3 to 3, 0 for no words."""
-    words = T.words(text)
-    n = F.size(words)
-    letters = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
-    lexical = (letters / F.greatest(n, F.lit(1)) - 4.5) / 3.0
-    clauses = F.least(F.regexp_count(text, F.lit("[,;:()-]")) / 3.0, F.lit(1.0))
-    kind = F.lit(0.0)
-    for name, b in CATEGORY_B.items():
-        kind = F.when(category == name, b).otherwise(kind)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.greatest(lexical * 0.7 + clauses * 0.5 + kind * 0.9, F.lit(-3.0)), F.lit(3.0)))
+# Fixed values of the difficulty scale: the word length and the marks that count as usual and as full, what a prefix and a
+# suffix add and at most, the weights of length, clauses, affixes and category, and the limits.
+USUAL_LENGTH, LENGTH_SCALE, FULL_MARKS = 4.5, 3.0, 3.0
+PREFIX_ADDS, SUFFIX_ADDS, AFFIXES_MOST = 0.30, 0.35, 2.0
+LENGTH_WEIGHT, CLAUSE_WEIGHT, AFFIX_WEIGHT, CATEGORY_WEIGHT = 0.7, 0.5, 0.8, 0.9
+LOWEST, HIGHEST = -3.0, 3.0
+
+
+def observed_weights(answered: DataFrame, items: DataFrame) -> DataFrame:
+    """(category, weight): the log-odds of a wrong answer in each category of items (item, category), within two either way.
+
+    One answer of each kind is added, so a category without answers weighs nothing; so does a category that isn't there.
+    """
+    wrong = F.sum(F.when(F.col("status") == "wrong", 1).otherwise(0))
+    counts = items.join(answered.groupBy("item").agg(F.count("*").alias("n"), wrong.alias("w")), "item", "left").groupBy("category").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w"))
+    odds = F.log((F.col("w") + 1) / (F.col("n") - F.col("w") + 1))
+    return counts.select("category", F.least(F.greatest(odds, F.lit(-2.0)), F.lit(2.0)).alias("weight"))
+
+
+def text_features(text: Column, prefixes: list[str], suffixes: list[str]) -> dict[str, Column]:
+    """How far the mean word is from a usual one, how full of marks a text is, and what its words' affixes add."""
+    whole = F.coalesce(text, F.lit(""))
+    count = F.regexp_count(whole, F.lit(r"\S+"))
+    letters = F.length(F.regexp_replace(whole, r"\s+", ""))
+    front = F.regexp_count(whole, F.lit(rf"(?i)(?<!\S)(?:{'|'.join(prefixes)})"))
+    back = F.regexp_count(whole, F.lit(rf"(?i)(?:{'|'.join(suffixes)})(?!\S)"))
+    return {
+        "words": count,
+        "length": (letters / F.greatest(count, F.lit(1)) - USUAL_LENGTH) / LENGTH_SCALE,
+        "clauses": F.least(F.regexp_count(whole, F.lit("[,;:()\u2014-]")) / FULL_MARKS, F.lit(1.0)),
+        "affixes": F.least(front * PREFIX_ADDS + back * SUFFIX_ADDS, F.lit(AFFIXES_MOST)),
+    }
+
+
+def text_difficulty(text: Column, weight: Column, prefixes: list[str] = PREFIXES, suffixes: list[str] = SUFFIXES) -> Column:
+    """Difficulty of an item from its text and its category's weight, within the limits of the scale; 0 without words."""
+    f = text_features(text, prefixes, suffixes)
+    total = f["length"] * LENGTH_WEIGHT + f["clauses"] * CLAUSE_WEIGHT + f["affixes"] * AFFIX_WEIGHT + F.coalesce(weight, F.lit(0.0)) * CATEGORY_WEIGHT
+    return F.when(f["words"] == 0, 0.0).otherwise(F.greatest(F.lit(LOWEST), F.least(total, F.lit(HIGHEST))))
+
+
+_AFFIXES = f"""(len(list_filter(w, lambda x: regexp_matches(x, '^({'|'.join(PREFIXES)})', 'i'))) * {PREFIX_ADDS} + len(list_filter(w, lambda x: regexp_matches(x, '({'|'.join(SUFFIXES)})$', 'i'))) * {SUFFIX_ADDS})"""
 
 
-@query("""with w as (select p_partkey, list_filter(string_split(p_name, ' '), lambda x: x <> '') w, p_type, p_name, p_brand from part),
-k as (select *, case p_type when 'ECONOMY' then -1.2 when 'SMALL' then -0.8 when 'MEDIUM' then 0.1 when 'STANDARD' then 0.6 when 'PROMO' then 1.2 when 'LARGE' then 1.6 else 0 end::double c, [1, 1, len(w)] l from w)
-select p_partkey, round(least(greatest(((list_sum(list_transform(w, lambda x: length(x))) / len(w) - 4.5) / 3.0 * 0.7 + c * 0.9)::double, -3.0), 3.0), 6)::double b,
+@query(f"""with {ANSWERS}, o as (select p_type, least(greatest(ln((count(*) filter (where status = 'wrong') + 1) / (count(status) - count(*) filter (where status = 'wrong') + 1)), -2.0), 2.0) c from part left join answers on item = p_partkey group by 1),
+w as (select p_partkey, list_filter(string_split(p_name, ' '), lambda x: x <> '') w, coalesce(c, 0) c from part left join o using (p_type)), k as (select *, [1, 1, len(w)] l from w)
+select p_partkey, round(least(greatest((list_sum(list_transform(w, lambda x: length(x))) / len(w) - 4.5) / 3.0 * 0.7 + least({_AFFIXES}, 2.0) * 0.8 + c * 0.9, -3.0), 3.0), 6)::double b,
  round(greatest(0.6, least(2.2, 1.4 - least(list_var_pop(l) * 0.1, 0.5) + case when list_var_pop(l) < 1 then 0.2 else 0 end)), 6)::double a from k""")
 def inferred_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Difficulty and discrimination of items from their texts alone: even options discriminate better."""
+    """Difficulty and discrimination of items: from their texts and how often their categories are answered wrong; even
+    options discriminate better."""
+    part = read(spark, sf_dir, "part")
+    weights = observed_weights(answers(read(spark, sf_dir, "events")), part.select(F.col("p_partkey").alias("item"), F.col("p_type").alias("category")))
     sizes = F.array(F.lit(1), F.lit(1), F.size(T.words(F.col("p_name"))))
     mean = F.aggregate(sizes, F.lit(0.0), lambda s, x: s + x) / F.size(sizes)
-    p = read(spark, sf_dir, "part").select("p_partkey", inferred_b(F.col("p_name"), F.col("p_type")).alias("b"), sizes.alias("s"), mean.alias("m"))
+    p = part.join(weights, F.col("p_type") == F.col("category"), "left").select("p_partkey", text_difficulty(F.col("p_name"), F.col("weight")).alias("b"), sizes.alias("s"), mean.alias("m"))
     var = F.aggregate(F.transform("s", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda s, x: s + x) / F.size("s")
     a = 1.4 - F.least(var * 0.1, F.lit(0.5)) + F.when(var < 1, 0.2).otherwise(0.0)
     return p.select("p_partkey", F.round("b", 6).alias("b"), F.round(F.greatest(F.lit(0.6), F.least(F.lit(2.2), a)), 6).alias("a"))

@@ -1,9 +1,10 @@
 """Operators with their own structures against plain versions on small fixtures."""
 
 import collections
+import hashlib
 import random
 
-from tessera.operators import index, matching, spatial
+from tessera.operators import content, index, lexicon, matching, retrieval, spatial, views
 
 
 def rows(df):
@@ -102,3 +103,72 @@ def test_radix_tree(spark):
     got = {r.prefix: (r.names, r.first) for r in index.completions(index.radix_tree(spark.createDataFrame([(n,) for n in names], "name string")), spark.createDataFrame([(p,) for p in asked], "prefix string")).collect()}
     assert got == {p: (len(b), b[:8] or None) for p in set(asked) - {None} for b in [sorted(n for n in names if n.startswith(p))]}
     assert index.radix_tree(spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_chains_and_bookings_of_null_and_large_keys(spark):
+    big = 2**60 + 1
+    rows = [(None, 1, "a"), (None, 2, "b"), (big, 1, "c"), (big, 2, None), (big + 1, 1, "d")]
+    got = {r.user: (r.entries, r.head) for r in content.chained(spark.createDataFrame(rows, "user long, k long, p string"), "user", ["k"], "p").collect()}
+    head = "genesis"
+    for p in ("c", ""):
+        head = hashlib.sha256(f"{p}:{head}".encode()).hexdigest()
+    assert set(got) == {None, big, big + 1} and got[big] == (2, head) and got[None][0] == 2
+    named = content.chained(spark.createDataFrame([("x", 1, "a"), ("y", 1, "a")], "user string, k long, p string"), "user", ["k"], "p")
+    assert {r.user for r in named.collect()} == {"x", "y"}
+    bookings = [(None, 1, 1, 5), (None, 2, 2, -3), (big, 1, big, 4), (big, 2, big + 1, None), (big, 3, big + 2, -5)]
+    done = views.purchases(spark.createDataFrame(bookings, "user_id long, ts long, event_id long, amount long")).collect()
+    assert sorted((r.event_id, r.user_id, r.balance, r.accepted) for r in done) == sorted([(1, None, 5, True), (2, None, 2, True), (big, big, 4, True), (big + 1, big, 4, True), (big + 2, big, 4, False)], key=lambda r: r[0])
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_corrections_of_words_of_any_length(spark):
+    """Against every pair measured; runs of a hundred thousand letters among them."""
+    rng = random.Random(4)
+    terms = [("".join(rng.choice("abc") for _ in range(n)), rng.randrange(5)) for n in [*range(3, 30)] * 3]
+    terms = list({t: (t, u) for t, u in terms}.values())
+
+    def edited(t):
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(t) + 1)
+            t = rng.choice([t[:k] + t[k + 1 :], t[:k] + "b" + t[k:], t[:k] + "c" + t[k + 1 :]])
+        return t
+
+    words = sorted({edited(t) for t, _ in terms for _ in range(3)})
+    got = {r.word: (r.corrected, r.distance) for r in lexicon.corrections(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(terms, "term string, uses long")).collect()}
+    want = {}
+    for w in words:
+        allowed = 0 if len(w) <= 3 else 1 if len(w) <= 5 else 2
+        found = sorted((d, -u, t) for t, u in terms if allowed and abs(len(t) - len(w)) <= allowed and (d := distance(w, t)) <= allowed)
+        if found:
+            want[w] = (found[0][2], found[0][0])
+    assert got == want and len(want) > 100
+    run = "ab" * 1000
+    asked = [(run,), (run + "xyz",), ("ab" * 50_000,), ("",), (None,)]
+    long = lexicon.corrections(spark.createDataFrame(asked, "word string"), spark.createDataFrame([(run + "x", 1), ("a", 1)], "term string, uses long")).collect()
+    assert {(len(r.word), r.distance) for r in long} == {(2000, 1), (2003, 2)}
+
+
+def test_reading_order_takes_the_topmost_open_region(spark):
+    import pandas as pd
+
+    page = pd.DataFrame({"page": 1, "region": [1, 2, 3, 4], "x1": [0, 0, 0, 0], "y1": [5, 6, 7, 1], "before": [[], [], [], [1]]})
+    assert retrieval.reading_order(page)["region"].tolist() == [1, 4, 2, 3]
+    # a heading over two columns, the right one starting higher than the left one's end
+    boxes = [(1, 1, 0.0, 0.0, 100.0, 10.0), (1, 2, 0.0, 20.0, 45.0, 60.0), (1, 3, 0.0, 61.0, 45.0, 90.0), (1, 4, 55.0, 20.0, 100.0, 90.0), (2, 1, 0.0, 0.0, 1.0, 1.0)]
+    df = retrieval.precedence(spark.createDataFrame(boxes, "page long, region long, x1 double, y1 double, x2 double, y2 double"))
+    assert {(r.page, r.region): r.before for r in df.collect()} == {(1, 1): [], (1, 2): [1], (1, 3): [1, 2], (1, 4): [1, 2, 3], (2, 1): []}
+    rng = random.Random(1)
+    many = [(k % 7, k, x := rng.random() * 90, y := rng.random() * 90, x + rng.random() * 20, y + rng.random() * 20) for k in range(140)]
+    want = {}
+    for p, r, x1, y1, x2, y2 in many:
+        want[p, r] = sorted(o for q, o, u1, v1, u2, v2 in many if q == p and o != r and ((v2 <= y1 and x1 < u2 and u1 < x2) or (u2 <= x1 and y1 < v2 and v1 < y2)))
+    got = retrieval.precedence(spark.createDataFrame(many, "page long, region long, x1 double, y1 double, x2 double, y2 double"))
+    assert {(r.page, r.region): r.before for r in got.collect()} == want
