@@ -150,7 +150,7 @@ def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPELL = f"""{_LEX}, w as (select word, count(distinct doc_id) docs from cw group by word),
 o as (select w.word, case when length(word) <= 5 then 1 else 2 end allowed from w where not exists (select 1 from lex where term = w.word) and not regexp_full_match(word, '[ivxlcdm]+') and docs < {TRUSTED_DOCS} and length(word) > 3),
-p as (select word, term, uses, levenshtein(word, term) d, allowed from o join lex on abs(length(word) - length(term)) <= 2 where levenshtein(word, term) <= allowed),
+p as (select word, term, uses, levenshtein(word, term) d, allowed from o join lex on abs(length(word) - length(term)) <= allowed where levenshtein(word, term) <= allowed),
 b as (select word, arg_min(term, (d, -uses, term)) term, min(d) d from p group by word),
 spell as (select w.word, docs, case when l.term is not null then 'known' when regexp_full_match(w.word, '[ivxlcdm]+') then 'number' when docs >= {TRUSTED_DOCS} then 'trusted' when length(w.word) <= 3 then 'too_short'
   when b.term is null then 'no_candidate' when abs(length(b.term) - length(w.word)) >= 2 then 'size_differs' else 'corrected' end decision, b.term t, b.d d from w left join lex l on l.term = w.word left join b on b.word = w.word),

@@ -3,8 +3,13 @@
 import collections
 import hashlib
 import random
+import tempfile
 
-from tessera.operators import content, index, lexicon, matching, retrieval, spatial, views
+import numpy as np
+import pytest
+
+from tessera.operators import calibration, content, index, lexicon, maintained, matching, retrieval, spatial, views
+from tessera.sources import digests
 
 
 def rows(df):
@@ -172,3 +177,65 @@ def test_reading_order_takes_the_topmost_open_region(spark):
         want[p, r] = sorted(o for q, o, u1, v1, u2, v2 in many if q == p and o != r and ((v2 <= y1 and x1 < u2 and u1 < x2) or (u2 <= x1 and y1 < v2 and v1 < y2)))
     got = retrieval.precedence(spark.createDataFrame(many, "page long, region long, x1 double, y1 double, x2 double, y2 double"))
     assert {(r.page, r.region): r.before for r in got.collect()} == want
+
+
+def test_calibration_recovers_parameters(spark):
+    rng = np.random.default_rng(3)
+    b, a = np.linspace(-1.6, 1.6, 14), np.array([0.7, 1.6] * 7)
+    theta = rng.standard_normal(900)
+    p = 0.25 + 0.75 / (1 + np.exp(-1.702 * a * (theta[:, None] - b)))
+    ok = rng.random(p.shape) < p
+    rows = [(u, i, bool(ok[u, i])) for u in range(len(theta)) for i in range(len(b))] + [(None, 1, True), (1, None, True), (1, 1, None), (1, 99, True)]
+    items = [(i, 1.2, 0.0, 0.25) for i in range(len(b))] + [(50, 1.2, 0.0, 0.25)]
+    fitted, fits = calibration.calibrated_items(spark.createDataFrame(rows, "user_id long, item long, ok boolean"), spark.createDataFrame(items, "item long, a double, b double, c double"), rounds=12)
+    got = {r.item: r for r in fitted.collect()}
+    assert set(got) == {i for i, *_ in items} and (got[50].a, got[50].b) == (1.2, 0.0)
+    assert all(y > x for x, y in zip(fits, fits[1:], strict=False)) and len(fits) > 3
+    found = np.array([(got[i].a, got[i].b) for i in range(len(b))])
+    assert np.abs(found[:, 1] - b).mean() < 0.2 and np.abs(found[:, 1] - b).max() < 0.6
+    assert found[1::2, 0].mean() > 1.4 * found[::2, 0].mean()
+
+
+def test_increments_are_one_run(spark):
+    path = tempfile.mkdtemp(prefix="spark-") + "/view"
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.randrange(5), rng.choice([None, 1, 5]), t, f"v{t}") for t in range(200)]
+    schema = "k long, n long, s long, t long, v string"
+    view = maintained.View(spark, path, ["k"], ["n", "s"], {"v": "t"})
+    assert view.totals() is None
+    for j in range(5):
+        part = spark.createDataFrame(rows[j * 40 : j * 40 + 40], schema)
+        assert view.applied(part, f"p{j}")
+        before = sorted(map(tuple, view.totals().collect()), key=repr)
+        assert not view.applied(part, f"p{j}")  # it comes again
+        assert sorted(map(tuple, view.totals().collect()), key=repr) == before
+    want = {k: (sum(r[1] for r in rows if r[0] == k), sum(r[2] or 0 for r in rows if r[0] == k), max((r[3], r[4]) for r in rows if r[0] == k)[1]) for k in {r[0] for r in rows}}
+    assert {r.k: (r.n, r.s, r.v) for r in view.totals().collect()} == want
+    assert view.versions() == [4, 5]
+    # an increment that fails before its commit leaves the version before
+    with pytest.raises(Exception, match="boom"):
+        view.applied(spark.createDataFrame(rows[:3], schema).selectExpr("k", "n", "s", "t", "raise_error('boom') v"), "bad")
+    assert {r.k: (r.n, r.s, r.v) for r in view.totals().collect()} == want and view.applied(spark.createDataFrame([(9, 1, 1, 1, "x")], schema), "bad")
+
+
+def test_block_digests_of_large_files(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    with open(f"{folder}/sparse.bin", "wb") as f:
+        f.truncate(3 << 30)
+    with open(f"{folder}/small.bin", "wb") as f:
+        f.write(b"x" * 100_001)
+    open(f"{folder}/empty.bin", "wb").close()
+    block = 256 << 20
+    told = digests.block_digests(spark, [folder], block)
+    told = spark.createDataFrame(told.collect(), told.schema)
+    files = {r.path.rsplit("/", 1)[1]: r for r in digests.file_digests(told).collect()}
+    assert {k: (r.length, r.blocks) for k, r in files.items()} == {"sparse.bin": (3 << 30, 12), "small.bin": (100_001, 1)}
+    own = hashlib.sha256(b"x" * 100_001).hexdigest()
+    assert files["small.bin"].tree == hashlib.sha256(own.encode()).hexdigest()
+    with open(f"{folder}/sparse.bin", "r+b") as f:
+        f.seek(5 * block + 17)
+        f.write(b"!")
+    with open(f"{folder}/more.bin", "wb") as f:
+        f.write(b"y" * block + b"z")
+    found = digests.damaged_blocks(told, digests.block_digests(spark, [folder], block)).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.block, r.state) for r in found} == {("sparse.bin", 5, "changed"), ("more.bin", 0, "new"), ("more.bin", 1, "new")}
