@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import calibration, content, curation, index, learning, lexicon, library, maintained, matching, psychometrics, quality, retrieval, signals, spatial, views
+from ..operators import calibration, content, curation, index, learning, lexicon, library, maintained, matching, proximity, psychometrics, quality, retrieval, signals, spatial, views
 
-MODULES = (learning, psychometrics, curation, quality, retrieval, lexicon, content, signals, views, library, matching, spatial, index, calibration, maintained)
+MODULES = (learning, psychometrics, curation, quality, retrieval, lexicon, content, signals, views, library, matching, spatial, index, calibration, maintained, proximity)
 
 
 def queries() -> dict:

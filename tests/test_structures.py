@@ -239,3 +239,25 @@ def test_block_digests_of_large_files(spark):
         f.write(b"y" * block + b"z")
     found = digests.damaged_blocks(told, digests.block_digests(spark, [folder], block)).collect()
     assert {(r.path.rsplit("/", 1)[1], r.block, r.state) for r in found} == {("sparse.bin", 5, "changed"), ("more.bin", 0, "new"), ("more.bin", 1, "new")}
+
+
+def test_proximity_graph_finds_neighbours(spark):
+    from tessera.operators import proximity
+
+    rng = np.random.default_rng(0)
+    n, d = 20_000, 32
+    centres = rng.standard_normal((60, d))
+    x = centres[rng.integers(0, 60, n)] + 0.6 * rng.standard_normal((n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "id long, v array<double>").repartition(8).cache()
+    graph, starts = proximity.neighbour_graph(df)
+    degrees = [r["count"] for r in graph.groupBy("id").count().collect()]
+    assert max(degrees) <= proximity.EDGES and len(degrees) == n
+    q = np.arange(0, n, 100)
+    got = {}
+    for r in proximity.searched(graph, starts, df, df.where("id % 100 = 0").withColumnRenamed("id", "query_id"), 10).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    true = np.argsort(-(x[q] @ x.T), axis=1)[:, :10]
+    recall = np.mean([len(got[i] & set(t.tolist())) / 10 for i, t in zip(q.tolist(), true, strict=True)])
+    assert recall >= 0.9, recall
+    df.unpersist()
