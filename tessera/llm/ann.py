@@ -253,28 +253,43 @@ def ranked(index: Index, nearest: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def sample(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """Unit vectors to fit on, chosen by a hash of the id, all of the most common length; and the number of rows."""
-    n = rows.count()
-    got = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(FIT_ROWS).collect()
-    lengths = [len(r.v) for r in got]
-    dims = max(sorted(set(lengths)), key=lengths.count) if got else 0
-    return unit(np.array([r.v for r in got if len(r.v) == dims])) if got else np.zeros((0, 0)), n
+def sample(rows: DataFrame) -> np.ndarray:
+    """Unit vectors to fit on, chosen by a hash of the id."""
+    return unit(np.array([r.v for r in rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(FIT_ROWS).collect()]))
+
+
+#: Lengths of vectors that one table may have.
+LENGTHS = 64
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def search(vectors: DataFrame, id_col: str, column: str, step: int = QUERY_STEP, nearest: int = NEAREST) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each query, by cosine, ties to the smaller id.
 
-    Queries are the ids divisible by step; a query's candidates are all other ids. Vectors that are null, zero, of
-    another length than most, or with null or non-finite components take no part, nor do rows without id; of rows
-    with one id one counts. Without vectors the result is empty.
+    Queries are the ids divisible by step; a query's candidates are all other ids. Vectors that are null, zero, or with
+    null or non-finite components take no part, nor do rows without id; of rows with one id the one with the least vector
+    counts. Vectors of different lengths have no cosine: each length is searched on its own, and a table with more than
+    LENGTHS of them is an error. Without two vectors of a length it has no results; so has an empty table. Columns beside
+    the two named aren't looked at.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2048)
     rows = usable(vectors, id_col, column)
-    x, n = sample(rows)
-    if len(x) < 2:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+    lengths = {r.d: r.n for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).limit(LENGTHS + 1).collect()}
+    if len(lengths) > LENGTHS:
+        raise ValueError(f"vectors have more than {LENGTHS} lengths")
+    out = spark.createDataFrame([], RESULT)
+    for k, (d, n) in enumerate((d, n) for d, n in sorted(lengths.items()) if n > 1):
+        found = searched(rows.where(F.size("v") == d), n, step, nearest)
+        out = out.unionByName(found) if k else found
+    return out
+
+
+def searched(rows: DataFrame, n: int, step: int, nearest: int) -> DataFrame:
+    """The search among n rows (id, v), each id once, of one length."""
+    spark = rows.sparkSession
+    x = sample(rows)
     index = fit_index(x, rows, n)
     scratch, parts = Scratch(spark), partitions(spark)
     cells = scratch.write(rows.mapInArrow(listed(index, step), CELLS), "cells")
@@ -287,7 +302,7 @@ def search(vectors: DataFrame, id_col: str, column: str, step: int = QUERY_STEP,
     dealt = sized.withColumn("block", F.explode(blocks)).withColumn("group", F.explode(groups)).select("list", "block", "group", "kind", "id", "v", "codes")
     found = dealt.repartition(parts, "list", "block", "group").sortWithinPartitions("list", "block", "group", "kind", "id").mapInArrow(ranked(index, nearest), FOUND)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

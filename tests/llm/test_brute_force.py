@@ -352,3 +352,25 @@ def test_archives_start_with_warcinfo_and_hold_long_payloads(spark, monkeypatch)
     none = tempfile.mkdtemp(prefix="spark-") + "/w"
     warc.write_archives(pages.limit(0), none, Scratch(spark))
     assert warc.read_archives(spark, none).count() == 0
+
+
+def test_nearest_with_twin_ids_and_other_lengths(spark):
+    """Rows of one id count once, by their least vector; vectors of each length are searched among themselves."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(0, 40)] + [(0, [1.0, 0.0, 0.0, 0.0]), (7, [9.0, 1.0, 0.0, 0.0]), (7, [9.0, 1.0, 0.0, 0.0])]
+    rows += [(100 + i, rng.standard_normal(3).tolist()) for i in range(0, 12)] + [(1000, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), (50, [0.0, 0.0, 0.0, 0.0]), (51, [])]
+    got = ann.search(spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, id string, v int"), "vec_id", "embedding", 10).collect()
+    least = {}
+    for i, v in rows:
+        if i is not None and any(v):
+            least[i] = min(least.get(i, v), v)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    want = {}
+    for q in least:
+        others = [(i, np.dot(least[q], v) / np.linalg.norm(least[q]) / np.linalg.norm(v)) for i, v in least.items() if i != q and len(v) == len(least[q])]
+        if q % 10 == 0 and others:
+            want[q] = {k + 1: x for k, x in enumerate(sorted(others, key=lambda x: (-x[1], x[0]))[:5])}
+    assert {q: {k: i for k, (i, _) in ranks.items()} for q, ranks in found.items()} == {q: {k: i for k, (i, _) in ranks.items()} for q, ranks in want.items()}
+    assert all(abs(s - want[q][k][1]) < 1e-12 for q, ranks in found.items() for k, (_, s) in ranks.items())
