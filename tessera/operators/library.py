@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import sinks
+from ..sources import sinks, wire
 from ..sources.tables import read
 from . import psychometrics, quality, retrieval
 
@@ -328,3 +328,19 @@ def client_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 41).alias("item")).distinct()
     p = psychometrics.p3pl(F.lit(0.5), F.lit(1.2), (F.col("item") - 20) / 10.0, F.lit(0.2), scale=1.7)
     return item.select("item", F.round(p, 6).alias("p"))
+
+
+# ---- messages
+
+EVENT_FIELDS = (wire.Field(1, "event_id", "int"), wire.Field(2, "user_id", "int"), wire.Field(3, "event_type", "string"), wire.Field(4, "value", "double"), wire.Field(5, "props", "string"))
+_VAR = "coalesce(1 + (length(bin({x})) + 6) // 7, 0)"
+_TXT = "coalesce(1 + (length(bin(strlen({x}))) + 6) // 7 + strlen({x}), 0)"
+
+
+@query(f"""select event_id, ({_VAR.format(x="event_id")} + {_VAR.format(x="user_id")} + {_TXT.format(x="event_type")} + case when value is null then 0 else 9 end + {_TXT.format(x="props")})::bigint bytes, true same from events""")
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as tagged binary messages: the bytes of each, and whether it reads back as it was."""
+    names = [f.name for f in EVENT_FIELDS]
+    e = read(spark, sf_dir, "events").select(*names).withColumn("k", F.struct(*names))
+    back = wire.decode(wire.encode(e, EVENT_FIELDS, ["k"]).withColumn("k", F.struct("k", F.octet_length("message").cast("long").alias("bytes"))), EVENT_FIELDS, ["k"])
+    return back.select("k.k.event_id", "k.bytes", F.col("k.k").eqNullSafe(F.struct(*names)).alias("same"))
