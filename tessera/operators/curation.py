@@ -216,9 +216,9 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "source", F.explode(F.filter(parts, lambda t: F.length(t) > 3)).alias("token"))
 
 
-@query(f"with {TOKENS} select token, count(*) occurrences, count(distinct doc_id) documents, count(distinct source) sources from tok group by token having count(distinct doc_id) >= 5")
+@query(f"with {TOKENS} select token, count(*) occurrences, count(distinct doc_id) documents, count(distinct source) sources from tok group by token")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of five documents or more: occurrences, documents, sources.
+    """All words: occurrences, documents, sources.
 
     A document is one row, so a word's first place in it stands for the document: no grouping by document is needed.
     Words are summed by source, with map-side sums, then over all sources.
@@ -228,7 +228,7 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = T.bound(words, lambda w: F.transform(w, lambda t, i: F.struct(t.alias("token"), F.when((i > 0) & (F.get(w, i - 1) == t), 0).otherwise(1).alias("first"))))
     rows = documents(spark, sf_dir).select("source", F.explode(first).alias("t")).select("source", "t.token", "t.first")
     by_source = rows.groupBy("token", "source").agg(F.count("*").alias("n"), F.sum("first").alias("d"))
-    return by_source.groupBy("token").agg(F.sum("n").alias("occurrences"), F.sum("d").alias("documents"), F.count("source").alias("sources")).where("documents >= 5")
+    return by_source.groupBy("token").agg(F.sum("n").alias("occurrences"), F.sum("d").alias("documents"), F.count("source").alias("sources"))
 
 
 @query(f"""with {TOKENS}, c as (select token, count(distinct source) sources, string_agg(distinct lang, ',' order by lang) langs from tok group by token)
