@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -267,16 +269,44 @@ class Reading:
         yield from sorted(self.places.keys() - read, key=lambda region: (self.places[region], region))
 
 
-def reading_order(page: pd.DataFrame) -> pd.DataFrame:
-    """A page's regions (region, x1, y1, before: regions read earlier) in reading order: always the topmost of those whose
+def in_order(regions: list[tuple]) -> list:
+    """Regions (region, x1, y1, before: regions read earlier) of a page in reading order: always the topmost of those whose
     prerequisites have been read, of equally high ones the leftmost; what cycles hold up comes last, by place."""
-    places = {r: (y, x) for r, x, y in zip(page["region"], page["x1"], page["y1"], strict=True)}
-    reading = Reading(places)
-    for region, before in zip(page["region"], page["before"], strict=True):
+    reading = Reading({region: (y, x) for region, x, y, _ in regions})
+    for region, _, _, before in regions:
         for b in before if before is not None else ():
             reading.require(region, b)
-    out = list(reading)
-    return pd.DataFrame({"page": page["page"].iloc[0], "region": out, "position": range(1, len(out) + 1)})
+    return list(reading)
+
+
+def reading_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page, region, x1, y1, before) sorted by page to (page, region, position); one page is held at a time."""
+
+    def of(page, regions: list[tuple]) -> list[tuple]:
+        return [(page, region, k) for k, region in enumerate(in_order(regions), 1)]
+
+    page, held = None, []
+    for batch in batches:
+        out = []
+        for own, *region in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != page and held:
+                out += of(page, held)
+                held = []
+            page = own
+            held.append(tuple(region))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), POSITIONS, strict=True)], schema=POSITIONS)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*of(page, held), strict=True), POSITIONS, strict=True)], schema=POSITIONS)
+
+
+POSITIONS = pa.schema([("page", pa.int64()), ("region", pa.int64()), ("position", pa.int32())])
+
+
+def read_in_order(regions: DataFrame) -> DataFrame:
+    """(page, region, position) of regions (page, region, x1, y1, before); a page must fit a task, pages without id are one."""
+    sorted_ = regions.select("page", "region", "x1", "y1", "before").repartition("page").sortWithinPartitions("page")
+    return sorted_.mapInArrow(reading_order, "page long, region long, position int")
 
 
 @query("""with b as (select l_partkey page, l_orderkey * 10 + l_linenumber region, l_suppkey x1, l_quantity y1 from lineitem), d as (select page, region, min(x1) x1, min(y1) y1 from b group by all)
@@ -321,7 +351,7 @@ def layout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read(spark, sf_dir, "lineitem").where("l_orderkey is not null")
     b = l.groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("region")).agg(F.min(F.col("l_partkey") % 97).cast("double").alias("x1"), F.min(F.col("l_suppkey") % 89).cast("double").alias("y1"), F.max("l_quantity").alias("w"))
     b = b.select("page", "region", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("w") / 2).alias("y2"))
-    return precedence(b).groupBy("page").applyInPandas(reading_order, "page long, region long, position int")
+    return read_in_order(precedence(b))
 
 
 def looked_up(terms: DataFrame, lex: DataFrame) -> DataFrame:

@@ -194,10 +194,8 @@ def test_logs_and_exports(spark):
 
 
 def test_reading_order_with_prerequisites_and_cycles():
-    import pandas as pd
-
-    page = pd.DataFrame({"page": 1, "region": [1, 2, 3, 4, 5], "x1": [0, 0, 50, 0, 0], "y1": [10, 0, 0, 90, 80], "before": [[], [1], None, [5], [4]]})
-    assert retrieval.reading_order(page)["region"].tolist() == [3, 1, 2, 5, 4]
+    page = [(1, 0, 10, []), (2, 0, 0, [1]), (3, 50, 0, None), (4, 0, 90, [5]), (5, 0, 80, [4])]
+    assert retrieval.in_order(page) == [3, 1, 2, 5, 4]
 
 
 def test_ancestry_of_deep_chains_and_cycles(spark):

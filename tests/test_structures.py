@@ -162,10 +162,8 @@ def test_corrections_of_words_of_any_length(spark):
 
 
 def test_reading_order_takes_the_topmost_open_region(spark):
-    import pandas as pd
-
-    page = pd.DataFrame({"page": 1, "region": [1, 2, 3, 4], "x1": [0, 0, 0, 0], "y1": [5, 6, 7, 1], "before": [[], [], [], [1]]})
-    assert retrieval.reading_order(page)["region"].tolist() == [1, 4, 2, 3]
+    page = [(1, 0, 5, []), (2, 0, 6, []), (3, 0, 7, []), (4, 0, 1, [1])]
+    assert retrieval.in_order(page) == [1, 4, 2, 3]
     # a heading over two columns, the right one starting higher than the left one's end
     boxes = [(1, 1, 0.0, 0.0, 100.0, 10.0), (1, 2, 0.0, 20.0, 45.0, 60.0), (1, 3, 0.0, 61.0, 45.0, 90.0), (1, 4, 55.0, 20.0, 100.0, 90.0), (2, 1, 0.0, 0.0, 1.0, 1.0)]
     df = retrieval.precedence(spark.createDataFrame(boxes, "page long, region long, x1 double, y1 double, x2 double, y2 double"))
@@ -177,6 +175,17 @@ def test_reading_order_takes_the_topmost_open_region(spark):
         want[p, r] = sorted(o for q, o, u1, v1, u2, v2 in many if q == p and o != r and ((v2 <= y1 and x1 < u2 and u1 < x2) or (u2 <= x1 and y1 < v2 and v1 < y2)))
     got = retrieval.precedence(spark.createDataFrame(many, "page long, region long, x1 double, y1 double, x2 double, y2 double"))
     assert {(r.page, r.region): r.before for r in got.collect()} == want
+    # pages that go over the ends of batches, and those without id
+    regions = [(None if p == 3 else p, r, x1, y1, want[p, r]) for p, r, x1, y1, _, _ in many]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        order = retrieval.read_in_order(spark.createDataFrame(regions, "page long, region long, x1 double, y1 double, before array<long>")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for p in {r[0] for r in regions}:
+        got_page = [r.region for r in sorted(order, key=lambda r: r.position) if r.page == p]
+        assert got_page == retrieval.in_order([r[1:] for r in regions if r[0] == p])
+    assert retrieval.read_in_order(spark.createDataFrame([], "page long, region long, x1 double, y1 double, before array<long>")).count() == 0
 
 
 def test_calibration_recovers_parameters(spark):
