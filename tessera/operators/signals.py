@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import sinks
+from ..sources import queues, sinks
 from ..sources.tables import ANSWERS, answers, read
 from ..streaming import flows
 from .lexicon import PREFIXES, SUFFIXES
+from .maintained import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -342,6 +343,27 @@ def drained_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.drained(m.withColumnRenamed("user_id", "msg_id")).drop("ts")
 
 
+#: Answers of a message that a client sends.
+ANSWERS_A_MESSAGE = 50
+
+
+@query(f"""with m as (select event_id // {ANSWERS_A_MESSAGE} msg_id, event_id, user_id, event_type word, value from events where event_id is not null)
+select msg_id, (row_number() over (partition by msg_id order by event_id, user_id, word, value) - 1)::int n, user_id, word, 'wrong' status, coalesce(value, 3.0)::double "seconds" from m""")
+def queued_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events sent as messages to a queue with visibility and drained from it by a stream into a table, each answer once."""
+    one = F.struct("event_id", F.col("user_id"), F.lower("event_type").alias("word"), F.col("value").alias("seconds"))
+    m = _events(spark, sf_dir).where("event_id is not null").groupBy(F.floor(F.col("event_id") / ANSWERS_A_MESSAGE).cast("long").alias("msg_id"))
+    folder = shared_folder(spark)
+    queues.sent(m.agg(F.to_json(F.array_sort(F.collect_list(one))).alias("message")), f"{folder}/queue")
+
+    def kept(batch: DataFrame, _: int) -> None:
+        rows = flows.drained(batch).withColumn("block", F.pmod("msg_id", F.lit(16)).cast("int")).drop("ts", "similarity")
+        flows.write_once(rows, f"{folder}/answers", ["msg_id", "n"], "block")
+
+    queues.drain(spark, f"{folder}/queue", kept, f"{folder}/checkpoint", hidden=600)
+    return spark.read.schema("msg_id long, n int, user_id long, word string, status string, seconds double").parquet(f"{folder}/answers").drop("block")
+
+
 @query("""with n as (select max(ts) now_ from events) select event_id, case when ts < now_ - interval 10 day - interval 30 day + interval 25 day then 'too_old' when ts > now_ - interval 1 day + interval 10 minute then 'in_future' end rejected from events, n""")
 def accepted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events received at one time: those too old, or too far ahead, have the reason."""

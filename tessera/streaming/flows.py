@@ -21,18 +21,25 @@ def drained(batches: DataFrame) -> DataFrame:
     return rows.select("msg_id", "n", "a.user_id", F.lower(F.trim("a.word")).alias("word"), F.coalesce("a.status", F.lit("wrong")).alias("status"), F.coalesce("a.similarity", F.lit(0.0)).alias("similarity"), F.coalesce("a.seconds", F.lit(3.0)).alias("seconds"), "a.ts")
 
 
-def write_once(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows of a micro-batch that the table at path lacks: a redelivered batch changes nothing."""
+def write_once(batch: DataFrame, path: str, keys: list[str], part: str | None = None) -> None:
+    """Appends the rows of a micro-batch that the table at path lacks: a redelivered batch changes nothing.
+
+    The table may be partitioned by a column that a key always has the same value of; then only the batch's partitions are
+    looked up. An append that died half-way leaves whole files, whose rows the next try finds.
+    """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(keys)
     try:
-        known = spark.read.parquet(path).select(*keys)
-    except Exception as error:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(error):
+        known = spark.read.parquet(path)
+    except Exception as error:  # the first batch finds no table, or one without files
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
     else:
-        fresh = fresh.join(known, keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
+        if part:
+            known = known.join(batch.select(part).distinct(), part, "left_semi")
+        fresh = fresh.join(known.select(*keys), keys, "left_anti")
+    writer = fresh.write.mode("append")
+    (writer.partitionBy(part) if part else writer).parquet(path)
 
 
 def first_seen(events: DataFrame, key: str = "nonce", keep: str = "7 days") -> DataFrame:
