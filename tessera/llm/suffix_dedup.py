@@ -7,7 +7,9 @@ sorted by triples of characters; the triples' names make a shorter text, sorted
 bytes apart; the remaining suffixes are merged in. Neighbours in the sorted order with equal prefixes of LENGTH bytes
 are repeats of the smallest document among them.
 
-Before that, anchors that only one text has are left out: no string that holds them can repeat.
+Before that, what only one text has is left out: a string of LENGTH bytes holds its anchor and what is next to it, BEFORE
+bytes on the left or AFTER on the right, so it can't repeat unless another text has the anchor with the same side.
+Anchors alone are too short for that: the more text there is, the more of them are shared by chance.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ from .common import Batches, Scratch, lean, partitions, small_batches, table
 #: Length of the strings that are looked for, bytes of an anchor, and anchors that such a string has.
 LENGTH, ANCHOR = 50, 16
 SPAN = LENGTH - ANCHOR + 1
+#: Bytes next to an anchor, of which a string has those on the left (if it starts so far before it) or those on the right.
+BEFORE = (LENGTH - ANCHOR) // 2
+AFTER = LENGTH - ANCHOR - BEFORE + 1
 #: Text bytes that a task looks at together before it sends what it found, and about how many a range gets.
-FLUSH_BYTES, RANGE_BYTES = 6_000_000, 500_000
+FLUSH_BYTES, RANGE_BYTES = 6_000_000, 150_000
 
 #: An anchor that more texts than this have is hot: its strings are dealt one by one, by their own hash, not together.
 HOT_TEXTS = 2000
@@ -50,9 +55,9 @@ def anchor_hashes(data: bytes) -> np.ndarray:
     return h
 
 
-#: Bits of a place that fit beside a hash; longer texts are looked at in overlapping pieces.
-PLACE_BITS = 20
-PIECE = 1 << PLACE_BITS
+#: Bits of a place that fit beside a hash; strings are looked at in pieces of so many, which the processor's cache holds.
+PLACE_BITS = 16
+PIECE = 1 << PLACE_BITS - 1
 
 
 def window_anchors(h: np.ndarray) -> np.ndarray:
@@ -61,7 +66,7 @@ def window_anchors(h: np.ndarray) -> np.ndarray:
     A place stands in the low bits of its hash, so least values of 2, 4, ... places, then of two overlapping runs, also
     say where they are, and of equal hashes the first is least.
     """
-    mask = np.uint64(PIECE - 1)
+    mask = np.uint64((1 << PLACE_BITS) - 1)
     best = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
     n, width = len(h) - SPAN + 1, 1
     while 2 * width <= SPAN:
@@ -73,17 +78,58 @@ def window_anchors(h: np.ndarray) -> np.ndarray:
     return (best[:n] & mask).astype(np.int32)
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, first string) of each anchor of a text, in order: strings from first on have it, up to the next's."""
-    if len(data) < LENGTH:
-        empty = np.zeros(0, np.int32)
-        return empty, np.zeros(0, np.uint64), empty
-    h = anchor_hashes(data)
-    step = PIECE - SPAN + 1  # strings of a piece
-    at = np.concatenate([window_anchors(h[k : k + PIECE]) + np.int32(k) for k in range(0, len(h) - SPAN + 1, step)])
-    first = np.flatnonzero(np.diff(at, prepend=np.int32(-1))).astype(np.int32)
-    place = at[first]
-    return place, h[place], first
+def anchors(data: bytes, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first string, text) of each anchor of texts, in order: strings from first on have it, up to the next's.
+
+    data: the texts, one after another; text k is from begin[k] to begin[k + 1]. Strings are those inside one text.
+    """
+    n, out = len(data) - LENGTH + 1, [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for a in range(0, n, PIECE):
+        b = min(a + PIECE, n)
+        h = anchor_hashes(data[a : b + LENGTH - 1])
+        at = window_anchors(h)
+        new = np.r_[True, at[1:] != at[:-1]]
+        new[begin[np.searchsorted(begin, a) : np.searchsorted(begin, b)] - a] = True
+        first = np.flatnonzero(new)
+        out.append((at[first] + np.int64(a), h[at[first]], first + a))
+    place, h, first = (np.concatenate([o[k] for o in out]) for k in range(3))
+    text = np.searchsorted(begin, first, side="right") - 1
+    # not strings that end in another text, nor an anchor once more where a piece begins
+    ok = (first + LENGTH <= begin[text + 1]) & np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])][: len(first)]
+    return place[ok], h[ok], first[ok], text[ok]
+
+
+def mixed(words: np.ndarray, *at: np.ndarray) -> np.ndarray:
+    """A number from 1 to 65535 for the 8-byte words at some places."""
+    h = np.zeros(len(at[0]), np.uint64)
+    for k in at:
+        h = (h ^ words[k]) * np.uint64(PRIME)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h >> np.uint64(32)) % np.uint64(65535) + np.uint64(1)
+
+
+class Anchored:
+    """The anchors of texts: text (its number), place, hash, first and end of the strings around it, left and right.
+
+    left and right are digests of the BEFORE and AFTER bytes beside the anchor, 0 where no string around it has them.
+    Places count through all texts, joined in data; text k begins at begin[k].
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"".join(texts)
+        self.begin = np.cumsum([0, *map(len, texts)])
+        self.place, self.hash, self.first, self.text = anchors(self.data, self.begin)
+        self.end = np.append(self.first[1:], 0)[: len(self.first)]
+        last = np.flatnonzero(np.append(np.diff(self.text) > 0, True)[: len(self.text)])  # of each text
+        self.end[last] = self.begin[self.text[last] + 1] - LENGTH + 1
+        words = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))
+        #: Strings from here on have the right side, those before have the left one.
+        self.middle = self.place - BEFORE + 1
+        most, after = len(words) - 1, self.place + ANCHOR
+        before = np.maximum(self.place - BEFORE, 0)
+        self.left = np.where(self.first < self.middle, mixed(words, before, before + 8, before + BEFORE - 8), np.uint64(0))
+        self.right = np.where(self.end > self.middle, mixed(words, np.minimum(after, most), np.minimum(after + 8, most), np.minimum(after + AFTER - 8, most)), np.uint64(0))
 
 
 # ---- which anchors two texts or more have
@@ -107,6 +153,11 @@ def grouped(batches: Batches):
         yield key, rows
 
 
+ANCHORS = "place int, high binary, low binary, lefts binary, rights binary, names binary, numbers binary, texts binary"
+ANCHORS_ARROW = pa.schema([("place", pa.int32()), *((c, pa.binary()) for c in ("high", "low", "lefts", "rights", "names", "numbers", "texts"))])
+KEPT = np.uint64(0xFFFFFFFFFFFF0000)
+
+
 def split_hashes(h: np.ndarray) -> tuple[bytes, bytes]:
     """The upper 48 bits of hashes, as 32 and 16 of them; two hashes that these don't tell apart do no harm here."""
     return (h >> np.uint64(32)).astype(np.uint32).tobytes(), (h >> np.uint64(16)).astype(np.uint16).tobytes()
@@ -116,11 +167,6 @@ def whole_hashes(high: bytes, low: bytes) -> np.ndarray:
     return np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint16).astype(np.uint64) << np.uint64(16)
 
 
-ANCHORS = "place int, high binary, low binary, names binary, numbers binary, texts binary"
-ANCHORS_ARROW = pa.schema([("place", pa.int32()), *((c, pa.binary()) for c in ("high", "low", "names", "numbers", "texts"))])
-KEPT = np.uint64(0xFFFFFFFFFFFF0000)
-
-
 def place_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(ranges)).astype(np.int32)
 
@@ -130,35 +176,51 @@ def bucket_of(owner: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def listed_anchors(ranges: int, buckets: int) -> Callable[[Batches], Batches]:
-    """(owner, text) to (range, hashes, owners): each text's anchor hashes, by range. owner is a digest of the text.
+    """(owner, text) to (range, hashes, sides, owners): each text's anchors, by range. owner is a digest of the text.
 
-    A hash that many texts of a flush have is listed for two of them, and once for every bucket of texts: enough to
-    tell that it is shared, and whom to tell. How many texts a row stands for (255 for more) goes with it.
+    A hash that comes more than twice in a bucket of texts, in one flush, is listed for the first and the last of them:
+    enough to tell that it is shared, and whom to tell. How many a row stands for (255 for more) goes with it; the sides
+    of those left out aren't known.
     """
 
-    def flush(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-        h = np.concatenate([p for p, _ in parts])
-        owner = np.repeat(np.array([o for _, o in parts], np.uint64), [len(p) for p, _ in parts])
-        order = np.lexsort((owner, bucket_of(owner, buckets), h))
-        h, owner = h[order], owner[order]
-        bucket = bucket_of(owner, buckets)
-        # at most two rows a hash and bucket
-        third = np.r_[np.zeros(min(2, len(h)), bool), (h[2:] == h[:-2]) & (bucket[2:] == bucket[:-2])]
-        kept = np.flatnonzero(~third)
-        texts = np.minimum(np.diff(np.append(kept, len(h))), 255).astype(np.uint8)
-        h, owner = h[kept], owner[kept]
-        order = np.argsort(place_of(h, ranges), kind="stable")
-        edges = np.searchsorted(place_of(h, ranges)[order], np.arange(ranges + 1))
+    def flush(owners: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        found = Anchored(texts)
+        owners = np.array(owners, np.uint64)
+        order = np.argsort(found.hash)
+        h, text, left, right = found.hash[order] & KEPT, found.text[order], found.left[order], found.right[order]
+        stands = np.ones(len(h), np.int64)
+        run = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        size = np.diff(np.append(run, len(h)))
+        many = np.flatnonzero(np.repeat(size > 1, size))
+        bucket = bucket_of(owners[text[many]], buckets)
+        many = many[np.lexsort((right[many], left[many], text[many], bucket, h[many]))]
+        bucket = bucket_of(owners[text[many]], buckets)
+        same = lambda *columns: np.r_[False, np.logical_and.reduce([c[1:] == c[:-1] for c in columns])] if len(many) else np.zeros(0, bool)
+        again = same(h[many], text[many], left[many], right[many])
+        stands[many[again]] = 0  # the same once more in its text
+        many, bucket = many[~again], bucket[~again]
+        starts = np.flatnonzero(~same(h[many], bucket))
+        ends = np.append(starts[1:], len(many)) - 1
+        inner = np.ones(len(many), bool)
+        inner[starts] = inner[ends] = False
+        stands[many[inner]] = 0
+        stands[many[ends]] = np.where(ends > starts, ends - starts, 1)
+        kept = np.flatnonzero(stands)
+        place = place_of(h[kept], ranges)
+        kept = kept[np.argsort(place.astype(np.uint16) if ranges < 65536 else place, kind="stable")]
+        h, text, left, right, stands = h[kept], text[kept], left[kept].astype(np.uint16), right[kept].astype(np.uint16), np.minimum(stands[kept], 255).astype(np.uint8)
+        edges = np.searchsorted(place_of(h, ranges), np.arange(ranges + 1))
         rows = []
-        for r in range(ranges):
-            own = order[edges[r] : edges[r + 1]]
-            if len(own):
-                names, numbers = np.unique(owner[own], return_inverse=True)
-                rows.append((r, *split_hashes(h[own]), names.tobytes(), numbers.astype(np.uint16 if len(names) < 65536 else np.uint32).tobytes(), texts[own].tobytes()))
+        for r, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            if a < b:
+                used = np.zeros(len(owners), bool)
+                used[text[a:b]] = True
+                numbers = (np.cumsum(used) - 1)[text[a:b]].astype(number_type(int(used.sum())))
+                rows.append((r, *split_hashes(h[a:b]), left[a:b].tobytes(), right[a:b].tobytes(), owners[used].tobytes(), numbers.tobytes(), stands[a:b].tobytes()))
         return _batch(rows, ANCHORS_ARROW)
 
     def run(batches: Batches) -> Batches:
-        parts, held, seen = [], 0, set()
+        owners, texts, held, seen = [], [], 0, set()
         for batch in batches:
             for owner, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text or "").encode()
@@ -166,67 +228,105 @@ def listed_anchors(ranges: int, buckets: int) -> Callable[[Batches], Batches]:
                 if len(data) < LENGTH or owner in seen:
                     continue
                 seen.add(owner)
-                parts.append((np.unique(anchors(data)[1] & KEPT), owner))
+                owners.append(owner)
+                texts.append(data)
                 held += len(data)
                 if held > FLUSH_BYTES:
-                    yield flush(parts)
-                    parts, held, seen = [], 0, set()
-        if parts:
-            yield flush(parts)
+                    yield flush(owners, texts)
+                    owners, texts, held, seen = [], [], 0, set()
+        if texts:
+            yield flush(owners, texts)
 
     return run
 
 
-SHARED = "bucket int, hot boolean, high binary, low binary"
-SHARED_ARROW = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("high", pa.binary()), ("low", pa.binary())])
+def number_type(n: int) -> type:
+    return np.uint16 if n < 65536 else np.uint32
+
+
+#: What is told: anchors with a left side that is shared, with a right side, and anchors whose sides aren't all known.
+LEFT, RIGHT, ANY = range(3)
+#: sizes: how many hashes there are of each side, first those that aren't hot, then those that are.
+SHARED = "bucket int, sizes binary, high binary, low binary"
+SHARED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("sizes", "high", "low"))])
+
+
+def two_owners(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each row whether rows with its key have different owners."""
+    order = np.argsort(key)
+    k, o = key[order], owner[order]
+    head = np.r_[True, k[1:] != k[:-1]]
+    heads = np.flatnonzero(head)
+    out = np.empty(len(key), bool)
+    out[order] = (np.minimum.reduceat(o, heads) != np.maximum.reduceat(o, heads))[np.cumsum(head) - 1]
+    return out
 
 
 def shared_anchors(buckets: int) -> Callable[[Batches], Batches]:
-    """Lists of a range to (bucket, hashes): what two texts or more have, told to the buckets of these texts."""
+    """Lists of a range to (bucket, sizes, hashes): what two texts or more have, told to the buckets of these texts."""
 
     def run(batches: Batches) -> Batches:
         for _, rows in grouped(batches):
             h = np.concatenate([whole_hashes(r[0], r[1]) for r in rows])
-            owner = np.concatenate([(names := np.frombuffer(o, np.uint64))[np.frombuffer(c, np.uint16 if len(names) < 65536 else np.uint32)] for _, _, o, c, _ in rows])
-            texts = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows])
-            order = np.lexsort((owner, h))
-            h, owner, texts = h[order], owner[order], texts[order]
-            head = np.r_[True, h[1:] != h[:-1]]
-            other = np.r_[False, (h[1:] == h[:-1]) & (owner[1:] != owner[:-1])]
+            sides = [np.concatenate([np.frombuffer(r[k], np.uint16) for r in rows]).astype(np.uint64) for k in (2, 3)]
+            owner = np.concatenate([(names := np.frombuffer(r[4], np.uint64))[np.frombuffer(r[5], number_type(len(names)))] for r in rows])
+            texts = np.concatenate([np.frombuffer(r[6], np.uint8) for r in rows])
+            # anchors that come once are done
+            order = np.argsort(h)
+            head = np.r_[True, h[order[1:]] != h[order[:-1]]]
+            more = ~(head & np.r_[head[1:], True])
+            order, head = order[more], head[more]
+            if not len(order):
+                continue
+            h, owner, texts, sides = h[order], owner[order], texts[order], [x[order] for x in sides]
             heads, group = np.flatnonzero(head), np.cumsum(head) - 1
-            ok = np.maximum.reduceat(other, heads)[group]
             hot = (np.add.reduceat(texts, heads, dtype=np.int64) > HOT_TEXTS)[group]
-            h, bucket, hot = h[ok], bucket_of(owner[ok], buckets), hot[ok]
-            order = np.lexsort((h, hot, bucket))
-            h, bucket, hot = h[order], bucket[order], hot[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])] if len(h) else np.zeros(0, bool)
-            h, cell = h[new], 2 * bucket[new] + hot[new]
-            edges = np.searchsorted(cell, np.arange(2 * buckets + 1))
-            out = [(c // 2, bool(c % 2), *split_hashes(h[edges[c] : edges[c + 1]])) for c in range(2 * buckets) if edges[c] < edges[c + 1]]
-            if out:
-                yield _batch(out, SHARED_ARROW)
+            known = (np.maximum.reduceat(texts, heads) < 2)[group]
+            keys, cells = [], []
+            for side, digest in ((LEFT, sides[0]), (RIGHT, sides[1]), (ANY, np.zeros(len(h), np.uint64))):
+                own = np.flatnonzero(~known if side == ANY else known & (digest > 0))
+                if len(own):
+                    key = h[own] | digest[own]
+                    ok = two_owners(key, owner[own])
+                    keys.append(key[ok])
+                    cells.append(bucket_of(owner[own[ok]], buckets).astype(np.int64) * 6 + 2 * side + hot[own[ok]])
+            key, cell = np.concatenate(keys), np.concatenate(cells)
+            if not len(key):
+                continue
+            order = np.lexsort((key, cell))
+            key, cell = key[order], cell[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]
+            key, cell = key[new], cell[new]
+            bucket = cell // 6
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = [*cuts[1:].tolist(), len(key)]
+            out = [(b, np.bincount(cell[a:e] % 6, minlength=6).astype(np.int32).tobytes(), (key[a:e] >> np.uint64(32)).astype(np.uint32).tobytes(), key[a:e].astype(np.uint32).tobytes()) for b, a, e in zip(bucket[cuts].tolist(), cuts.tolist(), ends, strict=True)]
+            yield _batch(out, SHARED_ARROW)
 
     return run
 
 
 # ---- strings around shared anchors, by range
 
-#: Strings of a range (place not null), or starts already known to be removed (place null).
-STRINGS = "place int, hashes binary, ids binary, keys binary, starts binary, spans binary, sizes binary, data binary, key long, id long, runs binary"
-STRINGS_ARROW = pa.schema([("place", pa.int32()), *((c, pa.binary()) for c in ("hashes", "ids", "keys", "starts", "spans", "sizes", "data")), ("key", pa.int64()), ("id", pa.int64()), ("runs", pa.binary())])
+#: Strings of a range (place not null), or runs of starts already known to be removed (place null), as in REMOVED.
+STRINGS = "place int, hashes binary, ids binary, keys binary, starts binary, spans binary, sizes binary, data binary, bucket int"
+STRINGS_ARROW = pa.schema([("place", pa.int32()), *((c, pa.binary()) for c in ("hashes", "ids", "keys", "starts", "spans", "sizes", "data")), ("bucket", pa.int32())])
 
 
 def packed(strings: list[tuple], ranges: int) -> list[tuple]:
     """(hash, id, key, start, span, bytes) by range of the hash."""
-    place = place_of(np.array([s[0] for s in strings], np.uint64), ranges)
-    by: dict[int, list] = {}
-    for p, row in zip(place.tolist(), strings, strict=True):
-        by.setdefault(p, []).append(row)
-    rows = []
-    for r, own in by.items():
-        h, ids, keys, starts, spans, data = zip(*own, strict=True)
-        kinds = ((h, np.uint64), (ids, np.int64), (keys, np.int64), (starts, np.int32), (spans, np.int32), ([len(d) for d in data], np.int32))
-        rows.append((r, *(np.array(x, t).tobytes() for x, t in kinds), b"".join(data), None, None, None))
+    if not strings:
+        return []
+    h, ids, keys, starts, spans, data = zip(*strings, strict=True)
+    place = place_of(np.array(h, np.uint64), ranges)
+    order = np.argsort(place, kind="stable")
+    place, cuts = place[order], np.flatnonzero(np.diff(place[order], prepend=-1))
+    kinds = ((h, np.uint64), (ids, np.int64), (keys, np.int64), (starts, np.int32), (spans, np.int32), ([len(d) for d in data], np.int32))
+    columns = [np.array(x, t)[order] for x, t in kinds]
+    order, rows = order.tolist(), []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        text = b"".join([data[k] for k in order[a:b]])
+        rows.append((int(place[a]), *(c[a:b].tobytes() for c in columns), pa.compress(text, codec="zstd", asbytes=True), None))
     return rows
 
 
@@ -265,37 +365,89 @@ class Merged:
     def strings(self) -> list[tuple]:
         return [(k[0], *v, k[1]) for k, v in self.kept.items()] + [(k[0], *v, k[1]) for k, all_ in self.again.items() for v in all_]
 
-    def removed(self) -> list[tuple[int, int, bytes]]:
-        return [(key, owner, np.array(runs, np.int32).tobytes()) for (key, owner), runs in self.gone.items()]
+    def gone_runs(self) -> list[tuple[np.ndarray, ...]]:
+        """Keys, ids, firsts and ends of the runs of starts that are gone."""
+        n = [len(runs) for runs in self.gone.values()]
+        names = np.array(list(self.gone), np.int64).reshape(-1, 2)
+        runs = np.array([r for all_ in self.gone.values() for r in all_], np.int64).reshape(-1, 2)
+        return [(np.repeat(names[:, 0], n), np.repeat(names[:, 1], n), runs[:, 0], runs[:, 1])]
 
 
-def strings_of(ranges: int) -> Callable[[Batches], Batches]:
+def by_bucket(found: list[tuple[np.ndarray, ...]], buckets: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Keys, ids, firsts and ends of runs, packed by bucket of the key."""
+    key, owner, first, end = (np.concatenate([f[k] for f in found]) for k in range(4))
+    bucket = bucket_of(key.astype(np.uint64), buckets)
+    order = np.lexsort((owner, key, bucket))
+    bucket, columns = bucket[order], (key[order], owner[order], first[order].astype(np.int32), end[order].astype(np.int32))
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return [(int(bucket[a]), *(c[a:b].tobytes() for c in columns)) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False)]
+
+
+def found_in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether keys are among known, which are in order."""
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+#: Text bytes looked at together when strings are cut out.
+LOOK_BYTES = 1_000_000
+
+
+def strings_of(ranges: int, removed: int) -> Callable[[Batches], Batches]:
     """A bucket's shared hashes, then its texts by (owner, id), to strings by range.
 
-    Rows: (bucket, owner, id, key, text, hot, high, low). Of equal texts only the smallest id's goes on. The strings
-    around one anchor go together, as one longer string; around a hot one each goes by its own hash.
+    Rows: (bucket, owner, id, key, text, sizes, high, low). Of equal texts only the smallest id's goes on. The strings
+    around one anchor go together, as one longer string; around a hot one each goes by its own hash. What is known to be
+    removed goes to as many buckets as removed says.
     """
 
     def run(batches: Batches) -> Batches:
         merged, held = Merged(), 0
 
         def out() -> pa.RecordBatch | None:
-            rows = packed(merged.strings(), ranges) + [(None,) * 8 + r for r in merged.removed()]
+            rows = packed(merged.strings(), ranges) + [(None, None, i, k, a, e, None, None, b) for b, k, i, a, e in by_bucket(merged.gone_runs(), removed)]
             return _batch(rows, STRINGS_ARROW) if rows else None
 
-        def known(told: list[np.ndarray]) -> np.ndarray:
-            return np.sort(np.concatenate(told)) if told else np.zeros(0, np.uint64)
-
-        bucket, told, shared, last = None, ([], []), None, (None, None, None)
+        def cut(told: dict[tuple[int, bool], list[np.ndarray]], texts: list[tuple[int, int, bytes]]) -> int:
+            """Put the strings of texts (id, key, bytes) that may repeat into merged; about the memory they take."""
+            if not texts or not told:
+                return 0
+            known = {k: np.sort(np.concatenate(v)) for k, v in told.items()}
+            told.update({k: [v] for k, v in known.items()})
+            found = Anchored([t[2] for t in texts])
+            h, none = found.hash & KEPT, np.zeros(0, np.uint64)
+            ok, hot = [], np.zeros(len(h), bool)
+            for side, digest in ((LEFT, found.left), (RIGHT, found.right), (ANY, np.zeros(len(h), np.uint64))):
+                cold, hots = (found_in(known.get((side, k), none), h | digest) for k in (False, True))
+                ok.append(cold | hots)
+                hot |= hots
+            first = np.where(ok[LEFT] | ok[ANY], found.first, np.maximum(found.first, found.middle))
+            end = np.where(ok[RIGHT] | ok[ANY], found.end, np.minimum(found.end, found.middle))
+            at = np.flatnonzero((ok[LEFT] | ok[RIGHT] | ok[ANY]) & (first < end))
+            data, begin, size = found.data, found.begin.tolist(), 0
+            for n, hash_, a, b, hot_ in zip(found.text[at].tolist(), found.hash[at].tolist(), first[at].tolist(), end[at].tolist(), hot[at].tolist(), strict=True):
+                i, key, _ = texts[n]
+                if hot_:
+                    for k in range(a, b):
+                        string = data[k : k + LENGTH]
+                        merged.add(xxhash.xxh3_64_intdigest(string), string, i, key, k - begin[n])
+                    size += (b - a) * 150
+                else:
+                    merged.add(hash_, data[a : b + LENGTH - 1], i, key, a - begin[n])
+                    size += b - a + LENGTH + 200
+            return size
+
+        bucket, told, texts, waiting, last = None, {}, [], 0, (None, None, None)
         for batch in batches:
-            for b, owner, i, key, text, hot, high, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, owner, i, key, text, sizes, high, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != bucket:
-                    bucket, told, shared, last = b, ([], []), None, (None, None, None)
+                    held += cut(told, texts)
+                    bucket, told, texts, waiting, last = b, {}, [], 0, (None, None, None)
                 if high is not None:
-                    told[hot].append(whole_hashes(high, low))
+                    keys = np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32)
+                    for cell, part in enumerate(np.split(keys, np.cumsum(np.frombuffer(sizes, np.int32))[:-1])):
+                        if len(part):
+                            told.setdefault((cell // 2, bool(cell % 2)), []).append(part)
                     continue
-                if shared is None:
-                    shared, hottest = known([*told[0], *told[1]]), set(known(told[1]).tolist())
                 data = (text or "").encode()
                 if len(data) < LENGTH:
                     continue
@@ -303,27 +455,18 @@ def strings_of(ranges: int) -> Callable[[Batches], Batches]:
                     if i != last[2]:
                         merged.gone.setdefault((key, i), []).append([0, len(data) - LENGTH + 1])
                         held += 50
-                    continue
-                last = (owner, data, i)
-                if not len(shared):
-                    continue
-                _, h, first = anchors(data)
-                ends = np.r_[first[1:], len(data) - LENGTH + 1]
-                kept = h & KEPT
-                ok = shared[np.minimum(np.searchsorted(shared, kept), len(shared) - 1)] == kept
-                for hash_, a, end in zip(h[ok].tolist(), first[ok].tolist(), ends[ok].tolist(), strict=True):
-                    if hottest and hash_ & 0xFFFFFFFFFFFF0000 in hottest:
-                        for k in range(a, end):
-                            string = data[k : k + LENGTH]
-                            merged.add(xxhash.xxh3_64_intdigest(string), string, i, key, k)
-                        held += (end - a) * 150
-                    else:
-                        merged.add(hash_, data[a : end + LENGTH - 1], i, key, a)
-                        held += end - a + LENGTH + 200
+                else:
+                    last = (owner, data, i)
+                    texts.append((i, key, data))
+                    waiting += len(data)
+                    if waiting > LOOK_BYTES:
+                        held += cut(told, texts)
+                        texts, waiting = [], 0
                 if held > 2 * FLUSH_BYTES:
                     if (found := out()) is not None:
                         yield found
                     merged, held = Merged(), 0
+        cut(told, texts)
         if (found := out()) is not None:
             yield found
 
@@ -424,71 +567,85 @@ def first_owner(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.n
 
 # ---- from strings to removed bytes
 
-REMOVED = "key long, id long, runs binary"
-REMOVED_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("runs", pa.binary())])
+#: Runs of removed starts, packed by bucket of their texts' keys.
+REMOVED = "bucket int, keys binary, ids binary, firsts binary, ends binary"
+REMOVED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "ids", "firsts", "ends"))])
+
+RUNS = "key long, id long, runs binary"
+RUNS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("runs", pa.binary())])
 
 
-def repeats(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, spans: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Removed starts, as runs (first, end), of texts whose strings are given."""
+def repeats(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, spans: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Removed starts of texts whose strings are given, as runs: keys, ids, firsts and ends of them."""
     begin = np.cumsum(sizes) - sizes
     windows = sizes - LENGTH + 1
     string = np.repeat(np.arange(len(sizes)), windows)
     offset = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
     least = first_owner(data, begin[string] + offset, ids[string])
     gone = np.flatnonzero(least < ids[string])
-    if not len(gone):
-        return []
     # a string that goes on: its starts come again, a string's windows further each time
     string, times = string[gone], -(-spans[string[gone]] // windows[string[gone]])
     again = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     string = np.repeat(string, times)
     place = starts[string] + np.repeat(offset[gone], times) + again * windows[string]
     string, place = string[(ok := place < starts[string] + spans[string])], place[ok]
-    order = np.lexsort((place, string))
-    string, place = string[order], place[order]
-    new = np.r_[True, (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)]
-    first, last = place[new], place[np.r_[new[1:], True]]
-    key, owner = keys[string[new]], ids[string[new]]
-    order = np.lexsort((owner, key))
-    key, owner, runs = key[order], owner[order], np.stack([first[order], last[order] + 1], 1).astype(np.int32)
-    cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-    return [(k, o, part.tobytes()) for k, o, part in zip(key[cuts].tolist(), owner[cuts].tolist(), np.split(runs, cuts[1:]), strict=True)]
+    if (times > 1).any():
+        order = np.lexsort((place, string))
+        string, place = string[order], place[order]
+    new = np.r_[True, (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)][: len(string)]
+    last = np.r_[new[1:], True][: len(string)]
+    return keys[string[new]], ids[string[new]], place[new], place[last] + 1
+
 
+def runs_by_text(batches: Batches) -> Batches:
+    """Packed runs by bucket to one row for each text: packed (first, end) of its runs."""
+    for _, rows in grouped(batches):
+        key, owner, first, end = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32)))
+        order = np.lexsort((first, owner, key))
+        key, owner, runs = key[order], owner[order], np.stack([first[order], end[order]], 1)
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+        yield _batch([(k, o, runs[a:b].tobytes()) for k, o, a, b in zip(key[cuts].tolist(), owner[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True)], RUNS_ARROW)
 
-def sorted_ranges(batches: Batches) -> Batches:
-    """Strings by range to the removed starts of their texts.
 
-    Equal strings are merged first. Anchors with one string left are done; the others' strings are suffix-sorted,
+def sorted_ranges(removed: int) -> Callable[[Batches], Batches]:
+    """Strings by range to the removed starts of their texts, in as many buckets as removed says.
+
+    Equal strings are merged first. Anchors with one text's strings left are done; the others' are suffix-sorted,
     about RANGE_BYTES at a time, all of an anchor together (at most some HOT_TEXTS strings).
     """
-    for _, rows in grouped(batches):
-        merged = Merged()
-        for *packed_, sizes, data in rows:
-            ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64).tolist()
-            begin = 0
-            kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32)
-            for h, i, k, a, span, end in zip(*(np.frombuffer(x, t).tolist() for x, t in zip(packed_, kinds, strict=True)), ends, strict=True):
-                merged.add(h, data[begin:end], i, k, a, span)
-                begin = end
-        strings = sorted(merged.strings(), key=lambda s: s[0])
-        if found := merged.removed():
-            yield _batch(found, REMOVED_ARROW)
-        group: list[tuple] = []
-        held, at = 0, 0
-        while at < len(strings):
-            end = at + 1
-            while end < len(strings) and strings[end][0] == strings[at][0]:
-                end += 1
-            if end - at > 1:
-                group += strings[at:end]
-                held += sum(len(s[5]) for s in strings[at:end])
-            at = end
-            if group and (held > RANGE_BYTES or at == len(strings)):
-                _, ids, keys, starts, spans, data = zip(*group, strict=True)
-                sizes = np.array([len(d) for d in data], np.int64)
-                if found := repeats(np.array(ids, np.int64), np.array(keys, np.int64), np.array(starts, np.int64), np.array(spans, np.int64), sizes, np.frombuffer(b"".join(data), np.uint8)):
-                    yield _batch(found, REMOVED_ARROW)
-                group, held = [], 0
+
+    def run(batches: Batches) -> Batches:
+        for _, rows in grouped(batches):
+            merged = Merged()
+            for *packed_, sizes, data in rows:
+                ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64).tolist()
+                begin, data = 0, pa.decompress(data, decompressed_size=ends[-1], codec="zstd", asbytes=True)
+                kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32)
+                for h, i, k, a, span, end in zip(*(np.frombuffer(x, t).tolist() for x, t in zip(packed_, kinds, strict=True)), ends, strict=True):
+                    merged.add(h, data[begin:end], i, k, a, span)
+                    begin = end
+            strings, found = merged.strings(), merged.gone_runs()
+            del merged
+            hashes = np.array([s[0] for s in strings], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            order = order[two_owners(hashes, np.array([s[1] for s in strings], np.int64))[order]] if len(strings) else order
+            hashes = hashes[order]
+            cuts = np.append(np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)]), len(hashes)).tolist()
+            group: list[tuple] = []
+            held, order = 0, order.tolist()
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                own = [strings[k] for k in order[at:end]]
+                group += own
+                held += sum([len(s[5]) for s in own])
+                if held > RANGE_BYTES or end == len(order):
+                    _, ids, keys, starts, spans, data = zip(*group, strict=True)
+                    sizes = np.array([len(d) for d in data], np.int64)
+                    found.append(repeats(np.array(ids, np.int64), np.array(keys, np.int64), np.array(starts, np.int64), np.array(spans, np.int64), sizes, np.frombuffer(b"".join(data), np.uint8)))
+                    group, held = [], 0
+            if gone := by_bucket(found, removed):
+                yield _batch(gone, REMOVED_ARROW)
+
+    return run
 
 
 def covered(runs: list[bytes]) -> np.ndarray:
@@ -535,21 +692,23 @@ def with_runs(docs: DataFrame) -> DataFrame:
     docs = keyed(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = buckets = max(2 * n, int(total // 20_000_000))
+    texts_in = max(n, ranges // 2)  # buckets of texts when runs meet
     listed = docs.select("__owner", "text").mapInArrow(lean(listed_anchors(ranges, buckets)), ANCHORS)
     shared = scratch.write(listed.repartition(n, "place").sortWithinPartitions("place").mapInArrow(lean(shared_anchors(buckets)), SHARED), "shared")
     none = lambda kind: F.lit(None).cast(kind)
     # as unsigned: the same bucket as in listed_anchors
     bucket = F.pmod(F.pmod(F.shiftrightunsigned("__owner", 32), F.lit(buckets)) * F.lit((1 << 32) % buckets) + F.pmod(F.col("__owner").bitwiseAND(0xFFFFFFFF), F.lit(buckets)), F.lit(buckets)).cast("int")
-    texts = docs.where(F.octet_length("text") >= LENGTH).select(bucket.alias("bucket"), F.col("__owner").alias("owner"), F.col("__id").alias("id"), F.col("__key").alias("key"), "text", none("boolean").alias("hot"), none("binary").alias("high"), none("binary").alias("low"))
-    told = shared.select("bucket", none("long").alias("owner"), none("long").alias("id"), none("long").alias("key"), none("string").alias("text"), "hot", "high", "low")
+    texts = docs.where(F.octet_length("text") >= LENGTH).select(bucket.alias("bucket"), F.col("__owner").alias("owner"), F.col("__id").alias("id"), F.col("__key").alias("key"), "text", none("binary").alias("sizes"), none("binary").alias("high"), none("binary").alias("low"))
+    told = shared.select("bucket", none("long").alias("owner"), none("long").alias("id"), none("long").alias("key"), none("string").alias("text"), "sizes", "high", "low")
     both = texts.unionByName(told).repartition(n, "bucket").sortWithinPartitions("bucket", F.col("owner").asc_nulls_first(), "id")
-    strings = scratch.write(both.mapInArrow(lean(strings_of(ranges)), STRINGS), "strings")
+    strings = scratch.write(both.mapInArrow(lean(strings_of(ranges, texts_in)), STRINGS), "strings")
     scratch.drop("shared")
     strings_only = strings.where("place is not null").select("place", "hashes", "ids", "keys", "starts", "spans", "sizes", "data")
-    found = strings_only.repartition(n, "place").sortWithinPartitions("place").mapInArrow(lean(sorted_ranges), REMOVED)
-    removed = scratch.write(strings.where("place is null").select("key", "id", "runs").unionByName(found), "removed")
+    found = strings_only.repartition(n, "place").sortWithinPartitions("place").mapInArrow(lean(sorted_ranges(texts_in)), REMOVED)
+    removed = scratch.write(strings.where("place is null").select("bucket", "keys", "ids", F.col("starts").alias("firsts"), F.col("spans").alias("ends")).unionByName(found), "removed")
     scratch.drop("strings")
-    gone = removed.groupBy(F.col("key").alias("__gone_key"), F.col("id").alias("__gone_id")).agg(F.collect_list("runs").alias("__runs"))
+    runs = removed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(runs_by_text), RUNS)
+    gone = runs.select(F.col("key").alias("__gone_key"), F.col("id").alias("__gone_id"), F.array("runs").alias("__runs"))
     joined = docs.join(gone, (F.col("__key") == F.col("__gone_key")) & (F.col("__id") == F.col("__gone_id")), "left")
     return joined.drop("__gone_key", "__gone_id", "__id", "__owner", "__key")
 

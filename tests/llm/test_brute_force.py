@@ -302,6 +302,50 @@ def test_suffix_dedup_of_hot_lines_and_runs(spark, monkeypatch, hot):
     assert got == removed_bytes(rows)
 
 
+def test_suffix_dedup_moves_no_strings_for_short_repeats(spark, monkeypatch):
+    """Phrases shorter than the strings looked for are in many texts, as 16 bytes are by chance in much text."""
+    from test_operators import removed_bytes
+
+    moved = []
+
+    class Counting(suffix_dedup.Scratch):
+        def write(self, df, name):
+            out = super().write(df, name)
+            if name == "strings":
+                moved.append(sum(len(r.starts) // 4 for r in out.where("place is not null").select("starts").collect()))
+            return out
+
+    monkeypatch.setattr(suffix_dedup, "Scratch", Counting)
+    rng = np.random.default_rng(3)
+    noise = lambda n: rng.bytes(n).hex()
+    phrases = [noise(13) for _ in range(200)]
+    rows = [(i, "".join(noise(int(rng.integers(20, 60))) + phrases[int(k)] for k in rng.integers(0, 200, 8))) for i in range(60)]
+    digests = lambda: {r[0]: tuple(r)[1:] for r in suffix_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert digests() == removed_bytes(rows) and moved == [0]
+    for i, (a, b) in enumerate([(0, 50), (3, 53), (40, 200), (100, 149)]):  # passages at the start, inside, at the end, one too short
+        rows += [(100 + i, rows[i][1][a:b] + noise(30)), (200 + i, noise(30) + rows[i][1][a:b]), (300 + i, noise(30) + rows[i][1][a:b] + noise(30))]
+    got = digests()
+    assert got == removed_bytes(rows) and sum(r[1] > 0 for r in got.values()) == 9
+
+
+def test_anchors_of_joined_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 97 + int(rng.integers(1, 9)), int(rng.integers(0, 400))).astype(np.uint8)) for _ in range(60)] + [b"a" * 50, b"b" * 49, b""]
+    want = []
+    for k, t in enumerate(texts):
+        h = suffix_dedup.anchor_hashes(t) & suffix_dedup.KEPT if len(t) >= 50 else []
+        for a in range(len(t) - 49):
+            at = a + int(np.argmin(h[a : a + 35]))
+            if not want or want[-1][:2] != (k, at):
+                want.append((k, at, a))
+    for piece in (1 << 15, 64, 1):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        found = suffix_dedup.Anchored(texts)
+        begin = found.begin[found.text]
+        assert list(zip(found.text.tolist(), (found.place - begin).tolist(), (found.first - begin).tolist(), strict=True)) == want
+    assert len(suffix_dedup.Anchored([b"b" * 49, b""]).place) == 0
+
+
 # ---- jaccard
 
 
