@@ -328,6 +328,27 @@ def test_suffix_dedup_moves_no_strings_for_short_repeats(spark, monkeypatch):
     assert got == removed_bytes(rows) and sum(r[1] > 0 for r in got.values()) == 9
 
 
+def test_pipeline_stage_moves_no_strings_for_short_repeats(spark, monkeypatch):
+    import corpus_pipeline
+
+    moved = []
+
+    class Counting(suffix_dedup.Scratch):
+        def write(self, df, name):
+            out = super().write(df, name)
+            if name == "strings":
+                moved.append(out.where("place is not null").count())
+            return out
+
+    monkeypatch.setattr(suffix_dedup, "Scratch", Counting)
+    rng = np.random.default_rng(6)
+    noise = lambda n: rng.bytes(n).hex()
+    phrases = [noise(13) for _ in range(200)]
+    rows = [(i, t := "".join(noise(40) + phrases[int(k)] for k in rng.integers(0, 200, 8)), "en", "web", len(t)) for i in range(60)]
+    out = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), DATA)
+    assert sorted(map(tuple, out.collect())) == rows and moved == [0]
+
+
 def test_anchors_of_joined_texts(monkeypatch):
     rng = np.random.default_rng(4)
     texts = [bytes(rng.integers(97, 97 + int(rng.integers(1, 9)), int(rng.integers(0, 400))).astype(np.uint8)) for _ in range(60)] + [b"a" * 50, b"b" * 49, b""]
