@@ -35,8 +35,11 @@ AFTER = LENGTH - ANCHOR - BEFORE + 1
 #: Text bytes that a task looks at together before it sends what it found, and about how many a range gets.
 FLUSH_BYTES, RANGE_BYTES = 6_000_000, 150_000
 
-#: An anchor that more texts than this have is hot: its strings are dealt one by one, by their own hash, not together.
-HOT_TEXTS = 2000
+#: An anchor that more texts than this have is hot: the strings around it are dealt by so many neighbouring starts, by the
+#: hash of the bytes that all of these have (the anchor's among them), not together.
+HOT_TEXTS, HOT_STARTS = 2000, 7
+#: Bytes of strings that are suffix-sorted at once; more of one hash are sorted by classes of equal strings.
+SORT_BYTES = 1_000_000
 
 PRIME = 0x9E3779B97F4A7C15
 NO_ID = np.int64(np.iinfo(np.int64).max)
@@ -388,6 +391,19 @@ def found_in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
 
 
+def hot_parts(place: int, first: int, end: int) -> list[tuple[int, int, slice]]:
+    """(first, end, common) of the parts of a hot anchor's starts: common is what all strings of a whole part would have.
+
+    Equal strings have their anchor at the same place in them, so they are in the same part and have the same common bytes.
+    """
+    out, low = [], place - SPAN + 1
+    low += (first - low) // HOT_STARTS * HOT_STARTS
+    for k in range(low, end, HOT_STARTS):
+        last = min(k + HOT_STARTS - 1, place)
+        out.append((max(k, first), min(last + 1, end), slice(last, k + LENGTH)))
+    return out
+
+
 #: Text bytes looked at together when strings are cut out.
 LOOK_BYTES = 1_000_000
 
@@ -396,8 +412,8 @@ def strings_of(ranges: int, removed: int) -> Callable[[Batches], Batches]:
     """A bucket's shared hashes, then its texts by (owner, id), to strings by range.
 
     Rows: (bucket, owner, id, key, text, sizes, high, low). Of equal texts only the smallest id's goes on. The strings
-    around one anchor go together, as one longer string; around a hot one each goes by its own hash. What is known to be
-    removed goes to as many buckets as removed says.
+    around one anchor go together, as one longer string; around a hot one as one for HOT_STARTS starts, counted from the
+    anchor. What is known to be removed goes to as many buckets as removed says.
     """
 
     def run(batches: Batches) -> Batches:
@@ -424,13 +440,12 @@ def strings_of(ranges: int, removed: int) -> Callable[[Batches], Batches]:
             end = np.where(ok[RIGHT] | ok[ANY], found.end, np.minimum(found.end, found.middle))
             at = np.flatnonzero((ok[LEFT] | ok[RIGHT] | ok[ANY]) & (first < end))
             data, begin, size = found.data, found.begin.tolist(), 0
-            for n, hash_, a, b, hot_ in zip(found.text[at].tolist(), found.hash[at].tolist(), first[at].tolist(), end[at].tolist(), hot[at].tolist(), strict=True):
+            for n, hash_, place, a, b, hot_ in zip(found.text[at].tolist(), found.hash[at].tolist(), found.place[at].tolist(), first[at].tolist(), end[at].tolist(), hot[at].tolist(), strict=True):
                 i, key, _ = texts[n]
                 if hot_:
-                    for k in range(a, b):
-                        string = data[k : k + LENGTH]
-                        merged.add(xxhash.xxh3_64_intdigest(string), string, i, key, k - begin[n])
-                    size += (b - a) * 150
+                    for k, z, common in hot_parts(place, a, b):
+                        merged.add(xxhash.xxh3_64_intdigest(data[common]), data[k : z + LENGTH - 1], i, key, k - begin[n])
+                        size += z - k + LENGTH + 200
                 else:
                     merged.add(hash_, data[a : b + LENGTH - 1], i, key, a - begin[n])
                     size += b - a + LENGTH + 200
@@ -565,6 +580,17 @@ def first_owner(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.n
     return out
 
 
+def first_owner_by_class(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """first_owner, by classes of strings (equal ones are in one class) of some SORT_BYTES together."""
+    words, classes = words_at(data), np.uint64(len(starts) * LENGTH // SORT_BYTES + 1)
+    kind = mixed(words, *(starts + k for k in (*range(0, LENGTH - 8, 8), LENGTH - 8))) % classes
+    order = np.argsort(kind, kind="stable")
+    out = np.empty(len(starts), owner.dtype)
+    for own in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+        out[own] = first_owner(data[starts[own][:, None] + np.arange(LENGTH)].ravel(), np.arange(len(own)) * LENGTH, owner[own])
+    return out
+
+
 # ---- from strings to removed bytes
 
 #: Runs of removed starts, packed by bucket of their texts' keys.
@@ -581,7 +607,7 @@ def repeats(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, spans: np.nda
     windows = sizes - LENGTH + 1
     string = np.repeat(np.arange(len(sizes)), windows)
     offset = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
-    least = first_owner(data, begin[string] + offset, ids[string])
+    least = (first_owner if len(data) <= SORT_BYTES else first_owner_by_class)(data, begin[string] + offset, ids[string])
     gone = np.flatnonzero(least < ids[string])
     # a string that goes on: its starts come again, a string's windows further each time
     string, times = string[gone], -(-spans[string[gone]] // windows[string[gone]])
@@ -611,7 +637,7 @@ def sorted_ranges(removed: int) -> Callable[[Batches], Batches]:
     """Strings by range to the removed starts of their texts, in as many buckets as removed says.
 
     Equal strings are merged first. Anchors with one text's strings left are done; the others' are suffix-sorted,
-    about RANGE_BYTES at a time, all of an anchor together (at most some HOT_TEXTS strings).
+    about RANGE_BYTES at a time, all of an anchor together (at most some HOT_TEXTS strings, more where it is hot).
     """
 
     def run(batches: Batches) -> Batches:

@@ -302,6 +302,34 @@ def test_suffix_dedup_of_hot_lines_and_runs(spark, monkeypatch, hot):
     assert got == removed_bytes(rows)
 
 
+@pytest.mark.parametrize("sort_bytes", [1_000_000, 300])
+def test_suffix_dedup_moves_hot_strings_together(spark, monkeypatch, sort_bytes):
+    """The more texts there are, the more anchors are hot: a start of one may not cost a whole string."""
+    from test_operators import removed_bytes
+
+    starts, moved = [], []
+
+    class Counting(suffix_dedup.Scratch):
+        def write(self, df, name):
+            out = super().write(df, name)
+            if name == "strings":
+                for r in out.where("place is not null").select("starts", "spans", "sizes").collect():
+                    starts.append(int(np.frombuffer(r.spans, np.int32).sum()))
+                    moved.append(int(np.frombuffer(r.sizes, np.int32).sum()))
+            return out
+
+    monkeypatch.setattr(suffix_dedup, "Scratch", Counting)
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", 5)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", sort_bytes)
+    rng = np.random.default_rng(8)
+    noise = lambda n: rng.bytes(n).hex()
+    line, ends = "the line that stands in every text, the end of which is followed by one of many", [noise(8) for _ in range(40)]
+    rows = [(i, noise(10 + i % 7) + line + ends[i % 40] + noise(9) + "ab" * (i % 3 * 30)) for i in range(120)]
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == removed_bytes(rows) and sum(r[1] > 0 for r in got.values()) == 119
+    assert sum(starts) > 500 and sum(moved) < 25 * sum(starts)
+
+
 def test_suffix_dedup_moves_no_strings_for_short_repeats(spark, monkeypatch):
     """Phrases shorter than the strings looked for are in many texts, as 16 bytes are by chance in much text."""
     from test_operators import removed_bytes
