@@ -203,7 +203,7 @@ def listed_anchors(ranges: int, buckets: int) -> Callable[[Batches], Batches]:
         stands[many[again]] = 0  # the same once more in its text
         many, bucket = many[~again], bucket[~again]
         starts = np.flatnonzero(~same(h[many], bucket))
-        ends = np.append(starts[1:], len(many)) - 1
+        ends = np.append(starts[1:], len(many))[: len(starts)] - 1
         inner = np.ones(len(many), bool)
         inner[starts] = inner[ends] = False
         stands[many[inner]] = 0

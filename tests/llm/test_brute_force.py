@@ -377,6 +377,15 @@ def test_pipeline_stage_moves_no_strings_for_short_repeats(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == rows and moved == [0]
 
 
+@pytest.mark.parametrize("texts", [["one text alone, of more than fifty bytes, in which nothing comes twice"], ["abcdefgh" * 7, "ijklmnop" * 8], ["short", "q" * 50, "z" * 49]])
+def test_suffix_dedup_where_no_anchor_repeats(spark, texts):
+    from test_operators import removed_bytes
+
+    rows = list(enumerate(texts))
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == removed_bytes(rows)
+
+
 def test_anchors_of_joined_texts(monkeypatch):
     rng = np.random.default_rng(4)
     texts = [bytes(rng.integers(97, 97 + int(rng.integers(1, 9)), int(rng.integers(0, 400))).astype(np.uint8)) for _ in range(60)] + [b"a" * 50, b"b" * 49, b""]
