@@ -311,7 +311,28 @@ def shared_anchors(buckets: int) -> Callable[[Batches], Batches]:
 
 # ---- strings around shared anchors, by range
 
-#: Strings of a range (place not null), or runs of starts already known to be removed (place null), as in REMOVED.
+
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes of numbers, then all second ones, and so on: the zeros of small numbers stand together and compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def key_planes(keys: np.ndarray, ids: np.ndarray) -> bytes:
+    """Nothing where keys are the ids, as they are if no two rows have one id."""
+    return b"" if np.array_equal(keys, ids) else planes(keys)
+
+
+def keys_and_ids(keys: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids_ = from_planes(ids, np.int64)
+    return from_planes(keys, np.int64) if keys else ids_, ids_
+
+
+#: Strings of a range (place not null), or runs of starts already known to be removed (place null), as in REMOVED. Half the
+#: bits of hashes go, enough to tell a range's anchors apart; they, ids, keys and starts are in planes.
 STRINGS = "place int, hashes binary, ids binary, keys binary, starts binary, spans binary, sizes binary, data binary, bucket int"
 STRINGS_ARROW = pa.schema([("place", pa.int32()), *((c, pa.binary()) for c in ("hashes", "ids", "keys", "starts", "spans", "sizes", "data")), ("bucket", pa.int32())])
 
@@ -324,15 +345,27 @@ def packed(strings: list[tuple], ranges: int) -> list[tuple]:
     place = place_of(np.array(h, np.uint64), ranges)
     order = np.argsort(place, kind="stable")
     place, cuts = place[order], np.flatnonzero(np.diff(place[order], prepend=-1))
-    kinds = ((h, np.uint64), (ids, np.int64), (keys, np.int64), (starts, np.int32), (spans, np.int32), ([len(d) for d in data], np.int32))
-    columns = [np.array(x, t)[order] for x, t in kinds]
+    sizes = np.array([len(d) for d in data], np.int32)
+    h = (np.array(h, np.uint64) >> np.uint64(32)).astype(np.uint32)
+    ids, keys, starts, spans = np.array(ids, np.int64), np.array(keys, np.int64), np.array(starts, np.int32), np.array(spans, np.int32)
+    h, ids, keys, starts, spans, sizes = (x[order] for x in (h, ids, keys, starts, spans, sizes))
     order, rows = order.tolist(), []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
         text = b"".join([data[k] for k in order[a:b]])
-        rows.append((int(place[a]), *(c[a:b].tobytes() for c in columns), pa.compress(text, codec="zstd", asbytes=True), None))
+        rows.append((int(place[a]), planes(h[a:b]), planes(ids[a:b]), key_planes(keys[a:b], ids[a:b]), planes(starts[a:b]), spans[a:b].tobytes(), sizes[a:b].tobytes(), pa.compress(text, codec="zstd", asbytes=True), None))
     return rows
 
 
+def unpacked(hashes: bytes, ids: bytes, keys: bytes, starts: bytes, spans: bytes, sizes: bytes, data: bytes):
+    """(hash, bytes, id, key, start, span) of a row of STRINGS."""
+    key, id_ = keys_and_ids(keys, ids)
+    ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64).tolist()
+    begin, text = 0, pa.decompress(data, decompressed_size=ends[-1], codec="zstd", asbytes=True)
+    for h, i, k, a, n, end in zip(from_planes(hashes, np.uint32).tolist(), id_.tolist(), key.tolist(), from_planes(starts, np.int32).tolist(), np.frombuffer(spans, np.int32).tolist(), ends, strict=True):
+        yield h, text[begin:end], i, k, a, n
+        begin = end
+
+
 class Merged:
     """Equal strings merged: of each the smallest document's is kept; those of larger ids are repeats, wholly.
 
@@ -377,13 +410,13 @@ class Merged:
 
 
 def by_bucket(found: list[tuple[np.ndarray, ...]], buckets: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
-    """Keys, ids, firsts and ends of runs, packed by bucket of the key."""
+    """Keys, ids, firsts and lengths of runs, packed by bucket of the key."""
     key, owner, first, end = (np.concatenate([f[k] for f in found]) for k in range(4))
-    bucket = bucket_of(key.astype(np.uint64), buckets)
+    bucket = bucket_of((key.astype(np.uint64) * np.uint64(PRIME)) >> np.uint64(32), buckets)  # keys may be ids in steps
     order = np.lexsort((owner, key, bucket))
-    bucket, columns = bucket[order], (key[order], owner[order], first[order].astype(np.int32), end[order].astype(np.int32))
+    bucket, key, owner, first, length = bucket[order], key[order], owner[order], first[order].astype(np.int32), (end - first)[order].astype(np.int32)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return [(int(bucket[a]), *(c[a:b].tobytes() for c in columns)) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False)]
+    return [(int(bucket[a]), key_planes(key[a:b], owner[a:b]), planes(owner[a:b]), planes(first[a:b]), planes(length[a:b])) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False)]
 
 
 def found_in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -420,7 +453,7 @@ def strings_of(ranges: int, removed: int) -> Callable[[Batches], Batches]:
         merged, held = Merged(), 0
 
         def out() -> pa.RecordBatch | None:
-            rows = packed(merged.strings(), ranges) + [(None, None, i, k, a, e, None, None, b) for b, k, i, a, e in by_bucket(merged.gone_runs(), removed)]
+            rows = packed(merged.strings(), ranges) + [(None, None, i, k, a, n, None, None, b) for b, k, i, a, n in by_bucket(merged.gone_runs(), removed)]
             return _batch(rows, STRINGS_ARROW) if rows else None
 
         def cut(told: dict[tuple[int, bool], list[np.ndarray]], texts: list[tuple[int, int, bytes]]) -> int:
@@ -594,8 +627,8 @@ def first_owner_by_class(data: np.ndarray, starts: np.ndarray, owner: np.ndarray
 # ---- from strings to removed bytes
 
 #: Runs of removed starts, packed by bucket of their texts' keys.
-REMOVED = "bucket int, keys binary, ids binary, firsts binary, ends binary"
-REMOVED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "ids", "firsts", "ends"))])
+REMOVED = "bucket int, keys binary, ids binary, firsts binary, lengths binary"
+REMOVED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "ids", "firsts", "lengths"))])
 
 RUNS = "key long, id long, runs binary"
 RUNS_ARROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("runs", pa.binary())])
@@ -626,9 +659,10 @@ def repeats(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, spans: np.nda
 def runs_by_text(batches: Batches) -> Batches:
     """Packed runs by bucket to one row for each text: packed (first, end) of its runs."""
     for _, rows in grouped(batches):
-        key, owner, first, end = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32)))
+        key, owner = (np.concatenate(c) for c in zip(*(keys_and_ids(*r[:2]) for r in rows), strict=True))
+        first, length = (np.concatenate([from_planes(r[k], np.int32) for r in rows]) for k in (2, 3))
         order = np.lexsort((first, owner, key))
-        key, owner, runs = key[order], owner[order], np.stack([first[order], end[order]], 1)
+        key, owner, runs = key[order], owner[order], np.stack([first[order], (first + length)[order]], 1)
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
         yield _batch([(k, o, runs[a:b].tobytes()) for k, o, a, b in zip(key[cuts].tolist(), owner[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True)], RUNS_ARROW)
 
@@ -643,13 +677,9 @@ def sorted_ranges(removed: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for _, rows in grouped(batches):
             merged = Merged()
-            for *packed_, sizes, data in rows:
-                ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64).tolist()
-                begin, data = 0, pa.decompress(data, decompressed_size=ends[-1], codec="zstd", asbytes=True)
-                kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32)
-                for h, i, k, a, span, end in zip(*(np.frombuffer(x, t).tolist() for x, t in zip(packed_, kinds, strict=True)), ends, strict=True):
-                    merged.add(h, data[begin:end], i, k, a, span)
-                    begin = end
+            for row in rows:
+                for string in unpacked(*row):
+                    merged.add(*string)
             strings, found = merged.strings(), merged.gone_runs()
             del merged
             hashes = np.array([s[0] for s in strings], np.uint64)
@@ -704,10 +734,10 @@ def kept_text(data: bytes, spans: np.ndarray) -> str:
     return kept_bytes(data, np.array(whole, np.int64).reshape(-1, 2)).decode()
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with __id (null: larger than any), __owner (a digest of the text) and __key (of id and text)."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))), "__owner": F.xxhash64(text), "__key": F.xxhash64(F.col("doc_id").cast("long"), text)})
+def keyed(docs: DataFrame, one_row_an_id: bool) -> DataFrame:
+    """docs with __id (null: larger than any), __owner (a digest of the text) and __key (the id, or a digest of id and text)."""
+    text, id_ = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    return docs.withColumns({"__id": F.coalesce(id_, F.lit(int(NO_ID))), "__owner": F.xxhash64(text), "__key": id_ if one_row_an_id else F.xxhash64(id_, text)})
 
 
 def with_runs(docs: DataFrame) -> DataFrame:
@@ -715,8 +745,8 @@ def with_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     scratch, n = Scratch(spark), partitions(spark)
-    docs = keyed(docs)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, rows, ids = docs.select(F.octet_length("text").alias("bytes"), F.col("doc_id").cast("long").alias("id")).agg(F.sum("bytes"), F.count("*"), F.count_distinct("id")).first()
+    docs, total = keyed(docs, rows == ids), total or 0
     ranges = buckets = max(2 * n, int(total // 20_000_000))
     texts_in = max(n, ranges // 2)  # buckets of texts when runs meet
     listed = docs.select("__owner", "text").mapInArrow(lean(listed_anchors(ranges, buckets)), ANCHORS)
@@ -731,7 +761,7 @@ def with_runs(docs: DataFrame) -> DataFrame:
     scratch.drop("shared")
     strings_only = strings.where("place is not null").select("place", "hashes", "ids", "keys", "starts", "spans", "sizes", "data")
     found = strings_only.repartition(n, "place").sortWithinPartitions("place").mapInArrow(lean(sorted_ranges(texts_in)), REMOVED)
-    removed = scratch.write(strings.where("place is null").select("bucket", "keys", "ids", F.col("starts").alias("firsts"), F.col("spans").alias("ends")).unionByName(found), "removed")
+    removed = scratch.write(strings.where("place is null").select("bucket", "keys", "ids", F.col("starts").alias("firsts"), F.col("spans").alias("lengths")).unionByName(found), "removed")
     scratch.drop("strings")
     runs = removed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(runs_by_text), RUNS)
     gone = runs.select(F.col("key").alias("__gone_key"), F.col("id").alias("__gone_id"), F.array("runs").alias("__runs"))

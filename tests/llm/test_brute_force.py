@@ -386,6 +386,44 @@ def test_suffix_dedup_where_no_anchor_repeats(spark, texts):
     assert got == removed_bytes(rows)
 
 
+@pytest.mark.parametrize("stage", ["op8", "pipeline"])
+def test_suffix_dedup_moves_no_keys_beside_ids(spark, monkeypatch, stage):
+    """Ids tell rows apart if no two rows have one id; else a digest of id and text goes with each string and run."""
+    import corpus_pipeline
+    from test_operators import removed_bytes
+
+    moved, buckets = {"strings": [], "removed": []}, set()
+
+    class Counting(suffix_dedup.Scratch):
+        def write(self, df, name):
+            out = super().write(df, name)
+            if name in moved:
+                rows = out.select("keys", "ids").collect()
+                moved[name].append((sum(len(r.keys) for r in rows), sum(len(r.ids) for r in rows)))
+            if name == "removed":
+                buckets.update(r.bucket for r in out.select("bucket").collect())
+            return out
+
+    monkeypatch.setattr(suffix_dedup, "Scratch", Counting)
+    rng = np.random.default_rng(9)
+    noise = lambda n: rng.bytes(n).hex()
+    shared = [noise(40) for _ in range(10)]
+    rows = [(i * 840, f"{noise(19)}{i % 10}{i // 10}{shared[i % 10]}{i // 10}{i % 10}{noise(14)}") for i in range(60)]
+    if stage == "op8":
+        got = {r[0]: tuple(r)[1:] for r in suffix_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        assert got == removed_bytes(rows) and sum(r[1] > 0 for r in got.values()) == 50
+    else:
+        frame = lambda rows: spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        cut = lambda rows: sorted((r.doc_id if r.doc_id is not None else 10**9, r.text) for r in corpus_pipeline.cut_repeats(spark, frame(rows), DATA).collect())
+        assert [len(t) for _, t in cut(rows)] == [150] * 10 + [70] * 50
+    assert [x[0] for x in (*moved["strings"], *moved["removed"])] == [0, 0] and moved["removed"][0][1] > 0 and len(buckets) == 4
+    if stage == "pipeline":  # two rows of one id, two without: they keep their own places
+        want = [(i, t.replace(shared[1], "") if i == 840 else t) for i, t in cut(rows)]
+        more = [(0, noise(33) + "x" + shared[1]), (None, shared[2] + "y" + noise(7)), (None, noise(70) + "z" + shared[2])]
+        assert cut(rows + more) == sorted(want + [(0, more[0][1]), (10**9, more[1][1][80:]), (10**9, more[2][1][:-80])])
+        assert moved["strings"][-1][0] == moved["strings"][-1][1] > 0
+
+
 def test_anchors_of_joined_texts(monkeypatch):
     rng = np.random.default_rng(4)
     texts = [bytes(rng.integers(97, 97 + int(rng.integers(1, 9)), int(rng.integers(0, 400))).astype(np.uint8)) for _ in range(60)] + [b"a" * 50, b"b" * 49, b""]
